@@ -1,12 +1,11 @@
 """Text columns: cleaning, splitting, matching and counting.
 
-Every function takes and returns ``Column`` and stays inside generated code:
-no Python UDF and no higher-order function.
+Every function takes and returns ``Column``; none is a Python UDF.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterable
+from collections.abc import Callable, Iterable
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -40,6 +39,15 @@ def _col(c: Column | str) -> Column:
     return F.col(c) if isinstance(c, str) else c
 
 
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """Compute ``value`` once and use it several times in ``body``.
+
+    Plain nesting would repeat the value at each use, and a chain of steps
+    would then grow exponentially.
+    """
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def one_of(patterns: Iterable[str]) -> str:
     """Join alternatives so that a row is scanned once for all of them."""
     return NEWLINE_ONLY + "|".join(f"(?:{p})" for p in patterns)
@@ -114,10 +122,10 @@ def leading(c: Column | str, length: int) -> Column:
 
 
 def expand_contractions(c: Column | str) -> Column:
-    out = _col(c)
+    c = out = _col(c)
     for short, full in CONTRACTIONS:
         out = F.regexp_replace(out, f"(?i){short}{WORD_END}", f"{full}$1")
-    return out
+    return F.when(c.contains("'") | c.contains("’"), out).otherwise(c)
 
 
 def words_only(c: Column | str) -> Column:

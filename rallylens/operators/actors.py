@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from rallylens.functions.text import parse_actor, split_names
 from rallylens.operators.lookup import BROADCAST_BYTES, fits_broadcast, lookup_join
-from rallylens.rules.labels import first_stage, label_flags, no_flag
+from rallylens.rules.labels import any_rule, first_stage, label_flags, no_flag
 from rallylens.rules.packs import LABELS, STAGES, LabelRule
 from rallylens.storage import settle
 
@@ -108,13 +108,14 @@ def flags_of_fields(
     return flagged.groupBy("actor_raw").agg(*[F.max(c).alias(c) for c in LABELS])
 
 
+def _any_name(names: Column, rules: Sequence[LabelRule]) -> Column:
+    hit = F.exists(names, lambda name: any_rule(name, rules))
+    return F.coalesce(hit, F.lit(False)).cast("int")
+
+
 def _inline_flags(field: str, rules: Sequence[LabelRule]) -> dict[str, Column]:
     names = split_names(parse_actor(field))
-    out = {}
-    for label in LABELS:
-        hit = F.exists(names, lambda n, label=label: label_flags(n, rules)[label] == 1)
-        out[label] = F.coalesce(hit, F.lit(False)).cast("int")
-    return out
+    return {c: _any_name(names, [r for r in rules if r.label == c]) for c in LABELS}
 
 
 def inline_field_flags(

@@ -4,22 +4,25 @@ Rows are ordered by ``md5(seed|key)``.  The order depends on nothing but the
 seed and the key, so a sample is the same for every partition layout and every
 retry.  The key must identify a row.
 
-Exact sizes never need a global sort: rows are counted per hash prefix (at
-most 16**PREFIX groups), running totals tell which prefixes lie wholly inside
-the sample, and only the one prefix on the border is ranked.
+Exact sizes never need a global sort.  Rows are counted per hash prefix (at
+most 16**PREFIX groups) to find the prefix in which the sample ends, then again
+inside that prefix, until few rows are left.  That gives the last row of the
+sample, and the sample itself is a plain filter on the hash.
 """
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+import math
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 PREFIX = 4
-_HASH, _BUCKET, _BEFORE, _UPTO, _TOTAL = "__hash", "__bucket", "__before", "__upto", "__total"
-_HELPERS = (_HASH, _BUCKET, _BEFORE, _UPTO, _TOTAL)
+HASH_LENGTH = 32
+FEW_ROWS = 10_000
+_HASH, _BUCKET, _BEFORE = "__hash", "__bucket", "__before"
 
 
 def hash_order(key: str | Sequence[str], seed: int) -> Column:
@@ -38,58 +41,50 @@ def sample_per_group(df: DataFrame, group: str, n: int, key: str, seed: int = 12
     return df.withColumn("pick", F.row_number().over(w)).where(F.col("pick") <= n)
 
 
-def _with_bounds(df: DataFrame, key: str, seed: int, prefix: int) -> DataFrame:
-    """Rows with how many rows come before and up to their hash prefix.
+def last_hash(df: DataFrame, size_of: Callable[[int], int], key: str, seed: int) -> str | None:
+    """Hash of the last row among the first ``size_of(rows)`` in hash order.
 
-    The prefix table has at most 16**prefix rows (65,536), which bounds both
-    its broadcast and the window that adds it up.
+    None when the size is 0.  Each round groups by the next PREFIX digits; the
+    driver sees one count per group and finally one row.
     """
-    hashed = df.withColumn(_HASH, hash_order(key, seed)).withColumn(
-        _BUCKET, F.substring(F.col(_HASH), 1, prefix)
-    )
-    counts = hashed.groupBy(_BUCKET).agg(F.count(F.lit(1)).alias("c"))
-    upto = Window.orderBy(_BUCKET).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    everything = Window.partitionBy()
-    bounds = counts.select(
-        _BUCKET,
-        (F.sum("c").over(upto) - F.col("c")).alias(_BEFORE),
-        F.sum("c").over(upto).alias(_UPTO),
-        F.sum("c").over(everything).alias(_TOTAL),
-    )
-    return hashed.join(F.broadcast(bounds), _BUCKET)
+    left = df.select(hash_order(key, seed).alias(_HASH))
+    wanted, known = None, 0
+    while True:
+        digits = F.substring(F.col(_HASH), known + 1, PREFIX).alias("digits")
+        counts = sorted(left.groupBy(digits).agg(F.count(F.lit(1)).alias("n")).collect())
+        if wanted is None:
+            wanted = size_of(sum(c.n for c in counts))
+            if wanted <= 0:
+                return None
+        for c in counts:
+            if wanted <= c.n:
+                break
+            wanted -= c.n
+        left = left.where(digits == c.digits)
+        known += PREFIX
+        if c.n <= FEW_ROWS or known >= HASH_LENGTH:
+            break
+    return left.orderBy(_HASH).limit(wanted).agg(F.max(_HASH)).first()[0]
+
+
+def _inside(df: DataFrame, size_of: Callable[[int], int], key: str, seed: int) -> Column:
+    last = last_hash(df, size_of, key, seed)
+    return F.lit(False) if last is None else hash_order(key, seed) <= last
 
 
-def _rank(key: str) -> Column:
-    w = Window.partitionBy(_BUCKET).orderBy(_HASH, key)
-    return F.row_number().over(w).cast("long") + F.col(_BEFORE)
-
-
-def flag_first(
-    df: DataFrame, size: Column, key: str, seed: int, flag: str, prefix: int = PREFIX
-) -> DataFrame:
-    """Flag exactly ``size`` rows, the first ones in hash order.
+def sample_fraction(df: DataFrame, fraction: float, key: str, seed: int = 123) -> DataFrame:
+    """Exactly round(fraction * rows) rows, halves to even.
 
-    ``size`` may refer to the row count as ``F.col("__total")``.
+    Should a key repeat, rows with the same key stay together.
     """
-    bounded = _with_bounds(df, key, seed, prefix)
-    on_border = (F.col(_BEFORE) < size) & (F.col(_UPTO) > size)
-    sure = bounded.where(~on_border).withColumn(flag, F.col(_UPTO) <= size)
-    border = bounded.where(on_border).withColumn(flag, _rank(key) <= size)
-    return sure.unionByName(border).drop(*_HELPERS)
-
-
-def sample_fraction(df: DataFrame, fraction: float, key: str, seed: int = 123) -> DataFrame:
-    """Exactly round(fraction * rows) rows, halves to even."""
-    size = F.bround(F.col(_TOTAL).cast("double") * F.lit(float(fraction)), 0).cast("long")
-    return flag_first(df, size, key, seed, "__in").where(F.col("__in")).drop("__in")
+    return df.where(_inside(df, lambda rows: round(fraction * rows), key, seed))
 
 
 def train_test_flag(
     df: DataFrame, test_fraction: float, key: str, seed: int = 42, flag: str = "is_test"
 ) -> DataFrame:
-    """Flag ceil(test_fraction * rows) rows as test."""
-    size = F.ceil(F.col(_TOTAL).cast("double") * F.lit(float(test_fraction)))
-    return flag_first(df, size, key, seed, flag)
+    """Flag ceil(test_fraction * rows) rows as test; equal keys stay together."""
+    return df.withColumn(flag, _inside(df, lambda rows: math.ceil(test_fraction * rows), key, seed))
 
 
 def dense_id(
@@ -97,7 +92,20 @@ def dense_id(
 ) -> DataFrame:
     """Ids 1..n without gaps, in hash order; one shuffle by hash prefix.
 
+    The rows before each prefix are known from a table of at most 16**prefix
+    counts (65,536), which bounds its broadcast and the window that adds it up.
     Where ids only have to be unique, ``F.monotonically_increasing_id()``
     needs no shuffle.
     """
-    return _with_bounds(df, key, seed, prefix).withColumn(name, _rank(key)).drop(*_HELPERS)
+    hashed = df.withColumn(_HASH, hash_order(key, seed)).withColumn(
+        _BUCKET, F.substring(F.col(_HASH), 1, prefix)
+    )
+    counts = hashed.groupBy(_BUCKET).agg(F.count(F.lit(1)).alias("c"))
+    earlier = Window.orderBy(_BUCKET).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    before = counts.select(_BUCKET, (F.sum("c").over(earlier) - F.col("c")).alias(_BEFORE))
+    inside = Window.partitionBy(_BUCKET).orderBy(_HASH, key)
+    return (
+        hashed.join(F.broadcast(before), _BUCKET)
+        .withColumn(name, F.row_number().over(inside).cast("long") + F.col(_BEFORE))
+        .drop(_HASH, _BUCKET, _BEFORE)
+    )

@@ -15,7 +15,7 @@ from rallylens.operators import tokens as tok
 from rallylens.operators.lookup import lookup_join
 from rallylens.rules import decisions, keywords, packs
 from rallylens.sources import files
-from rallylens.sources.incidents import COUNTRIES, incidents, table
+from rallylens.sources.incidents import COUNTRIES, incidents, spread, table
 from rallylens.storage import scratch_path, settle
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -32,7 +32,11 @@ def query(fn: Query) -> Query:
 
 
 def _presence(spark: SparkSession, sf: str) -> DataFrame:
-    return decisions.police_presence(incidents(spark, sf))
+    return decisions.police_presence(spread(incidents(spark, sf)))
+
+
+def _documents(spark: SparkSession, sf: str, *columns: str) -> DataFrame:
+    return spread(table(spark, sf, "documents").select(*columns))
 
 
 def _classified(spark: SparkSession, sf: str) -> DataFrame:
@@ -145,7 +149,7 @@ def field_flags(spark, sf):
 
 @query
 def field_flags_inline(spark, sf):
-    flagged = actors.inline_field_flags(incidents(spark, sf), RULES)
+    flagged = actors.inline_field_flags(spread(incidents(spark, sf)), RULES)
     flags = [f"{p}_{c}" for p in actors.ACTOR_FIELDS.values() for c in actors.FLAGS]
     return flagged.select(ID, *flags)
 
@@ -208,7 +212,7 @@ def presence_step_counts(spark, sf):
 
 @query
 def presence_on_documents(spark, sf):
-    documents = table(spark, sf, "documents")
+    documents = _documents(spark, sf, "doc_id", "text", "source")
     return decisions.decide(documents, "text", packs.PROSE_STEPS, "presence").select("doc_id", "step", "presence")
 
 
@@ -295,7 +299,7 @@ def missing_counts(spark, sf):
 
 
 def _named(spark, sf):
-    return incidents(spark, sf).withColumns(
+    return spread(incidents(spark, sf)).withColumns(
         {
             "actor1_std": tx.standardise_actor("assoc_actor_1"),
             "actor2_std": tx.standardise_actor("assoc_actor_2"),
@@ -360,7 +364,7 @@ def ideology_by_year(spark, sf):
 
 @query
 def clean_notes(spark, sf):
-    return table(spark, sf, "documents").select("doc_id", tx.clean_note("text").alias("text_clean"))
+    return _documents(spark, sf, "doc_id", "text").select("doc_id", tx.clean_note("text").alias("text_clean"))
 
 
 @query
@@ -372,24 +376,24 @@ def note_tokens(spark, sf):
 
 @query
 def doc_term_counts(spark, sf):
-    words = tok.tokens(table(spark, sf, "documents"), "text", ["doc_id"])
+    words = tok.tokens(_documents(spark, sf, "doc_id", "text"), "text", ["doc_id"])
     return tok.term_counts(words, "doc_id")
 
 
 @query
 def top_terms_per_group(spark, sf):
-    words = tok.tokens(table(spark, sf, "documents"), "text", ["lang"])
+    words = tok.tokens(_documents(spark, sf, "lang", "text"), "text", ["lang"])
     return summaries.top_per_group(tok.term_counts(words, "lang"), ["lang"], "n", 15)
 
 
 @query
 def stem_vocabulary(spark, sf):
-    return tok.stem_vocabulary(tok.tokens(table(spark, sf, "documents"), "text", []))
+    return tok.stem_vocabulary(tok.tokens(_documents(spark, sf, "text"), "text", []))
 
 
 @query
 def stemmed_term_counts(spark, sf):
-    words = tok.tokens(table(spark, sf, "documents"), "text", ["doc_id"])
+    words = tok.tokens(_documents(spark, sf, "doc_id", "text"), "text", ["doc_id"])
     return tok.term_counts(tok.with_stems(words), "doc_id", "stem")
 
 
@@ -399,7 +403,7 @@ def stemmed_term_counts(spark, sf):
 def _split_words(spark, sf):
     labels = table(spark, sf, "labels").select("doc_id", "quality")
     marked = sampling.train_test_flag(labels, 0.25, "doc_id", SPLIT_SEED)
-    documents = table(spark, sf, "documents").select("doc_id", "text").join(marked, "doc_id")
+    documents = spread(table(spark, sf, "documents").select("doc_id", "text").join(marked, "doc_id"))
     return marked, tok.tokens(documents, "text", ["doc_id", "quality", "is_test"])
 
 
@@ -477,7 +481,7 @@ def multilabel_metrics(spark, sf):
 @query
 def severity_scores(spark, sf):
     labels = ["quality", "toxic"]
-    documents = table(spark, sf, "documents").select("doc_id", "text")
+    documents = _documents(spark, sf, "doc_id", "text")
     coded = documents.join(table(spark, sf, "labels"), "doc_id")
     path = scratch_path(spark, "severity-model")
     scorer.save_model(scorer.fit_severity(coded, "text", labels), path)
@@ -506,15 +510,10 @@ def batch_scores(spark, sf):
 
 
 def _topic_model(spark, sf):
-    documents = table(spark, sf, "documents").select("doc_id", "text")
+    documents = _documents(spark, sf, "doc_id", "text")
     cleaned = documents.withColumn("clean", tx.clean_note("text"))
-    hits = cleaned.withColumns(
-        {
-            "left_hits": keywords.keyword_hits("clean", packs.LEFT_KEYS),
-            "right_hits": keywords.keyword_hits("clean", packs.RIGHT_KEYS),
-        }
-    )
-    unplaced = hits.where(keywords.larger_side("left_hits", "right_hits") == keywords.UNCLASSIFIED)
+    side = keywords.context_ideology("clean", packs.LEFT_KEYS, packs.RIGHT_KEYS)
+    unplaced = cleaned.where(side == keywords.UNCLASSIFIED)
     words = tok.tokens(unplaced, "clean", ["doc_id"], cleaned=F.col("clean"))
     stemmed = tok.with_stems(words).select("doc_id", "stem")
     return topics.fit_topics(stemmed, "doc_id", "stem")
@@ -574,7 +573,7 @@ def region_class_join(spark, sf):
 
 def _design(spark, sf):
     """Presence, event flags and country indicators, with numeric types."""
-    events = decisions.police_presence(_classified(spark, sf))
+    events = decisions.police_presence(spread(_classified(spark, sf)))
     flags = {f"event_{c}": F.col(f"event_{c}").cast("double") for c in packs.LABELS}
     indicators = response.indicator_columns("country", COUNTRIES)
     features = [*flags, *indicators]
@@ -618,7 +617,7 @@ def clustered_se(spark, sf):
 
 @query
 def mean_equivalence(spark, sf):
-    events = decisions.police_presence(_classified(spark, sf))
+    events = decisions.police_presence(spread(_classified(spark, sf)))
     out = response.mean_equivalence(
         events, F.col("police_presence").cast("int"), "event_partisan_type", "left_only", "right_only"
     )
