@@ -18,6 +18,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from rallylens.functions.text import is_blank, leading, or_empty
+from rallylens.storage import settle
 
 # The three severity labels.
 SEVERITY_LABELS = ("coercion", "arrest", "brutality")
@@ -35,30 +36,39 @@ def prepare_labels(df: DataFrame, text: str, labels: Sequence[str]) -> DataFrame
     return out.withColumn("labels", F.array(*[F.col(c).cast("double") for c in labels]))
 
 
-def severity_pipeline(text: str, labels: Sequence[str], features: int = 1 << 16) -> Pipeline:
-    """Shared term weights, then one regression per label."""
-    stages = [
-        RegexTokenizer(inputCol=text, outputCol="__words", pattern=r"[^\p{L}\p{Nd}]+"),
-        HashingTF(inputCol="__words", outputCol="__tf", numFeatures=features),
-        IDF(inputCol="__tf", outputCol="__features"),
-    ]
-    for label in labels:
-        stages.append(
-            LogisticRegression(
-                featuresCol="__features",
-                labelCol=label,
-                probabilityCol=f"__p_{label}",
-                rawPredictionCol=f"__r_{label}",
-                predictionCol=f"__y_{label}",
-                maxIter=20,
-                regParam=0.1,
-            )
-        )
-    return Pipeline(stages=stages)
-
-
-def fit_severity(coded: DataFrame, text: str, labels: Sequence[str] = SEVERITY_LABELS) -> PipelineModel:
-    return severity_pipeline(text, labels).fit(prepare_labels(coded, text, labels))
+def _text_features(text: str, features: int) -> Pipeline:
+    return Pipeline(
+        stages=[
+            RegexTokenizer(inputCol=text, outputCol="__words", pattern=r"[^\p{L}\p{Nd}]+"),
+            HashingTF(inputCol="__words", outputCol="__tf", numFeatures=features),
+            IDF(inputCol="__tf", outputCol="__features"),
+        ]
+    )
+
+
+def _one_label(label: str) -> LogisticRegression:
+    return LogisticRegression(
+        featuresCol="__features",
+        labelCol=label,
+        probabilityCol=f"__p_{label}",
+        rawPredictionCol=f"__r_{label}",
+        predictionCol=f"__y_{label}",
+        maxIter=20,
+        regParam=0.1,
+    )
+
+
+def fit_severity(
+    coded: DataFrame, text: str, labels: Sequence[str] = SEVERITY_LABELS, features: int = 1 << 16
+) -> PipelineModel:
+    """Term weights shared by all labels, then one regression per label.
+
+    The weighted terms are computed once for all the passes of all labels.
+    """
+    ready = prepare_labels(coded, text, labels)
+    weights = _text_features(text, features).fit(ready)
+    rows = settle(weights.transform(ready).select("__features", *labels))
+    return PipelineModel([*weights.stages, *[_one_label(c).fit(rows) for c in labels]])
 
 
 def save_model(model: PipelineModel, path: str) -> None:

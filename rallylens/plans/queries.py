@@ -513,7 +513,7 @@ def _topic_model(spark, sf):
     documents = _documents(spark, sf, "doc_id", "text")
     cleaned = documents.withColumn("clean", tx.clean_note("text"))
     side = keywords.context_ideology("clean", packs.LEFT_KEYS, packs.RIGHT_KEYS)
-    unplaced = cleaned.where(side == keywords.UNCLASSIFIED)
+    unplaced = settle(cleaned.where(side == keywords.UNCLASSIFIED).select("doc_id", "clean"))
     words = tok.tokens(unplaced, "clean", ["doc_id"], cleaned=F.col("clean"))
     stemmed = tok.with_stems(words).select("doc_id", "stem")
     return topics.fit_topics(stemmed, "doc_id", "stem")

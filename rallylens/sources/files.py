@@ -80,7 +80,7 @@ def read_responses(
     event; folder names of the form ``name=value`` become columns.
     """
     event = T.StructType.fromDDL(schema) if isinstance(schema, str) else schema
-    envelope = T.StructType().add("status", "int").add("data", T.ArrayType(event))
+    envelope = T.StructType().add("status", T.IntegerType()).add("data", T.ArrayType(event))
     pages = spark.read.schema(envelope).json(path)
     tags = [c for c in pages.columns if c not in ("status", "data")]
     return pages.where(F.col("status") == 200).select(*tags, F.inline("data"))
