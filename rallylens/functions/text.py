@@ -139,7 +139,8 @@ def punctuation_to_blank(c: Column | str) -> Column:
 
 
 def clean_note(c: Column | str) -> Column:
-    return squish(F.lower(words_only(expand_contractions(or_empty(c)))))
+    words = F.lower(words_only(expand_contractions(or_empty(c))))
+    return F.trim(F.regexp_replace(words, " {2,}", " "))
 
 
 def standardise_actor(c: Column | str) -> Column:

@@ -7,14 +7,14 @@ names.  The labels return to the events by a lookup on the field string.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from rallylens.functions.text import parse_actor, split_names
 from rallylens.operators.lookup import BROADCAST_BYTES, fits_broadcast, lookup_join
-from rallylens.rules.labels import any_rule, first_stage, label_flags, no_flag
+from rallylens.rules.labels import any_rule, first_stage, label_flags, label_flags_by, no_flag
 from rallylens.rules.packs import LABELS, STAGES, LabelRule
 from rallylens.storage import settle
 
@@ -28,17 +28,18 @@ ACTOR_FIELDS = {
 FLAGS = (*LABELS, "unknown")
 
 
-def field_values(events: DataFrame, fields: Sequence[str] = tuple(ACTOR_FIELDS)) -> DataFrame:
+def field_values(
+    events: DataFrame, fields: Sequence[str] = tuple(ACTOR_FIELDS), keep: Sequence[str] = ()
+) -> DataFrame:
     """The actor fields stacked into one column, without nulls."""
-    stacked = events.select(F.explode(F.array(*[F.col(f) for f in fields])).alias("actor_raw"))
+    stacked = events.select(*keep, F.explode(F.array(*[F.col(f) for f in fields])).alias("actor_raw"))
     return stacked.where(F.col("actor_raw").isNotNull())
 
 
 def field_names(raws: DataFrame) -> DataFrame:
     """One row per name of each field string."""
-    return raws.select(
-        "actor_raw", F.explode(split_names(parse_actor("actor_raw"))).alias("actor_clean")
-    ).where(F.col("actor_clean") != "")
+    name = F.explode(split_names(parse_actor("actor_raw"))).alias("actor_clean")
+    return raws.select(*raws.columns, name).where(F.col("actor_clean") != "")
 
 
 def actor_dictionary(events: DataFrame, fields: Sequence[str] = tuple(ACTOR_FIELDS)) -> DataFrame:
@@ -82,14 +83,16 @@ def stage_coverage(
 
 def flags_of_fields(
     raws: DataFrame,
-    rules: Sequence[LabelRule] | None = None,
+    rules: Sequence[LabelRule] | Mapping[str, Sequence[LabelRule]] | None = None,
     dictionary: DataFrame | None = None,
+    scope: str | None = None,
 ) -> DataFrame:
     """Flags of each distinct field string: any name left, right, centre.
 
     Names get their flags from the rules, or from a labelled dictionary (for
     example one corrected by hand).  Names absent from it carry no flag; of
-    several rows for one name a single one is used.
+    several rows for one name a single one is used.  With ``scope`` the rules
+    are packs by the value of that column.
     """
     names = field_names(raws)
     if dictionary is not None:
@@ -100,12 +103,14 @@ def flags_of_fields(
         )
         names = lookup_join(names, settle(single), "actor_clean", "left")
         flags = {c: F.coalesce(F.col(c), F.lit(0)) for c in LABELS}
-    elif rules is not None:
-        flags = label_flags("actor_clean", rules)
-    else:
+    elif rules is None:
         raise ValueError("give rules or a dictionary")
-    flagged = names.select("actor_raw", *[c.alias(n) for n, c in flags.items()])
-    return flagged.groupBy("actor_raw").agg(*[F.max(c).alias(c) for c in LABELS])
+    elif scope is not None:
+        flags = label_flags_by("actor_clean", scope, rules)
+    else:
+        flags = label_flags("actor_clean", rules)
+    flagged = names.select(*raws.columns, *[c.alias(n) for n, c in flags.items()])
+    return flagged.groupBy(*raws.columns).agg(*[F.max(c).alias(c) for c in LABELS])
 
 
 def _any_name(names: Column, rules: Sequence[LabelRule]) -> Column:
@@ -113,13 +118,28 @@ def _any_name(names: Column, rules: Sequence[LabelRule]) -> Column:
     return F.coalesce(hit, F.lit(False)).cast("int")
 
 
-def _inline_flags(field: str, rules: Sequence[LabelRule]) -> dict[str, Column]:
+def _inline_flags(
+    field: str, rules: Sequence[LabelRule] | Mapping[str, Sequence[LabelRule]], scope: str | None
+) -> dict[str, Column]:
     names = split_names(parse_actor(field))
-    return {c: _any_name(names, [r for r in rules if r.label == c]) for c in LABELS}
+    out = {}
+    for label in LABELS:
+        if scope is None:
+            out[label] = _any_name(names, [r for r in rules if r.label == label])
+            continue
+        chain = F.when(F.lit(False), 0)
+        for value, pack in rules.items():
+            hit = _any_name(names, [r for r in pack if r.label == label])
+            chain = chain.when(F.col(scope) == value, hit)
+        out[label] = chain.otherwise(0)
+    return out
 
 
 def inline_field_flags(
-    events: DataFrame, rules: Sequence[LabelRule], fields: dict[str, str] | None = None
+    events: DataFrame,
+    rules: Sequence[LabelRule] | Mapping[str, Sequence[LabelRule]],
+    fields: dict[str, str] | None = None,
+    scope: str | None = None,
 ) -> DataFrame:
     """Field flags without any join: rules run on each row.
 
@@ -128,16 +148,17 @@ def inline_field_flags(
     """
     out = events
     for field, prefix in (fields or ACTOR_FIELDS).items():
-        out = out.withColumns({f"{prefix}_{k}": v for k, v in _inline_flags(field, rules).items()})
+        out = out.withColumns({f"{prefix}_{k}": v for k, v in _inline_flags(field, rules, scope).items()})
         out = out.withColumn(f"{prefix}_unknown", no_flag(F.col(f"{prefix}_{c}") for c in LABELS))
     return out
 
 
 def map_partisanship(
     events: DataFrame,
-    rules: Sequence[LabelRule] | None = None,
+    rules: Sequence[LabelRule] | Mapping[str, Sequence[LabelRule]] | None = None,
     dictionary: DataFrame | None = None,
     fields: dict[str, str] | None = None,
+    scope: str | None = None,
     limit: int = BROADCAST_BYTES,
 ) -> DataFrame:
     """Events with four flags per actor field; every row kept once.
@@ -145,18 +166,23 @@ def map_partisanship(
     Distinct field strings are labelled once and settled, then measured.  A
     table that fits is broadcast.  One that does not is avoided when rules are
     given (they run inline) and joined by salted shuffle otherwise.
+
+    ``scope`` names a column, such as the country, whose value picks one of
+    several rule packs; all countries are then labelled in one run.
     """
     fields = fields or ACTOR_FIELDS
-    table = settle(flags_of_fields(field_values(events, tuple(fields)).distinct(), rules, dictionary))
+    keys = [scope] if scope else []
+    raws = field_values(events, tuple(fields), keys).distinct()
+    table = settle(flags_of_fields(raws, rules, dictionary, scope))
     small = fits_broadcast(table, limit)
     if not small and dictionary is None:
-        return inline_field_flags(events, rules, fields)
+        return inline_field_flags(events, rules, fields, scope)
     out = events
     for field, prefix in fields.items():
         renamed = table.select(
-            F.col("actor_raw").alias(field), *[F.col(c).alias(f"{prefix}_{c}") for c in LABELS]
+            *keys, F.col("actor_raw").alias(field), *[F.col(c).alias(f"{prefix}_{c}") for c in LABELS]
         )
-        out = lookup_join(out, renamed, field, "left", small=small)
+        out = lookup_join(out, renamed, [*keys, field], "left", small=small)
     columns = [f"{p}_{c}" for p in fields.values() for c in LABELS]
     out = out.na.fill(0, columns)
     unknown = {f"{p}_unknown": no_flag(F.col(f"{p}_{c}") for c in LABELS) for p in fields.values()}
@@ -193,10 +219,11 @@ def event_partisanship(flagged: DataFrame, fields: dict[str, str] | None = None)
 
 def classify_events(
     events: DataFrame,
-    rules: Sequence[LabelRule] | None = None,
+    rules: Sequence[LabelRule] | Mapping[str, Sequence[LabelRule]] | None = None,
     dictionary: DataFrame | None = None,
+    scope: str | None = None,
 ) -> DataFrame:
-    return event_partisanship(map_partisanship(events, rules, dictionary))
+    return event_partisanship(map_partisanship(events, rules, dictionary, scope=scope))
 
 
 def drop_suffix(df: DataFrame, suffix: str) -> DataFrame:

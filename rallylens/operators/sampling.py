@@ -19,6 +19,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from rallylens.storage import settle
+
 PREFIX = 4
 HASH_LENGTH = 32
 FEW_ROWS = 10_000
@@ -45,9 +47,10 @@ def last_hash(df: DataFrame, size_of: Callable[[int], int], key: str, seed: int)
     """Hash of the last row among the first ``size_of(rows)`` in hash order.
 
     None when the size is 0.  Each round groups by the next PREFIX digits; the
-    driver sees one count per group and finally one row.
+    driver sees one count per group and finally one row.  Only the hashes are
+    settled, so what made the rows does not run again for each round.
     """
-    left = df.select(hash_order(key, seed).alias(_HASH))
+    left = settle(df.select(hash_order(key, seed).alias(_HASH)))
     wanted, known = None, 0
     while True:
         digits = F.substring(F.col(_HASH), known + 1, PREFIX).alias("digits")

@@ -33,6 +33,20 @@ def share(df: DataFrame, *by: str, name: str = "n", percent_name: str = "percent
     )
 
 
+def share_within(
+    df: DataFrame, group: Sequence[str], by: str, name: str = "n", percent_name: str = "percent"
+) -> DataFrame:
+    """Count and percentage of each value inside its group.
+
+    The window runs over counts, one row per group and value, not over rows.
+    """
+    counts = df.groupBy(*group, by).agg(F.count(F.lit(1)).alias(name))
+    total = F.sum(name).over(Window.partitionBy(*group))
+    return counts.withColumn(
+        percent_name, F.col(name).cast("double") / total.cast("double") * F.lit(100.0)
+    )
+
+
 def distinct_with_null(c: str) -> Column:
     """Distinct values, a null counting as one more."""
     return F.count_distinct(F.col(c)) + F.max(F.col(c).isNull().cast("int")).cast("long")

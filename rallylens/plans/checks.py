@@ -213,6 +213,41 @@ CHECKS["partisan_freq_by_country"] = with_(*PARTISAN) + (
     "SELECT country, event_partisan_type, count(*) AS n FROM typed "
     "WHERE country IS NOT NULL AND event_partisan_type IS NOT NULL GROUP BY 1, 2"
 )
+CHECKS["partisan_share_by_country"] = with_(*PARTISAN) + (
+    "SELECT country, event_partisan_type, n, CAST(n AS DOUBLE) / CAST(sum(n) OVER (PARTITION BY country) AS DOUBLE) * CAST(100 AS DOUBLE) AS percent "
+    "FROM (SELECT country, event_partisan_type, count(*) AS n FROM typed GROUP BY 1, 2)"
+)
+
+
+def country_pack_sql() -> str:
+    """Labels per event and name, each country with its own rules."""
+    by_country = {
+        "France": packs.SMALL_PACK,
+        "Germany": [r for r in packs.SMALL_PACK if r.label != "centre"],
+        "Italy": [r for r in packs.SMALL_PACK if r.stage != "objective"],
+        "Spain": [r for r in packs.SMALL_PACK if r.kind == "regex"],
+    }
+    flags = ", ".join(
+        "max(CASE country "
+        + " ".join(f"WHEN {q(c)} THEN {rule_sql([r for r in rules if r.label == l])}" for c, rules in by_country.items())
+        + f" ELSE 0 END) AS event_{l}"
+        for l in packs.LABELS
+    )
+    long = " UNION ALL ".join(f"SELECT {ID}, country, {f} AS actor_raw FROM inc" for f in PREFIXES)
+    parts = (
+        f"SELECT {ID}, country, trim(part) AS actor_clean FROM "
+        f"(SELECT {ID}, country, unnest(string_split({parsed('actor_raw')}, ';')) AS part FROM long WHERE actor_raw IS NOT NULL)"
+    )
+    found = f"SELECT {ID}, {flags} FROM parts GROUP BY {ID}"
+    all_events = (
+        f"SELECT inc.{ID}, inc.country, coalesce(event_left, 0) AS event_left, coalesce(event_right, 0) AS event_right, "
+        f"coalesce(event_centre, 0) AS event_centre FROM inc LEFT JOIN found USING ({ID})"
+    )
+    case = typed[1].split(" FROM (SELECT")[0].replace("SELECT *,", f"SELECT {ID}, country,", 1)
+    return with_(inc, ("long", long), ("parts", parts), ("found", found), ("flags", all_events)) + case + " FROM flags"
+
+
+CHECKS["type_by_country_pack"] = country_pack_sql()
 CHECKS["unclassified_actor_topk"] = with_(*PARTISAN) + (
     "SELECT actor, count(*) AS n FROM ("
     + " UNION ALL ".join(f"SELECT {f} AS actor FROM typed WHERE event_partisan_type = 'unknown'" for f in PREFIXES)
@@ -307,6 +342,9 @@ final = (
 IDEOLOGY = with_(inc, named, keyed, final)
 CHECKS["standardise_actors"] = with_(inc, named) + f"SELECT {ID}, actor1_std, actor2_std FROM named"
 CHECKS["actor_ideology"] = IDEOLOGY + f"SELECT {ID}, actor1_ideology, actor2_ideology FROM final"
+CHECKS["unclassified_events"] = IDEOLOGY + (
+    f"SELECT {ID}, assoc_actor_1, assoc_actor_2 FROM final WHERE actor1_ideology = 'Unclassified' AND actor2_ideology = 'Unclassified'"
+)
 CHECKS["context_ideology"] = IDEOLOGY + f"SELECT {ID}, left_hits, right_hits, context_ideology FROM final"
 CHECKS["final_ideology"] = IDEOLOGY + f"SELECT {ID}, final_ideology FROM final"
 CHECKS["ideology_share"] = IDEOLOGY + (
@@ -348,6 +386,10 @@ CHECKS["yearly_summary"] = with_(inc) + (
 )
 CHECKS["country_year_summary"] = COUNTRY_YEAR
 
+CHECKS["text_dates"] = with_(inc) + (
+    "SELECT CAST(year(event_date) AS INT) AS year, min(event_date) AS first_date, max(event_date) AS last_date, count(*) AS n FROM inc GROUP BY 1"
+)
+
 
 def distinct_null(c: str) -> str:
     return f"count(DISTINCT {c}) + CAST(max(CAST({c} IS NULL AS INT)) AS BIGINT)"
@@ -473,6 +515,18 @@ predicted_part = (
     "ON marked.doc_id = s.doc_id WHERE marked.is_test)",
 )
 CHECKS["naive_bayes_predict"] = with_(*bayes_parts, predicted_part) + "SELECT * FROM predicted"
+stem_parts = (
+    *bayes_parts[:3],
+    ("vocabulary", "SELECT DISTINCT word FROM words WHERE NOT is_test"),
+    *stem_sql("vocabulary"),
+    (
+        "per_word",
+        "SELECT stem AS word, count(*) FILTER (quality = 0) AS n0, count(*) FILTER (quality = 1) AS n1 "
+        "FROM words JOIN s9 USING (word) WHERE NOT is_test GROUP BY stem",
+    ),
+    *bayes_parts[4:],
+)
+CHECKS["naive_bayes_train_stems"] = with_(*stem_parts, predicted_part) + "SELECT * FROM predicted"
 CHECKS["vocabulary_match"] = with_(*bayes_parts) + (
     "SELECT doc_id, count(*) AS known_words FROM words WHERE is_test AND word IN (SELECT word FROM model) GROUP BY doc_id"
 )

@@ -181,6 +181,26 @@ def partisan_freq_by_country(spark, sf):
     return summaries.frequency(_classified(spark, sf), "country", "event_partisan_type")
 
 
+COUNTRY_PACKS = {
+    "France": packs.SMALL_PACK,
+    "Germany": tuple(r for r in packs.SMALL_PACK if r.label != "centre"),
+    "Italy": tuple(r for r in packs.SMALL_PACK if r.stage != "objective"),
+    "Spain": tuple(r for r in packs.SMALL_PACK if r.kind == "regex"),
+}
+
+
+@query
+def type_by_country_pack(spark, sf):
+    """One run for all countries, each with its own pack; the last has none."""
+    typed = actors.classify_events(incidents(spark, sf), COUNTRY_PACKS, scope="country")
+    return typed.select(ID, "country", "event_partisan_type")
+
+
+@query
+def partisan_share_by_country(spark, sf):
+    return summaries.share_within(_classified(spark, sf), ["country"], "event_partisan_type")
+
+
 @query
 def unclassified_actor_topk(spark, sf):
     unknown = _classified(spark, sf).where(F.col("event_partisan_type") == "unknown")
@@ -295,6 +315,16 @@ def missing_counts(spark, sf):
     return summaries.missing_counts(incidents(spark, sf), "assoc_actor_1", "assoc_actor_2", "notes")
 
 
+@query
+def text_dates(spark, sf):
+    """Dates written day/month/year, parsed before min and max are taken."""
+    written = incidents(spark, sf).select(F.date_format("event_date", "dd/MM/yyyy").alias("written"))
+    dated = written.withColumn("event_date", tx.day_month_year("written"))
+    return dated.groupBy(F.year("event_date").alias("year")).agg(
+        F.min("event_date").alias("first_date"), F.max("event_date").alias("last_date"), F.count(F.lit(1)).alias("n")
+    )
+
+
 # --- keyword ideology ------------------------------------------------------
 
 
@@ -339,6 +369,17 @@ def actor_ideology(spark, sf):
     return _ideology(spark, sf).select(ID, "actor1_ideology", "actor2_ideology")
 
 
+@query
+def unclassified_events(spark, sf):
+    """Events whose two associated actors are both without an ideology."""
+    left, right = packs.LEFT_KEYS, packs.RIGHT_KEYS
+    named = _named(spark, sf)
+    no_side = [
+        keywords.actor_ideology(c, left, right) == keywords.UNCLASSIFIED for c in ("actor1_std", "actor2_std")
+    ]
+    return named.where(no_side[0] & no_side[1]).select(ID, "assoc_actor_1", "assoc_actor_2")
+
+
 @query
 def context_ideology(spark, sf):
     return _ideology(spark, sf).select(ID, "left_hits", "right_hits", "context_ideology")
@@ -419,6 +460,16 @@ def naive_bayes_predict(spark, sf):
     return _predicted(spark, sf)
 
 
+@query
+def naive_bayes_train_stems(spark, sf):
+    """Training words are stemmed, test words are not (as published)."""
+    marked, words = _split_words(spark, sf)
+    train = tok.with_stems(words.where(~F.col("is_test"))).select(F.col("stem").alias("word"), "quality")
+    model = bayes.train(train, "word", "quality")
+    test = marked.where("is_test").select("doc_id", "quality")
+    return bayes.predict(words.where("is_test"), model, test, "doc_id")
+
+
 @query
 def vocabulary_match(spark, sf):
     _, words = _split_words(spark, sf)

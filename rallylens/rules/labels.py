@@ -6,7 +6,7 @@ OR: one membership test for the exact names and one regex for the rest.
 
 from __future__ import annotations
 
-from collections.abc import Iterable, Sequence
+from collections.abc import Iterable, Mapping, Sequence
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -45,6 +45,25 @@ def label_flags(name: Column | str, rules: Sequence[LabelRule]) -> dict[str, Col
     }
 
 
+def label_flags_by(
+    name: Column | str, scope: Column | str, packs: Mapping[str, Sequence[LabelRule]]
+) -> dict[str, Column]:
+    """As ``label_flags``, with the pack chosen by the value of ``scope``.
+
+    A row is tested against its own pack only; without a pack no flag is set.
+    """
+    scope = F.col(scope) if isinstance(scope, str) else scope
+    each = {value: label_flags(name, rules) for value, rules in packs.items()}
+    out = {}
+    for label in LABELS:
+        chain = None
+        for value, flags in each.items():
+            test = scope == value
+            chain = F.when(test, flags[label]) if chain is None else chain.when(test, flags[label])
+        out[label] = F.lit(0) if chain is None else chain.otherwise(0)
+    return out
+
+
 def no_flag(flags: Iterable[Column]) -> Column:
     """1 when none of the flags is set."""
     return F.lit(1) - F.greatest(*flags)

@@ -1,8 +1,8 @@
 """Rule tables: plain data, read by the compilers next door.
 
 The rules are parameters.  A label pack can be a list of ``LabelRule`` or a
-CSV table with the columns ``label,kind,pattern,unless,stage``; large country
-packs are meant to be kept as such tables and passed in.
+CSV table with the columns ``pack,label,kind,pattern,unless,stage``; the large
+packs of the countries are meant to be kept in such a table and passed in.
 """
 
 from __future__ import annotations
@@ -59,20 +59,24 @@ class Step:
     tests: tuple[FieldTest, ...] = field(default=())
 
 
-PACK_SCHEMA = "label string, kind string, pattern string, unless string, stage string"
+PACK_SCHEMA = "pack string, label string, kind string, pattern string, unless string, stage string"
 
 
-def rules_from_table(table: DataFrame) -> list[LabelRule]:
-    """Rules of a small table; the size is checked before it is collected."""
-    rows = table.select("label", "kind", "pattern", "unless", "stage").limit(RULE_LIMIT + 1).collect()
+def packs_from_table(table: DataFrame) -> dict[str, list[LabelRule]]:
+    """Rules of a small table by pack; its size is checked before it is collected."""
+    rows = table.select("pack", "label", "kind", "pattern", "unless", "stage").limit(RULE_LIMIT + 1).collect()
     if len(rows) > RULE_LIMIT:
         raise ValueError(f"a rule table may have at most {RULE_LIMIT} rows")
-    return [LabelRule(r.label, r.kind, r.pattern, r.unless, r.stage or "party") for r in rows]
+    packs: dict[str, list[LabelRule]] = {}
+    for r in rows:
+        packs.setdefault(r.pack, []).append(LabelRule(r.label, r.kind, r.pattern, r.unless, r.stage or "party"))
+    return packs
 
 
-def read_label_pack(spark: SparkSession, path: str) -> list[LabelRule]:
+def read_label_packs(spark: SparkSession, path: str) -> dict[str, list[LabelRule]]:
+    """Packs of a CSV table, for example one pack per country."""
     table = spark.read.schema(PACK_SCHEMA).csv(path, header=True, nullValue="NA", escape='"')
-    return rules_from_table(table)
+    return packs_from_table(table)
 
 
 # A small label pack of our own.  The palestinian-group rule never fires: its

@@ -15,7 +15,7 @@ from pyspark.sql import types as T
 
 from rallylens.sources.incidents import EVENT_SCHEMA
 
-ROWS_PER_FILE = 1_000_000
+ROWS_PER_FILE = 250_000
 # Missing is written NA; empty and NA are read as missing.
 MISSING = "NA"
 # Label columns of a hand-coding sheet.

@@ -53,6 +53,17 @@ def test_all_ways_give_the_same_flags(events):
         assert collected(other.select(order)) == want
 
 
+def test_packs_by_country(events):
+    placed = events.withColumn("country", F.when(F.col("id") < 4, "A").when(F.col("id") < 8, "B"))
+    only_right = [r for r in packs.SMALL_PACK if r.label == "right"]
+    by_country = {"A": packs.SMALL_PACK, "B": only_right}
+    one = actors.map_partisanship(placed, by_country, scope="country")
+    two = actors.map_partisanship(placed, by_country, scope="country", limit=0)
+    assert collected(one) == collected(two.select(one.columns))
+    got = {r.id: r.event_partisan_type for r in actors.event_partisanship(one).collect()}
+    assert (got[2], got[7], got[8]) == ("left_vs_right", "unknown", "unknown")
+
+
 def test_event_types(events):
     out = actors.classify_events(events, packs.SMALL_PACK)
     got = {r.id: r.event_partisan_type for r in out.collect()}

@@ -49,12 +49,14 @@ def test_rules_are_checked():
 def test_pack_from_csv(spark, tmp_path):
     path = tmp_path / "pack.csv"
     path.write_text(
-        'label,kind,pattern,unless,stage\nleft,regex_not,labour|labor,liberal,party\nright,eq,"A ""B"", C",NA,government\n'
+        "pack,label,kind,pattern,unless,stage\n"
+        "UK,left,regex_not,labour|labor,liberal,party\n"
+        'France,right,eq,"A ""B"", C",NA,government\n'
     )
-    assert packs.read_label_pack(spark, str(path)) == [
-        LabelRule("left", "regex_not", "labour|labor", "liberal", "party"),
-        LabelRule("right", "eq", 'A "B", C', None, "government"),
-    ]
+    assert packs.read_label_packs(spark, str(path)) == {
+        "UK": [LabelRule("left", "regex_not", "labour|labor", "liberal", "party")],
+        "France": [LabelRule("right", "eq", 'A "B", C', None, "government")],
+    }
 
 
 def step(spark, notes, interaction=None, actor1=None):
