@@ -7,6 +7,7 @@ order, so a later step costs nothing for rows that were decided before it.
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -16,6 +17,7 @@ from rallylens.rules.packs import MIN_NOTE_LENGTH, PRESENCE_STEPS, FieldTest, St
 
 TOO_SHORT = "0"
 UNDECIDED = "none"
+_LOWERED = "__lowered"
 
 
 def _test(t: FieldTest) -> Column:
@@ -26,19 +28,23 @@ def _test(t: FieldTest) -> Column:
     raise ValueError(f"unknown field test {t.op!r}")
 
 
+def _any(parts: Sequence[Column]) -> Column:
+    return reduce(lambda a, b: a | b, parts)
+
+
 def _holds(step: Step, lowered: Column) -> Column:
     parts = [_test(t) for t in step.tests]
+    if step.needs:
+        parts.append(_any([lowered.contains(n) for n in step.needs]))
     if step.patterns:
         parts.append(found(lowered, *step.patterns))
-    out = parts[0]
-    for p in parts[1:]:
-        out = out & p
-    return out
+    return reduce(lambda a, b: a & b, parts)
 
 
-def deciding_step(text: str, steps: Sequence[Step], min_length: int = MIN_NOTE_LENGTH) -> Column:
+def deciding_step(
+    text: str, lowered: Column, steps: Sequence[Step], min_length: int = MIN_NOTE_LENGTH
+) -> Column:
     """Name of the step that decides; null fields make a step not hold."""
-    lowered = F.lower(F.col(text))
     chain = F.when(shorter_than(text, min_length), TOO_SHORT)
     for step in steps:
         chain = chain.when(_holds(step, lowered), step.name)
@@ -53,11 +59,14 @@ def decide(
     step: str = "step",
     min_length: int = MIN_NOTE_LENGTH,
 ) -> DataFrame:
-    """Add the deciding step and its boolean result; no shuffle."""
+    """Add the deciding step and its boolean result; no shuffle.
+
+    The lower-cased text is a column of its own, so it is made once per row.
+    """
     positive = [s.name for s in steps if s.result]
-    return df.withColumn(step, deciding_step(text, steps, min_length)).withColumn(
-        result, F.col(step).isin(positive)
-    )
+    lowered = df.withColumn(_LOWERED, F.lower(F.col(text)))
+    stepped = lowered.withColumn(step, deciding_step(text, F.col(_LOWERED), steps, min_length))
+    return stepped.drop(_LOWERED).withColumn(result, F.col(step).isin(positive))
 
 
 def police_presence(events: DataFrame, steps: Sequence[Step] = PRESENCE_STEPS) -> DataFrame:

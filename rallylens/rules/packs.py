@@ -51,12 +51,17 @@ class FieldTest:
 
 @dataclass(frozen=True)
 class Step:
-    """One step of an ordered decision; the first step that holds decides."""
+    """One step of an ordered decision; the first step that holds decides.
+
+    ``needs`` lists plain texts of which a text must contain at least one for
+    any pattern to match; it only saves work, and may be left out.
+    """
 
     name: str
     result: bool
     patterns: tuple[str, ...] = ()
     tests: tuple[FieldTest, ...] = field(default=())
+    needs: tuple[str, ...] = ()
 
 
 PACK_SCHEMA = "pack string, label string, kind string, pattern string, unless string, stage string"
@@ -126,6 +131,7 @@ PRESENCE_STEPS = (
             "police.*dropped.*(their )?handcuffs",
             "JUSAPOL",
         ),
+        needs=("police", "officer", "JUSAPOL"),
     ),
     Step(
         "1b",
@@ -147,6 +153,7 @@ PRESENCE_STEPS = (
             "black lives matter.*(in the United States|after.*killing.*United States)",
             "police brutality.*(in|after).*(United States|America)",
         ),
+        needs=("police", "black lives matter", "solidarity with", "response to", "view of"),
     ),
     Step(
         "3",
@@ -157,6 +164,7 @@ PRESENCE_STEPS = (
             "law.*would prohibit.*custody",
             "against.*law.*custody orders",
         ),
+        needs=("custody",),
     ),
     Step(
         "4",
@@ -167,6 +175,7 @@ PRESENCE_STEPS = (
             "without.*police intervention",
             "police did not intervene",
         ),
+        needs=("police",),
     ),
     Step(
         "5",
@@ -190,6 +199,7 @@ PRESENCE_STEPS = (
             "kettled|kettling",
             "police formed.*cordon",
         ),
+        needs=("police", "officer", "arrested", " used", "baton charge", "kettl"),
     ),
     Step("6", True, tests=(FieldTest("interaction", "regex", "State forces"),)),
     Step(
@@ -204,6 +214,7 @@ PRESENCE_STEPS = (
             "police observed",
             "riot police.*deployed",
         ),
+        needs=("police",),
     ),
 )
 

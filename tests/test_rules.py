@@ -1,4 +1,6 @@
 import pytest
+from hypothesis import given, settings
+from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from rallylens.rules import decisions, keywords, labels, packs
@@ -128,3 +130,13 @@ def test_final_and_response(spark, evaluate):
     assert evaluate(keywords.response_flag("t"), "Solidarity with a PHARMACY") == 1
     assert evaluate(keywords.response_flag("t"), "nothing") == 0
     assert evaluate(keywords.response_flag("t"), None) == 0
+
+
+@settings(max_examples=60, deadline=None)
+@given(data=st.data())
+@pytest.mark.parametrize("number", range(len(packs.PRESENCE_STEPS)))
+def test_needs_hold_for_every_match(number, data):
+    chosen = packs.PRESENCE_STEPS[number]
+    for pattern in chosen.patterns:
+        text = data.draw(st.from_regex(pattern, alphabet=st.characters(codec="ascii")))
+        assert any(n in text for n in chosen.needs)
