@@ -32,11 +32,6 @@ def hash_order(key: str | Sequence[str], seed: int) -> Column:
     return F.md5(F.concat_ws("|", F.lit(str(seed)), *[F.col(k).cast("string") for k in keys]))
 
 
-def sample_rows(df: DataFrame, n: int, key: str, seed: int = 123) -> DataFrame:
-    """n rows, or all of them when there are fewer; top-n per task, no sort."""
-    return df.orderBy(hash_order(key, seed), F.col(key)).limit(n)
-
-
 def sample_per_group(df: DataFrame, group: str, n: int, key: str, seed: int = 123) -> DataFrame:
     """n rows of each group; each task keeps at most n rows per group."""
     w = Window.partitionBy(group).orderBy(hash_order(key, seed), F.col(key))
@@ -67,6 +62,8 @@ def last_hash(df: DataFrame, size_of: Callable[[int], int], key: str, seed: int)
         known += PREFIX
         if c.n <= FEW_ROWS or known >= HASH_LENGTH:
             break
+    if known >= HASH_LENGTH:
+        return left.agg(F.max(_HASH)).first()[0]
     return left.orderBy(_HASH).limit(wanted).agg(F.max(_HASH)).first()[0]
 
 
@@ -75,6 +72,17 @@ def _inside(df: DataFrame, size_of: Callable[[int], int], key: str, seed: int) -
     return F.lit(False) if last is None else hash_order(key, seed) <= last
 
 
+def sample_rows(df: DataFrame, n: int, key: str, seed: int = 123) -> DataFrame:
+    """n rows, or all of them when there are fewer.
+
+    A small sample is a top-n per task; a large one is a filter, so that it
+    never has to pass through one task.
+    """
+    if n <= FEW_ROWS:
+        return df.orderBy(hash_order(key, seed), F.col(key)).limit(n)
+    return df.where(_inside(df, lambda rows: min(n, rows), key, seed))
+
+
 def sample_fraction(df: DataFrame, fraction: float, key: str, seed: int = 123) -> DataFrame:
     """Exactly round(fraction * rows) rows, halves to even.
 

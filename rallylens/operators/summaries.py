@@ -77,13 +77,26 @@ def country_year_summary(events: DataFrame) -> DataFrame:
 
 
 def global_stats(events: DataFrame, date: str = "event_date") -> DataFrame:
-    return events.agg(
-        F.count(F.lit(1)).alias("total_records"),
-        distinct_with_null("country").alias("countries"),
+    """One row about the whole table.
+
+    Rows are first merged per combination of the counted columns: several
+    distinct counts over the rows themselves would copy each row for each.
+    """
+    counted = ("country", "assoc_actor_1", "assoc_actor_2")
+    merged = events.groupBy(*counted).agg(
+        F.count(F.lit(1)).alias("n"),
         F.min("year").alias("first_year"),
         F.max("year").alias("last_year"),
         F.min(date).alias("first_date"),
         F.max(date).alias("last_date"),
+    )
+    return merged.agg(
+        F.coalesce(F.sum("n"), F.lit(0)).alias("total_records"),
+        distinct_with_null("country").alias("countries"),
+        F.min("first_year").alias("first_year"),
+        F.max("last_year").alias("last_year"),
+        F.min("first_date").alias("first_date"),
+        F.max("last_date").alias("last_date"),
         distinct_with_null("assoc_actor_1").alias("primary_actors"),
         distinct_with_null("assoc_actor_2").alias("secondary_actors"),
     )

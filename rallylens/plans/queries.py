@@ -43,6 +43,10 @@ def _classified(spark: SparkSession, sf: str) -> DataFrame:
     return actors.classify_events(incidents(spark, sf), RULES)
 
 
+def _classified_present(spark: SparkSession, sf: str) -> DataFrame:
+    return decisions.police_presence(actors.classify_events(spread(incidents(spark, sf)), RULES))
+
+
 # --- sources and sinks -----------------------------------------------------
 
 
@@ -410,8 +414,10 @@ def clean_notes(spark, sf):
 
 @query
 def note_tokens(spark, sf):
-    numbered = sampling.dense_id(table(spark, sf, "documents").select("doc_id", "text"), "doc_id")
-    labelled = numbered.join(table(spark, sf, "labels").select("doc_id"), "doc_id")
+    # Only ids are shuffled to number the rows, and only labelled texts are read on.
+    numbered = sampling.dense_id(table(spark, sf, "documents").select("doc_id"), "doc_id")
+    wanted = numbered.join(table(spark, sf, "labels").select("doc_id"), "doc_id")
+    labelled = _documents(spark, sf, "doc_id", "text").join(wanted, "doc_id")
     return tok.tokens(labelled, "text", ["row_id", "doc_id"])
 
 
@@ -444,7 +450,7 @@ def stemmed_term_counts(spark, sf):
 def _split_words(spark, sf):
     labels = table(spark, sf, "labels").select("doc_id", "quality")
     marked = sampling.train_test_flag(labels, 0.25, "doc_id", SPLIT_SEED)
-    documents = spread(table(spark, sf, "documents").select("doc_id", "text").join(marked, "doc_id"))
+    documents = _documents(spark, sf, "doc_id", "text").join(marked, "doc_id")
     return marked, tok.tokens(documents, "text", ["doc_id", "quality", "is_test"])
 
 
@@ -624,7 +630,7 @@ def region_class_join(spark, sf):
 
 def _design(spark, sf):
     """Presence, event flags and country indicators, with numeric types."""
-    events = decisions.police_presence(spread(_classified(spark, sf)))
+    events = _classified_present(spark, sf)
     flags = {f"event_{c}": F.col(f"event_{c}").cast("double") for c in packs.LABELS}
     indicators = response.indicator_columns("country", COUNTRIES)
     features = [*flags, *indicators]
@@ -668,7 +674,7 @@ def clustered_se(spark, sf):
 
 @query
 def mean_equivalence(spark, sf):
-    events = decisions.police_presence(spread(_classified(spark, sf)))
+    events = _classified_present(spark, sf)
     out = response.mean_equivalence(
         events, F.col("police_presence").cast("int"), "event_partisan_type", "left_only", "right_only"
     )

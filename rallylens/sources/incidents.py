@@ -71,7 +71,9 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def spread(df: DataFrame) -> DataFrame:
     """Rows of a few large splits over all cores, before costly text rules.
 
-    A large input has more splits than cores and is left as it is.
+    For plain scans and projections of them: asking a plan with shuffles for
+    its partitions would run it.  A large input has more splits than cores and
+    is left as it is.
     """
     cores = df.sparkSession.sparkContext.defaultParallelism
     return df if df.rdd.getNumPartitions() >= cores else df.repartition(cores)

@@ -25,6 +25,15 @@ def test_narrowing_rounds(spark, monkeypatch):
     assert got == set(in_order(range(500), 3)[:150])
 
 
+def test_large_sample_is_a_filter(spark, monkeypatch):
+    monkeypatch.setattr(sampling, "FEW_ROWS", 5)
+    df = spark.range(400).withColumnRenamed("id", "k")
+    got = sampling.sample_rows(df, 60, "k", 3)
+    assert {r.k for r in got.collect()} == set(in_order(range(400), 3)[:60])
+    assert "TakeOrdered" not in got._jdf.queryExecution().executedPlan().toString()
+    assert sampling.sample_rows(df, 1000, "k", 3).count() == 400
+
+
 def test_layout_does_not_matter(spark):
     df = spark.range(300).withColumnRenamed("id", "k")
     picks = [
