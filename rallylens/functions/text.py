@@ -31,6 +31,9 @@ CONTRACTIONS = (
     ("['’]m", " am"),
 )
 
+# What any of them ends with; a text without it is left alone.
+CONTRACTED = "['’](?i:t|s|re|ve|ll|m)" + WORD_END
+
 # Java otherwise lets "." stop at carriage returns and U+0085/2028/2029 too.
 NEWLINE_ONLY = "(?d)"
 
@@ -125,7 +128,7 @@ def expand_contractions(c: Column | str) -> Column:
     c = out = _col(c)
     for short, full in CONTRACTIONS:
         out = F.regexp_replace(out, f"(?i){short}{WORD_END}", f"{full}$1")
-    return F.when(c.contains("'") | c.contains("’"), out).otherwise(c)
+    return F.when(c.rlike(CONTRACTED), out).otherwise(c)
 
 
 def words_only(c: Column | str) -> Column:
@@ -139,8 +142,9 @@ def punctuation_to_blank(c: Column | str) -> Column:
 
 
 def clean_note(c: Column | str) -> Column:
-    words = F.lower(words_only(expand_contractions(or_empty(c))))
-    return F.trim(F.regexp_replace(words, " {2,}", " "))
+    """Lower-case words of a note with single blanks between them."""
+    words = F.regexp_replace(expand_contractions(or_empty(c)), r"[^\p{L}\p{Nd}]+", " ")
+    return F.trim(F.lower(words))
 
 
 def standardise_actor(c: Column | str) -> Column:

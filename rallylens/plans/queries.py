@@ -568,9 +568,10 @@ def batch_scores(spark, sf):
 
 def _topic_model(spark, sf):
     documents = _documents(spark, sf, "doc_id", "text")
-    cleaned = documents.withColumn("clean", tx.clean_note("text"))
+    cleaned = documents.select("doc_id", tx.clean_note("text").alias("clean"))
     side = keywords.context_ideology("clean", packs.LEFT_KEYS, packs.RIGHT_KEYS)
-    unplaced = settle(cleaned.where(side == keywords.UNCLASSIFIED).select("doc_id", "clean"))
+    # Settled before the filter, which would otherwise clean each text twice.
+    unplaced = settle(cleaned.withColumn("side", side)).where(F.col("side") == keywords.UNCLASSIFIED)
     words = tok.tokens(unplaced, "clean", ["doc_id"], cleaned=F.col("clean"))
     stemmed = tok.with_stems(words).select("doc_id", "stem")
     return topics.fit_topics(stemmed, "doc_id", "stem")

@@ -118,9 +118,18 @@ def test_repeated_key_counts_twice(evaluate):
     assert evaluate(side, "nationalist socialist") == "Right"
 
 
-def test_counting_passes_keep_every_key():
-    made = [k for group in keywords.counting_passes(packs.RIGHT_KEYS) for k in group]
-    assert sorted(made) == sorted(packs.RIGHT_KEYS)
+def test_words_are_whole_in_any_script(evaluate):
+    keys = ["green", "union", "anti-eu", "pro palestine"]
+    assert evaluate(keywords.keyword_hits("t", keys), "Green,green;greens évgreen green") == 3
+    assert evaluate(keywords.keyword_hits("t", keys), "greené union_ union") == 1
+    assert evaluate(keywords.keyword_hits("t", keys), "anti-eu pro palestine, pro  palestine") == 2
+    assert evaluate(keywords.keyword_hits("t", keys), None) is None
+
+
+def test_split_keys_keeps_every_key():
+    lists, others = keywords.split_keys(packs.RIGHT_KEYS)
+    assert sorted([k for single in lists for k in single] + others) == sorted(packs.RIGHT_KEYS)
+    assert all(len(single) == len(set(single)) for single in lists)
 
 
 def test_final_and_response(spark, evaluate):
