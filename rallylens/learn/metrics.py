@@ -33,8 +33,14 @@ def confusion_stats(df: DataFrame, actual: str, predicted: str) -> DataFrame:
             "precision": _over(tp, tp + fp),
             "recall": _over(tp, tp + fn),
             "f1": _over(2 * tp, 2 * tp + fp + fn),
+            "specificity": _over(tn, tn + fp),
+            "negative_predictive_value": _over(tn, tn + fn),
+            "prevalence": _over(tp + fn, n),
+            "detection_rate": _over(tp, n),
+            "detection_prevalence": _over(tp + fp, n),
         }
     )
+    out = out.withColumn("balanced_accuracy", (F.col("recall") + F.col("specificity")) / F.lit(2.0))
     expected = _over((tp + fp) * (tp + fn) + (fn + tn) * (fp + tn), n * n)
     return out.withColumn(
         "kappa", F.try_divide(F.col("accuracy") - expected, F.lit(1.0) - expected)

@@ -103,6 +103,7 @@ def dense_id(
 ) -> DataFrame:
     """Ids 1..n without gaps, in hash order; one shuffle by hash prefix.
 
+    The key must identify a row: prefixes are even only if keys do not repeat.
     The rows before each prefix are known from a table of at most 16**prefix
     counts (65,536), which bounds its broadcast and the window that adds it up.
     Where ids only have to be unique, ``F.monotonically_increasing_id()``

@@ -551,9 +551,12 @@ CHECKS["confusion_stats"] = with_(
         "d",
         f"SELECT *, {over('(tp + tn)', '(tp + fp + fn + tn)')} AS accuracy, {over('tp', '(tp + fp)')} AS \"precision\", "
         f"{over('tp', '(tp + fn)')} AS recall, {over('(2 * tp)', '(2 * tp + fp + fn)')} AS f1, "
+        f"{over('tn', '(tn + fp)')} AS specificity, {over('tn', '(tn + fn)')} AS negative_predictive_value, "
+        f"{over('(tp + fn)', '(tp + fp + fn + tn)')} AS prevalence, {over('tp', '(tp + fp + fn + tn)')} AS detection_rate, "
+        f"{over('(tp + fp)', '(tp + fp + fn + tn)')} AS detection_prevalence, "
         f"{over('((tp + fp) * (tp + fn) + (fn + tn) * (fp + tn))', '((tp + fp + fn + tn) * (tp + fp + fn + tn))')} AS expected FROM c",
     ),
-) + "SELECT * EXCLUDE (expected), (accuracy - expected) / nullif(CAST(1 AS DOUBLE) - expected, 0) AS kappa FROM d"
+) + "SELECT * EXCLUDE (expected), (recall + specificity) / CAST(2 AS DOUBLE) AS balanced_accuracy, (accuracy - expected) / nullif(CAST(1 AS DOUBLE) - expected, 0) AS kappa FROM d"
 CHECKS["label_prep"] = (
     "SELECT labels.doc_id, coalesce(text, '') AS text, CASE WHEN quality = 0 THEN 0 ELSE 1 END AS quality, "
     "CASE WHEN toxic = 1 THEN 1 ELSE 0 END AS toxic, CAST(CASE WHEN quality = 0 THEN 0 ELSE 1 END AS DOUBLE) AS label_0, "

@@ -68,6 +68,8 @@ def test_confusion(spark):
     row = metrics.confusion_stats(spark.createDataFrame(pairs, "a int, p int"), "a", "p").first()
     assert (row.tp, row.fp, row.fn, row.tn) == (5, 2, 1, 4)
     assert row.accuracy == pytest.approx(9 / 12) and row.precision == pytest.approx(5 / 7)
+    assert row.specificity == pytest.approx(4 / 6) and row.prevalence == pytest.approx(0.5)
+    assert row.balanced_accuracy == pytest.approx((5 / 6 + 4 / 6) / 2)
     expected = (7 * 6 + 5 * 6) / 144
     assert row.kappa == pytest.approx((0.75 - expected) / (1 - expected))
 
@@ -169,3 +171,18 @@ def test_equivalence(spark):
     error = math.sqrt(1 / 3 / 3 + 0.5 / 2)
     assert row.difference == pytest.approx(2 / 3 - 0.5)
     assert row.t_lower == pytest.approx((row.difference + 0.184) / error)
+
+
+def test_vectors_hold_the_counts(spark):
+    words = spark.createDataFrame(
+        [(d, w) for d in range(12) for w in ["a"] * (d + 1) + ["b", "c", "d", "e", "f"]], "doc int, word string"
+    )
+    model = topics.fit_topics(words, "doc", iterations=1)
+    ids = {r.term: r.term_id for r in model.vocabulary.collect()}
+    assert sorted(ids.values()) == list(range(6))
+    for r in model.vectors.collect():
+        assert r.features.size == 6
+        assert r.features[ids["a"]] == r.doc + 1 and r.features[ids["b"]] == 1
+    with pytest.raises(ValueError):
+        topics.fit_topics(words, "doc", max_terms=5)
+    assert topics.fit_topics(words, "doc", min_documents=13) is None
