@@ -143,8 +143,8 @@ def inline_field_flags(
 ) -> DataFrame:
     """Field flags without any join: rules run on each row.
 
-    Costs more processor time per row but never shuffles and needs no table,
-    which suits streams and field strings too varied to broadcast.
+    Costs more processor time per row but never shuffles and needs no table
+    made beforehand, which suits streams.
     """
     out = events
     for field, prefix in (fields or ACTOR_FIELDS).items():
@@ -164,8 +164,7 @@ def map_partisanship(
     """Events with four flags per actor field; every row kept once.
 
     Distinct field strings are labelled once and settled, then measured.  A
-    table that fits is broadcast.  One that does not is avoided when rules are
-    given (they run inline) and joined by salted shuffle otherwise.
+    table that fits is broadcast, a larger one is joined by salted shuffle.
 
     ``scope`` names a column, such as the country, whose value picks one of
     several rule packs; all countries are then labelled in one run.
@@ -175,14 +174,12 @@ def map_partisanship(
     raws = field_values(events, tuple(fields), keys).distinct()
     table = settle(flags_of_fields(raws, rules, dictionary, scope))
     small = fits_broadcast(table, limit)
-    if not small and dictionary is None:
-        return inline_field_flags(events, rules, fields, scope)
     out = events
     for field, prefix in fields.items():
         renamed = table.select(
             *keys, F.col("actor_raw").alias(field), *[F.col(c).alias(f"{prefix}_{c}") for c in LABELS]
         )
-        out = lookup_join(out, renamed, [*keys, field], "left", small=small)
+        out = lookup_join(out, renamed, [*keys, field], "left", small=small, counted=events)
     columns = [f"{p}_{c}" for p in fields.values() for c in LABELS]
     out = out.na.fill(0, columns)
     unknown = {f"{p}_unknown": no_flag(F.col(f"{p}_{c}") for c in LABELS) for p in fields.values()}

@@ -15,6 +15,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from rallylens.storage import settle
+
 BROADCAST_BYTES = 64 * 1024 * 1024
 ROW_OVERHEAD = 48
 SALTS = 64
@@ -46,13 +48,19 @@ def hot_keys(left: DataFrame, on: Sequence[str], parts: int = HOT_KEYS) -> DataF
 
 
 def salted_join(
-    left: DataFrame, table: DataFrame, on: Sequence[str], how: str = "left", salts: int = SALTS
+    left: DataFrame,
+    table: DataFrame,
+    on: Sequence[str],
+    how: str = "left",
+    salts: int = SALTS,
+    counted: DataFrame | None = None,
 ) -> DataFrame:
     """Shuffle join on (key, salt); only hot keys have more than one salt.
 
-    Rows without a key match nothing, so any salt spreads them.
+    Rows without a key match nothing, so any salt spreads them.  Keys are
+    counted once, in ``counted`` if given: a cheaper table with the same rows.
     """
-    hot = F.broadcast(hot_keys(left, on))
+    hot = F.broadcast(settle(hot_keys(left if counted is None else counted, on)))
     hashed = [f.name for f in left.schema if not isinstance(f.dataType, (T.MapType, T.VariantType))]
     content = F.xxhash64(*hashed)
     no_key = reduce(lambda a, b: a | b, [F.col(c).isNull() for c in on])
@@ -79,15 +87,17 @@ def lookup_join(
     how: str = "left",
     limit: int = BROADCAST_BYTES,
     small: bool | None = None,
+    counted: DataFrame | None = None,
 ) -> DataFrame:
     """Join a large table to a lookup table on equal key columns.
 
     ``how`` is one of inner, left, left_semi, left_anti.  ``small`` skips the
-    measurement for a caller that already made it.
+    measurement for a caller that already made it; ``counted`` is explained at
+    ``salted_join``.
     """
     on = [on] if isinstance(on, str) else list(on)
     if small is None:
         small = fits_broadcast(table, limit)
     if small:
         return left.join(F.broadcast(table), on, how)
-    return salted_join(left, table, on, how)
+    return salted_join(left, table, on, how, counted=counted)
