@@ -15,8 +15,8 @@ from rallylens.operators import tokens as tok
 from rallylens.operators.lookup import lookup_join
 from rallylens.rules import decisions, keywords, packs
 from rallylens.sources import files
-from rallylens.sources.incidents import COUNTRIES, incidents, spread, table
-from rallylens.storage import scratch_path, settle
+from rallylens.sources.incidents import COUNTRIES, incidents, table
+from rallylens.storage import scratch_path, settle, spread
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}

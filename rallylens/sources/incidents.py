@@ -68,17 +68,6 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
 
-def spread(df: DataFrame) -> DataFrame:
-    """Rows of a few large splits over all cores, before costly text rules.
-
-    For plain scans and projections of them: asking a plan with shuffles for
-    its partitions would run it.  A large input has more splits than cores and
-    is left as it is.
-    """
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df if df.rdd.getNumPartitions() >= cores else df.repartition(cores)
-
-
 def incidents(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The view over ``orders``; Spark prunes the columns a query does not use."""
     return spark.sql(INCIDENTS_SQL, orders=table(spark, sf_dir, "orders"))

@@ -46,3 +46,14 @@ def settle(df: DataFrame) -> DataFrame:
     if context.getCheckpointDir() is None:
         context.setCheckpointDir(shared_root(spark))
     return df.checkpoint(eager=True)
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """Rows of a few splits over all cores, before costly text rules.
+
+    For plain scans, settled tables and projections of them: asking a plan
+    with shuffles for its partitions would run it.  A large input has more
+    splits than cores and is left as it is.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df if df.rdd.getNumPartitions() >= cores else df.repartition(cores)

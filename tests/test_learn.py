@@ -56,11 +56,13 @@ def test_tokens_and_stop_table(spark):
     assert {r.word: r.n for r in counted.collect()}["the"] == 2
 
 
-def test_stems_by_table_and_by_token(spark):
+def test_stems_by_table_and_by_token(spark, monkeypatch):
+    monkeypatch.setattr(tok, "FREQUENT_WORDS", 2)
     df = spark.createDataFrame([(1, "arrested"), (1, "arrests"), (2, "police")], "doc int, word string")
+    df = df.union(spark.createDataFrame([(3, "police")] * 4, "doc int, word string"))
     one = sorted(map(tuple, tok.with_stems(df).select("doc", "stem").collect()))
     two = sorted(map(tuple, tok.with_stems(df, limit=0).select("doc", "stem").collect()))
-    assert one == two == [(1, "arrest"), (1, "arrest"), (2, "polic")]
+    assert one == two == [(1, "arrest"), (1, "arrest"), (2, "polic")] + [(3, "polic")] * 4
 
 
 def test_confusion(spark):
