@@ -2,32 +2,47 @@
 
 A cluster names one shared folder in ``spark.checkpoint.dir``.  Everything that
 cuts lineage or lands a table between two jobs uses that folder, so the loss of
-an executor never loses data.  Only a local-mode session without the setting
-gets a folder of its own.
+an executor never loses data.  Only a session on one machine (``local[...]``)
+without the setting gets a folder of its own; other sessions must name one.
 """
 
 from __future__ import annotations
 
-import tempfile
+import atexit
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import types as T
 
-_local_roots: dict[str, str] = {}
+_cleaned: set[str] = set()
 
 
 def shared_root(spark: SparkSession) -> str:
-    """The shared folder named by the session."""
-    named = spark.conf.get("spark.checkpoint.dir", None)
-    if named:
-        return named.rstrip("/")
+    """This application's part of the shared folder.
+
+    ``spark.checkpoint.dir`` comes first, then a folder given to
+    ``setCheckpointDir``.  The tables below it are removed when Python ends.
+    """
     context = spark.sparkContext
-    if not context.master.startswith("local"):
-        raise RuntimeError("set spark.checkpoint.dir to a folder all executors share")
-    app = context.applicationId
-    if app not in _local_roots:
-        _local_roots[app] = "file:" + tempfile.mkdtemp(prefix="rallylens-")
-    return _local_roots[app]
+    named = spark.conf.get("spark.checkpoint.dir", None) or context.getCheckpointDir()
+    if not named:
+        if not (context.master == "local" or context.master.startswith("local[")):
+            raise RuntimeError("set spark.checkpoint.dir to a folder all executors share")
+        named = "file:" + context._jvm.System.getProperty("java.io.tmpdir") + "/rallylens"
+    root = f"{named.rstrip('/')}/tables-{context.applicationId}"
+    if root not in _cleaned:
+        _cleaned.add(root)
+        atexit.register(_remove, spark, root)
+    return root
+
+
+def _remove(spark: SparkSession, root: str) -> None:
+    try:
+        jvm = spark.sparkContext._jvm
+        path = jvm.org.apache.hadoop.fs.Path(root)
+        path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+    except Exception:  # the session may be stopped already
+        return
 
 
 def scratch_path(spark: SparkSession, name: str) -> str:
@@ -35,17 +50,33 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     return f"{shared_root(spark)}/{name}-{uuid.uuid4().hex}"
 
 
+def landed(df: DataFrame, name: str = "table") -> DataFrame:
+    """``df`` written once as Parquet in the shared folder and read back.
+
+    Cuts the lineage like a checkpoint, but columnar, compressed and with sizes
+    the planner can use.  A lost executor costs nothing that is landed.
+    """
+    path = scratch_path(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(_nullable(df.schema)).parquet(path)
+
+
+def _nullable(schema: T.StructType) -> T.StructType:
+    return T.StructType([T.StructField(f.name, f.dataType, True) for f in schema.fields])
+
+
 def settle(df: DataFrame) -> DataFrame:
-    """Compute ``df`` once and cut its lineage with a reliable checkpoint.
+    """Compute ``df`` once and cut its lineage; for tables read several times.
 
-    Meant for tables that are read several times afterwards: the distinct
-    labels of a field, the vocabulary of a corpus, a trained word model.
+    Vectors and other types without a Parquet form go through a reliable
+    checkpoint, everything else through a landed table.
     """
     spark = df.sparkSession
-    context = spark.sparkContext
-    if context.getCheckpointDir() is None:
-        context.setCheckpointDir(shared_root(spark))
-    return df.checkpoint(eager=True)
+    if any(isinstance(f.dataType, T.UserDefinedType) for f in df.schema.fields):
+        if spark.sparkContext.getCheckpointDir() is None:
+            spark.sparkContext.setCheckpointDir(shared_root(spark))
+        return df.checkpoint(eager=True)
+    return landed(df, "settled")
 
 
 def spread(df: DataFrame) -> DataFrame:
