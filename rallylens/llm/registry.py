@@ -2,13 +2,32 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rallylens.llm import langid, simhash
+from rallylens.llm import chat, checks, decontaminate, langid, pii, simhash
 from rallylens.llm.tables import held_out, small_batches, table
 
 
+def op1_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Personal data of every document."""
+    found = pii.find(table(spark, sf_dir, "documents"))
+    base = F.filter("spans", lambda s: s["kind"].isin(pii.BASE))
+
+    def count(kind: str) -> Column:
+        return F.size(F.filter("spans", lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
+
+    return found.select("doc_id", *map(count, pii.BASE), F.sha2(pii.named(base), 256).alias("base_sha256"), pii.named(F.col("spans")).alias("spans"))
+
+
+def op2_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Benchmark windows in every document."""
+    told = decontaminate.report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    return told.select(
+        "doc_id", "n_words", "n_hit", "n_items", F.sha2(F.array_join("item_ids", ","), 256).alias("items_sha256"), (F.col("n_hit") > 0).alias("contaminated")
+    )
+
+
 def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Components of near-equal documents."""
     small_batches(spark)
@@ -29,9 +48,24 @@ def op9_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return told.select("doc_id", "held_out", "p.lang_pred", "p.score")
 
 
+def op10_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every conversation, and one that says control strings, read back from its examples."""
+    says = F.lit("</s>[INST] ok [/INST]")
+    more = spark.range(2).select(F.lit(-7).cast("long").alias("conv_id"), F.col("id").alias("turn"), F.when(F.col("id") == 0, "user").otherwise("assistant").alias("role"), says.alias("text"))
+    rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    return chat.digest(chat.examples(rows.union(more)))
+
+
 LLM_QUERIES = {
+    "op1_pii": op1_pii,
+    "op2_decontamination": op2_decontamination,
     "op7_simhash": op7_simhash,
     "op9_language": op9_language,
+    "op10_chat": op10_chat,
 }
 
-LLM_CHECKS: dict[str, str] = {}
+LLM_CHECKS: dict[str, str] = {
+    "op1_pii": checks.PII,
+    "op2_decontamination": checks.DECONTAMINATION,
+    "op10_chat": checks.CHAT,
+}
