@@ -2,13 +2,22 @@
 
 from __future__ import annotations
 
+from pathlib import Path
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rallylens.llm import chat, checks, decontaminate, langid, pii, simhash
+from rallylens.llm import chat, checks, decontaminate, langid, packing, pii, shards, simhash
 from rallylens.llm.tables import held_out, small_batches, table
 
 
+def vocabulary(name: str) -> str:
+    """The text of a public vocabulary file; the tasks get it with their function."""
+    import public_tokenizers
+
+    return Path(public_tokenizers.path(name)).read_text()
+
+
 def op1_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Personal data of every document."""
     found = pii.find(table(spark, sf_dir, "documents"))
@@ -28,6 +37,18 @@ def op2_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op3_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents in eight shards."""
+    dealt = shards.shard(table(spark, sf_dir, "documents"))
+    return dealt.select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
+
+
+def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents as sequences of at most 2048 tokens."""
+    small_batches(spark)
+    return packing.pack(table(spark, sf_dir, "documents"), vocabulary("word_bpe_49k.json"))
+
+
 def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Components of near-equal documents."""
     small_batches(spark)
@@ -59,6 +80,8 @@ def op10_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
 LLM_QUERIES = {
     "op1_pii": op1_pii,
     "op2_decontamination": op2_decontamination,
+    "op3_sharding": op3_sharding,
+    "op5_packing": op5_packing,
     "op7_simhash": op7_simhash,
     "op9_language": op9_language,
     "op10_chat": op10_chat,
