@@ -7,7 +7,7 @@ from pathlib import Path
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rallylens.llm import chat, checks, decontaminate, langid, packing, pii, shards, simhash
+from rallylens.llm import chat, checks, decontaminate, langid, packing, pii, quality, shards, simhash, toxicity
 from rallylens.llm.tables import held_out, small_batches, table
 
 
@@ -49,6 +49,19 @@ def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), vocabulary("word_bpe_49k.json"))
 
 
+PREDICT_FROM = 0.7
+
+
+def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Quality of every document."""
+    small_batches(spark)
+    docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
+    out = held_out(4, 2)
+    model = quality.fit(docs, labels.where(~out).select("doc_id", "quality"))
+    told = docs.select("doc_id", out.alias("held_out"), quality.quality("text", model).alias("score"))
+    return told.withColumn("predicted", (F.col("score") >= PREDICT_FROM).cast("int"))
+
+
 def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Components of near-equal documents."""
     small_batches(spark)
@@ -56,6 +69,16 @@ def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("doc_id", simhash.fingerprint_text("fp").alias("fingerprint"), "component_id")
 
 
+def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Toxicity of every document."""
+    small_batches(spark)
+    docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
+    out = held_out(3, 1)
+    model = toxicity.fit(docs, labels.where(~out).select("doc_id", "toxic"))
+    told = docs.select("doc_id", out.alias("held_out"), toxicity.toxicity("text", model).alias("score"))
+    return told.withColumn("predicted", (F.col("score") >= PREDICT_FROM).cast("int"))
+
+
 def language_model(docs: DataFrame) -> langid.KernelModel:
     """Learnt from the languages of the rows that are not held out."""
     return langid.fit(docs, docs.where(~held_out(3, 1)).select("doc_id", "lang"))
@@ -82,7 +105,9 @@ LLM_QUERIES = {
     "op2_decontamination": op2_decontamination,
     "op3_sharding": op3_sharding,
     "op5_packing": op5_packing,
+    "op6_quality": op6_quality,
     "op7_simhash": op7_simhash,
+    "op8_toxicity": op8_toxicity,
     "op9_language": op9_language,
     "op10_chat": op10_chat,
 }
