@@ -7,7 +7,7 @@ from pathlib import Path
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rallylens.llm import chat, checks, decontaminate, langid, packing, pii, quality, shards, simhash, toxicity
+from rallylens.llm import chat, checks, decontaminate, langid, packing, pii, quality, shards, simhash, topk, toxicity
 from rallylens.llm.tables import held_out, small_batches, table
 
 
@@ -43,6 +43,12 @@ def op3_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dealt.select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
 
 
+def op4_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The five best partners of every fiftieth vector."""
+    rows = topk.quantised(table(spark, sf_dir, "embeddings"))
+    return topk.search(rows, rows.where(F.col("vec_id") % 50 == 0))
+
+
 def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents as sequences of at most 2048 tokens."""
     small_batches(spark)
@@ -104,6 +110,7 @@ LLM_QUERIES = {
     "op1_pii": op1_pii,
     "op2_decontamination": op2_decontamination,
     "op3_sharding": op3_sharding,
+    "op4_topk": op4_topk,
     "op5_packing": op5_packing,
     "op6_quality": op6_quality,
     "op7_simhash": op7_simhash,
@@ -115,5 +122,6 @@ LLM_QUERIES = {
 LLM_CHECKS: dict[str, str] = {
     "op1_pii": checks.PII,
     "op2_decontamination": checks.DECONTAMINATION,
+    "op4_topk": checks.TOPK,
     "op10_chat": checks.CHAT,
 }
