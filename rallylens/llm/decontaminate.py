@@ -24,7 +24,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from rallylens.llm.tables import text_key
+from rallylens.llm.tables import text_key, unused
 from rallylens.storage import landed
 
 #: What separates words; capitals stay in and are folded later.
@@ -139,6 +139,7 @@ def report(docs: DataFrame, items: DataFrame, size: int = 10) -> DataFrame:
 def drop_contaminated(docs: DataFrame, items: DataFrame, size: int = 10) -> DataFrame:
     """The documents without any benchmark window."""
     bad = landed(matches(docs, items, size).select(F.col("doc_id").alias("_id"), F.col("text_key").alias("_key")).distinct(), "contaminated")
-    marked = docs.withColumn("_text_key", text_key())
-    left = marked.join(bad, marked["doc_id"].eqNullSafe(bad["_id"]) & (marked["_text_key"] == bad["_key"]), "left_anti")
+    key = unused(docs, "text_key")
+    marked = docs.withColumn(key, text_key())
+    left = marked.join(bad, marked["doc_id"].eqNullSafe(bad["_id"]) & (marked[key] == bad["_key"]), "left_anti")
     return left.select(*docs.columns)

@@ -5,7 +5,8 @@ the lengths go on.  On the histogram of lengths (at most ``size`` counts, all
 that reaches the driver) patterns of two or three pieces that fill a sequence
 exactly are fitted: non-negative repeat counts whose pieces come closest to the
 histogram in the least-squares sense.  Counts are rounded within what there is,
-and what is left is packed best fit, longest first.  A plan says, for each
+and what is left is packed best fit, longest first; should
+best fit of everything need fewer sequences, that plan is taken.  A plan says, for each
 length, which ranks go to which sequences; pieces are ranked within their
 length in cells, so no length is gathered, and look their place up.
 
@@ -241,7 +242,11 @@ def best_fit(left: np.ndarray, size: int) -> list[tuple[tuple[int, ...], int]]:
 
 
 def plan(counts: np.ndarray, size: int) -> list[tuple[tuple[int, ...], int]]:
-    """Patterns of lengths and how often each is used; every piece is in exactly one."""
+    """Patterns of lengths and how often each is used; every piece is in exactly one.
+
+    Exact fillings can use up the pieces that would have saved others, so the
+    fitted plan counts only if best fit alone needs no fewer sequences.
+    """
     left = counts.astype(np.int64).copy()
     chosen: list[tuple[tuple[int, ...], int]] = []
     if left[size]:
@@ -261,7 +266,9 @@ def plan(counts: np.ndarray, size: int) -> list[tuple[tuple[int, ...], int]]:
                     chosen.append((parts, use))
                     for p in parts:
                         left[p] -= use
-    return chosen + best_fit(left, size)
+    chosen += best_fit(left, size)
+    plain = best_fit(counts.astype(np.int64), size)
+    return min(chosen, plain, key=lambda made: sum(n for _, n in made))
 
 
 class Places:

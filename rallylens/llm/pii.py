@@ -24,6 +24,8 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from rallylens.llm.tables import unused
+
 THRESHOLD = 0.6
 CONTEXT_CHARS = 40
 CONTEXT_BONUS = 0.3
@@ -143,5 +145,6 @@ def masked(text: Column, found: Column) -> Column:
 
 def redact(docs: DataFrame) -> DataFrame:
     """The documents with their personal data masked; a null text stays null."""
-    told = docs.withColumn("_spans", spans("text"))
-    return told.withColumn("text", F.when(F.col("text").isNotNull(), masked(F.col("text"), F.col("_spans")))).drop("_spans")
+    found = unused(docs, "spans")
+    told = docs.withColumn(found, spans("text"))
+    return told.withColumn("text", F.when(F.col("text").isNotNull(), masked(F.col("text"), F.col(found)))).select(*docs.columns)

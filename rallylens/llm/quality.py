@@ -164,7 +164,8 @@ def sample_features(docs: DataFrame, labelled: DataFrame, label: str, per_label:
     drawn = {k: max(1, int((y == k).sum())) for k in (0, 1)}
     whole = max(1, sum(shares.values()))
     weight = np.array([shares.get(int(v), 0) / drawn[int(v)] * len(y) / whole for v in y])
-    return np.array([r.x for r in rows], dtype=np.float64).reshape(len(rows), -1), y, weight
+    x = np.array([r.x for r in rows], dtype=np.float64) if rows else np.zeros((0, 0))
+    return x, y, weight
 
 
 def features(text: str = "text") -> Column:

@@ -25,7 +25,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from rallylens.llm.tables import text_key
+from rallylens.llm.tables import text_key, unused
 from rallylens.storage import landed
 
 BITS = 64
@@ -66,7 +66,12 @@ def segment_widths(segments: int) -> list[int]:
 
 
 def links(fingerprints: DataFrame, radius: int = 2) -> DataFrame:
-    """Pairs ``a < b`` of distinct fingerprints (column fp) at most ``radius`` bits apart."""
+    """Pairs ``a < b`` of distinct fingerprints (column fp) at most ``radius`` bits apart.
+
+    Distinct fingerprints differ, so a radius of 0 has no pairs.
+    """
+    if radius < 1:
+        return fingerprints.select(F.col("fp").alias("a"), F.col("fp").alias("b")).limit(0)
     n = radius + 1
     widths = segment_widths(n)
     low = [sum(widths[:i]) for i in range(n)]
@@ -82,8 +87,6 @@ def links(fingerprints: DataFrame, radius: int = 2) -> DataFrame:
     def probes(fp: Column, i: int) -> Column:
         """The key itself and, where one difference is allowed, each of its zero bits set."""
         own = key(fp, i)
-        if radius < 1 or n < 2:
-            return F.array(own)
         flips = F.array(*[F.lit(1 << b).cast("long") for b in range(widths[(i + 1) % n])])
         free = F.filter(flips, lambda x: own["head"].bitwiseAND(x) == 0)
         return F.concat(F.array(own), F.transform(free, lambda x: F.struct(own["chain"].alias("chain"), own["head"].bitwiseOR(x).alias("head"))))
@@ -150,10 +153,11 @@ def drop_near_duplicates(docs: DataFrame, radius: int = 2, shingle: int = 3) ->
     anchor = F.coalesce(F.col("component_id").cast("string"), F.concat(F.lit("fp"), F.col("fp")))
     copies = rows.groupBy(anchor.alias("c"), "doc_id", "text_key").agg(F.count("*").alias("copies"))
     best = copies.groupBy("c").agg(F.min_by(F.struct("doc_id", "text_key", "copies"), order).alias("b"))
-    kept = landed(best.select(F.col("b.doc_id").alias("_id"), F.col("b.text_key").alias("_key"), F.col("b.copies").alias("_copies")), "kept")
-    marked = docs.withColumn("_text_key", text_key())
-    chosen = marked.join(kept, marked["doc_id"].eqNullSafe(kept["_id"]) & (marked["_text_key"] == kept["_key"]))
-    single = chosen.where(F.col("_copies") == 1).select(*docs.columns)
-    if kept.where(F.col("_copies") > 1).isEmpty():
+    key, of, n = (unused(docs, c) for c in ("text_key", "kept_id", "kept_copies"))
+    kept = landed(best.select(F.col("b.doc_id").alias(of), F.col("b.text_key").alias("kept_key"), F.col("b.copies").alias(n)), "kept")
+    marked = docs.withColumn(key, text_key())
+    chosen = marked.join(kept, marked["doc_id"].eqNullSafe(kept[of]) & (marked[key] == kept["kept_key"]))
+    single = chosen.where(F.col(n) == 1).select(*docs.columns)
+    if kept.where(F.col(n) > 1).isEmpty():
         return single
-    return single.union(chosen.where(F.col("_copies") > 1).dropDuplicates(["doc_id", "_text_key"]).select(*docs.columns))
+    return single.union(chosen.where(F.col(n) > 1).dropDuplicates(["doc_id", key]).select(*docs.columns))

@@ -55,3 +55,11 @@ def small_batches(spark: SparkSession, rows: int = 1000) -> None:
 def text_key(text: str = "text"):
     """Hash of a text, the same for null on every row; with the id it names a row's content."""
     return F.coalesce(F.xxhash64(F.col(text)), F.lit(0))
+
+
+def unused(df: DataFrame, name: str) -> str:
+    """A column name like ``name`` that ``df`` does not have."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name = f"_{name}"
+    return name
