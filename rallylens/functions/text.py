@@ -17,22 +17,24 @@ PREFIX_PATTERN = "^members of |^supporters of |^protesters from "
 # Filler around a standardised actor name.
 FILLER_PATTERN = r"^the\s+|\s+the\s+|\s+group$|\s+movement$"
 
-# Own list of contractions, most specific first; $1 is the border after it.
+# Own list of contractions, most specific first.
 WORD_END = r"($|[^\p{L}\p{Nd}])"
 CONTRACTIONS = (
     ("won['’]t", "will not"),
     ("can['’]t", "cannot"),
     ("shan['’]t", "shall not"),
     ("let['’]s", "let us"),
+    (r"(^|[^\p{L}\p{Nd}])(it|he|she|that|there|here|what|who|where|how)['’]s", "$1$2 is"),
     ("n['’]t", " not"),
     ("['’]re", " are"),
     ("['’]ve", " have"),
     ("['’]ll", " will"),
     ("['’]m", " am"),
+    ("['’]d", " would"),
 )
 
 # What any of them ends with; a text without it is left alone.
-CONTRACTED = "['’](?i:t|s|re|ve|ll|m)" + WORD_END
+CONTRACTED = "['’](?i:t|s|re|ve|ll|m|d)" + WORD_END
 
 # Java otherwise lets "." stop at carriage returns and U+0085/2028/2029 too.
 NEWLINE_ONLY = "(?d)"
@@ -127,7 +129,7 @@ def leading(c: Column | str, length: int) -> Column:
 def expand_contractions(c: Column | str) -> Column:
     c = out = _col(c)
     for short, full in CONTRACTIONS:
-        out = F.regexp_replace(out, f"(?i){short}{WORD_END}", f"{full}$1")
+        out = F.regexp_replace(out, f"(?i){short}{WORD_END}", f"{full}${short.count('(') + 1}")
     return F.when(c.rlike(CONTRACTED), out).otherwise(c)
 
 

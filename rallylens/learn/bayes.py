@@ -17,15 +17,17 @@ from rallylens.storage import settle
 MICRO = 1_000_000
 
 
-def train(words: DataFrame, word: str, label: str, smooth: float = 1.0) -> DataFrame:
+def train(words: DataFrame, word: str, label: str, smooth: float = 1.0, n: str | None = None) -> DataFrame:
     """Word model: ``word, log0, log1`` in millionths, for classes 0 and 1.
 
     ``words`` has one row per token of the training documents, with the
-    document's 0/1 label.  Counts are smoothed; both classes have equal priors.
+    document's 0/1 label, or counted rows with their count in ``n``.  Counts
+    are smoothed; both classes have equal priors.
     """
+    times = F.lit(1) if n is None else F.col(n)
     per_word = settle(
         words.groupBy(word).agg(
-            F.count_if(F.col(label) == 0).alias("n0"), F.count_if(F.col(label) == 1).alias("n1")
+            *[F.sum(F.when(F.col(label) == c, times).otherwise(0)).alias(f"n{c}") for c in (0, 1)]
         )
     )
     sums = per_word.agg(
@@ -45,7 +47,7 @@ def train(words: DataFrame, word: str, label: str, smooth: float = 1.0) -> DataF
 
 def match_vocabulary(words: DataFrame, model: DataFrame, word: str = "word") -> DataFrame:
     """Tokens whose word is a feature of the model."""
-    return lookup_join(words, model.select(word), word, "left_semi")
+    return lookup_join(words, model.select(word), word, "left_semi", merge=True)
 
 
 def predict(words: DataFrame, model: DataFrame, documents: DataFrame, doc: str, word: str = "word") -> DataFrame:
@@ -55,7 +57,7 @@ def predict(words: DataFrame, model: DataFrame, documents: DataFrame, doc: str,
     those of a document without any known word, give class 0.
     """
     scored = (
-        lookup_join(words.select(doc, word), model, word, "inner")
+        lookup_join(words.select(doc, word), model, word, "inner", merge=True)
         .groupBy(doc)
         .agg(F.sum("log0").alias("micro0"), F.sum("log1").alias("micro1"))
     )

@@ -16,6 +16,7 @@ from pyspark.ml.feature import IDF, HashingTF, RegexTokenizer
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from rallylens.functions.text import is_blank, leading, or_empty
 from rallylens.storage import settle
@@ -105,40 +106,44 @@ def score_batches(
     scorer: BatchScorer,
     labels: Sequence[str],
     max_chars: int | None = None,
+    failed: str | None = "failed",
 ) -> DataFrame:
-    """Run ``scorer`` over Arrow batches of non-blank texts.
+    """Run ``scorer`` over Arrow batches of non-blank texts; only the text goes through Python.
 
     ``scorer`` maps a series of texts to a frame with one column per label.
     Blank texts score 0.  When a batch fails its texts are scored one by one,
-    and a text that fails alone scores 0.
+    and a text that fails alone scores 0 and is flagged in ``failed`` (None
+    leaves the flag out).
     """
     labels = list(labels)
-    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema)
-    schema = fields + "".join(f", `{c}` double" for c in labels)
+    made = T.StructType([T.StructField(c, T.DoubleType()) for c in labels] + [T.StructField("__failed", T.BooleanType())])
 
     def one_by_one(texts: pd.Series) -> pd.DataFrame:
         parts = []
         for i in range(len(texts)):
             piece = texts.iloc[i : i + 1]
             try:
-                parts.append(scorer(piece)[labels].set_axis(piece.index))
-            except Exception:  # a scorer may fail in any way; that text scores 0
-                parts.append(pd.DataFrame(0.0, index=piece.index, columns=labels))
+                parts.append(scorer(piece)[labels].set_axis(piece.index).assign(__failed=False))
+            except Exception:  # a scorer may fail in any way; that text is flagged
+                parts.append(pd.DataFrame(0.0, index=piece.index, columns=labels).assign(__failed=True))
         return pd.concat(parts)
 
-    def run(batches):
-        for batch in batches:
-            texts = batch[text].fillna("").astype(str)
-            if max_chars is not None:
-                texts = texts.str.slice(0, max_chars)
-            texts = texts[texts.str.strip() != ""]
-            scores = pd.DataFrame(0.0, index=batch.index, columns=labels)
-            if len(texts):
-                try:
-                    made = scorer(texts)[labels].set_axis(texts.index)
-                except Exception:  # see one_by_one
-                    made = one_by_one(texts)
-                scores.loc[texts.index, labels] = made.astype(float)
-            yield pd.concat([batch, scores], axis=1)
-
-    return df.mapInPandas(run, schema)
+    @F.pandas_udf(made)
+    def score(column: pd.Series) -> pd.DataFrame:
+        texts = column.fillna("").astype(str)
+        if max_chars is not None:
+            texts = texts.str.slice(0, max_chars)
+        texts = texts[texts.str.strip() != ""]
+        scores = pd.DataFrame(0.0, index=column.index, columns=labels).assign(__failed=False)
+        if len(texts):
+            try:
+                found = scorer(texts)[labels].set_axis(texts.index).assign(__failed=False)
+            except Exception:  # see one_by_one
+                found = one_by_one(texts)
+            scores.loc[texts.index, labels] = found[labels].astype(float)
+            scores.loc[texts.index, "__failed"] = found["__failed"]
+        return scores
+
+    scored = df.withColumn("__scores", score.asNondeterministic()(F.col(text)))
+    flags = [] if failed is None else [F.col("__scores.__failed").alias(failed)]
+    return scored.select(*df.columns, *[F.col("__scores")[c].alias(c) for c in labels], *flags)

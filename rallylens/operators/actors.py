@@ -58,6 +58,18 @@ def label_dictionary(dictionary: DataFrame, rules: Sequence[LabelRule]) -> DataF
     return flagged.withColumn("unknown", no_flag(F.col(c) for c in LABELS))
 
 
+def label_by_table(dictionary: DataFrame, exact: DataFrame) -> DataFrame:
+    """Dictionary with flags from a table of exact names, of any size.
+
+    ``exact``: pattern and label, as in a rule table.  A name may have several
+    labels; names not listed are unknown.
+    """
+    flags = [F.max((F.col("label") == c).cast("int")).alias(c) for c in LABELS]
+    single = settle(exact.groupBy(F.col("pattern").alias("actor_clean")).agg(*flags))
+    joined = lookup_join(dictionary, single, "actor_clean", "left").na.fill(0, list(LABELS))
+    return joined.withColumn("unknown", no_flag(F.col(c) for c in LABELS))
+
+
 def stage_coverage(
     dictionary: DataFrame, rules: Sequence[LabelRule], stages: Sequence[str] = STAGES
 ) -> DataFrame:

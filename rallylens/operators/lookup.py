@@ -19,11 +19,13 @@ from rallylens.storage import settle
 
 BROADCAST_BYTES = 64 * 1024 * 1024
 ROW_OVERHEAD = 48
-SALTS = 64
+# A hot key is spread over as many tasks as it has this many rows.
+ROWS_PER_SALT = 1_000_000
+NO_KEY_SALTS = 1 << 20
 # A key is hot when it holds more than 1/HOT_KEYS of the rows; there can be no
 # more than HOT_KEYS such keys, which bounds their broadcast.
 HOT_KEYS = 10_000
-_SALT, _HOT, _N = "__salt", "__hot", "__n"
+_SALT, _HOT, _N, _COPY = "__salt", "__hot", "__n", "__copy"
 
 
 def table_bytes(table: DataFrame) -> int:
@@ -41,10 +43,10 @@ def fits_broadcast(table: DataFrame, limit: int = BROADCAST_BYTES) -> bool:
 
 
 def hot_keys(left: DataFrame, on: Sequence[str], parts: int = HOT_KEYS) -> DataFrame:
-    """Keys with more than 1/parts of the rows; fewer than ``parts`` of them."""
+    """Keys with more than 1/parts of the rows, and their rows; fewer than ``parts`` keys."""
     counts = left.groupBy(*on).agg(F.count(F.lit(1)).alias(_N))
     total = counts.agg(F.sum(_N)).scalar()
-    return counts.where(F.col(_N) * F.lit(parts) > total).select(*on, F.lit(True).alias(_HOT))
+    return counts.where(F.col(_N) * F.lit(parts) > total).select(*on, F.col(_N).alias(_HOT))
 
 
 def salted_join(
@@ -52,32 +54,45 @@ def salted_join(
     table: DataFrame,
     on: Sequence[str],
     how: str = "left",
-    salts: int = SALTS,
+    rows_per_salt: int = ROWS_PER_SALT,
     counted: DataFrame | None = None,
+    merge: bool = False,
 ) -> DataFrame:
     """Shuffle join on (key, salt); only hot keys have more than one salt.
 
-    Rows without a key match nothing, so any salt spreads them.  Keys are
-    counted once, in ``counted`` if given: a cheaper table with the same rows.
+    A hot key gets one salt for every ``rows_per_salt`` of its rows.  Salts
+    come from the row's content, so a retried task deals its rows alike; equal
+    rows would share one, so ``merge`` counts them first and repeats them after
+    the join.  Merging suits narrow tables with many equal rows, such as
+    tokens.  Rows without a key match nothing, so any salt spreads them.  Keys
+    are counted once, in ``counted`` if given: a cheaper table with the same
+    rows.
     """
     hot = F.broadcast(settle(hot_keys(left if counted is None else counted, on)))
+    if merge:
+        columns = left.columns
+        left = left.groupBy(*columns).agg(F.count(F.lit(1)).alias(_COPY))
     hashed = [f.name for f in left.schema if not isinstance(f.dataType, (T.MapType, T.VariantType))]
     content = F.xxhash64(*hashed)
     no_key = reduce(lambda a, b: a | b, [F.col(c).isNull() for c in on])
+    salts = F.ceil(F.col(_HOT) / F.lit(rows_per_salt)).cast("int")
     salt = (
-        F.when(no_key, F.pmod(content, F.lit(salts * salts)))
-        .when(F.col(_HOT), F.pmod(content, F.lit(salts)))
+        F.when(no_key, F.pmod(content, F.lit(NO_KEY_SALTS)))
+        .when(F.col(_HOT).isNotNull(), F.pmod(content, salts))
         .otherwise(0)
         .cast("int")
     )
     spread = left.join(hot, list(on), "left").withColumn(_SALT, salt).drop(_HOT)
-    every = F.sequence(F.lit(0), F.lit(salts - 1))
+    every = F.sequence(F.lit(0), salts - 1)
     repeated = (
         table.join(hot, list(on), "left")
-        .withColumn(_SALT, F.explode(F.when(F.col(_HOT), every).otherwise(F.array(F.lit(0)))))
+        .withColumn(_SALT, F.explode(F.when(F.col(_HOT).isNotNull(), every).otherwise(F.array(F.lit(0)))))
         .drop(_HOT)
     )
-    return spread.join(repeated, [*on, _SALT], how).drop(_SALT)
+    joined = spread.join(repeated, [*on, _SALT], how).drop(_SALT)
+    if merge:
+        joined = joined.withColumn(_COPY, F.explode(F.array_repeat(F.lit(1), F.col(_COPY).cast("int")))).drop(_COPY)
+    return joined
 
 
 def lookup_join(
@@ -88,16 +103,18 @@ def lookup_join(
     limit: int = BROADCAST_BYTES,
     small: bool | None = None,
     counted: DataFrame | None = None,
+    merge: bool = False,
+    rows_per_salt: int = ROWS_PER_SALT,
 ) -> DataFrame:
     """Join a large table to a lookup table on equal key columns.
 
     ``how`` is one of inner, left, left_semi, left_anti.  ``small`` skips the
-    measurement for a caller that already made it; ``counted`` is explained at
-    ``salted_join``.
+    measurement for a caller that already made it; ``counted``, ``merge`` and
+    ``rows_per_salt`` are explained at ``salted_join``.
     """
     on = [on] if isinstance(on, str) else list(on)
     if small is None:
         small = fits_broadcast(table, limit)
     if small:
         return left.join(F.broadcast(table), on, how)
-    return salted_join(left, table, on, how, counted=counted)
+    return salted_join(left, table, on, how, rows_per_salt, counted, merge)

@@ -2,15 +2,17 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from rallylens.operators.lookup import lookup_join
+from rallylens.storage import settle
 
 EARTH_RADIUS_KM = 6371.0
-SITE_LIMIT = 200
+# Widths of the grid cells, one after the other; the last is the whole globe.
+CELL_DEGREES = (0.5, 2.0, 8.0, 45.0, 360.0)
 
 
 def distance_km(lat1: Column, lon1: Column, lat2: Column, lon2: Column) -> Column:
@@ -20,14 +22,40 @@ def distance_km(lat1: Column, lon1: Column, lat2: Column, lon2: Column) -> Colum
     return F.lit(2 * EARTH_RADIUS_KM) * F.asin(F.least(F.lit(1.0), F.sqrt(a)))
 
 
-def nearest_site_distance(
-    events: DataFrame, sites: Sequence[tuple[float, float]], name: str = "distance_km"
-) -> DataFrame:
-    """Distance to the nearest of a short list of sites; no join, no shuffle."""
-    if not 1 <= len(sites) <= SITE_LIMIT:
-        raise ValueError(f"give 1 to {SITE_LIMIT} sites")
-    each = [distance_km(F.col("latitude"), F.col("longitude"), F.lit(la), F.lit(lo)) for la, lo in sites]
-    return events.withColumn(name, F.least(*each) if len(each) > 1 else each[0])
+def nearest_site_distance(events: DataFrame, sites: DataFrame, name: str = "distance_km") -> DataFrame:
+    """Distance to the nearest of any number of sites (latitude, longitude).
+
+    Distinct places meet the sites of their grid cell and its eight neighbours.
+    What lies outside those is at least one cell away, so a nearer site than
+    that is certain to be the nearest; places without one go on with cells
+    twice as wide, the last of which holds the whole globe.  Null without
+    coordinates or sites.
+    """
+    spots = ["latitude", "longitude"]
+    spot = events.select(*[F.col(c).cast("double").alias(c) for c in spots]).distinct()
+    left = settle(spot.where(F.col("latitude").isNotNull() & F.col("longitude").isNotNull()))
+    targets = settle(sites.select(F.col("latitude").cast("double").alias("s_lat"), F.col("longitude").cast("double").alias("s_lon")).dropna().distinct())
+    done = []
+    for size in CELL_DEGREES:
+        wide = int(360 / size)
+
+        def cell(lat: Column, lon: Column, dy: int = 0, dx: int = 0) -> Column:
+            row = F.floor((lat + 90) / size) + dy
+            return F.struct(row.alias("y"), F.pmod(F.floor((lon + 180) / size) + dx, F.lit(wide)).alias("x"))
+
+        around = [cell(F.col("latitude"), F.col("longitude"), dy, dx) for dy in (-1, 0, 1) for dx in (-1, 0, 1)]
+        near = left.select("*", F.explode(F.array_distinct(F.array(*around))).alias("cell"))
+        placed = targets.select("*", cell(F.col("s_lat"), F.col("s_lon")).alias("cell"))
+        met = near.join(placed, "cell")
+        best = met.groupBy(*spots).agg(F.min(distance_km(F.col("latitude"), F.col("longitude"), F.col("s_lat"), F.col("s_lon"))).alias(name))
+        reach = F.lit(EARTH_RADIUS_KM) * F.asin(F.sin(F.radians(F.lit(size))) * F.cos(F.radians("latitude")))
+        certain = F.lit(True) if size == CELL_DEGREES[-1] else F.col(name) <= reach
+        found = settle(best.where(certain))
+        done.append(found)
+        left = settle(left.join(found.select(*spots), spots, "left_anti"))
+        if left.isEmpty():
+            break
+    return lookup_join(events, reduce(lambda a, b: a.union(b), done), spots, "left")
 
 
 def region_class(df: DataFrame, regions: DataFrame, code: str, missing: str = "unclassified") -> DataFrame:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Mapping, Sequence
 from functools import reduce
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
@@ -19,6 +19,18 @@ def with_text(df: DataFrame, column: str) -> DataFrame:
     return df.where(F.col(column).isNotNull() & (F.col(column) != ""))
 
 
+def computed_once(df: DataFrame, columns: Mapping[str, Column]) -> DataFrame:
+    """Add columns that a filter on them does not compute again.
+
+    A filter on a plain computed column is pushed below it and carries the
+    whole expression along.  A generator of one row stops that, and needs no
+    shuffle and no copy of the table.
+    """
+    kept = df.drop(*columns)
+    made = F.struct(*[c.alias(name) for name, c in columns.items()])
+    return kept.select("*", F.inline(F.array(made)))
+
+
 def stack_tables(tables: Sequence[DataFrame]) -> DataFrame:
     """Union by name; the columns must agree."""
     return reduce(lambda a, b: a.unionByName(b), tables)

@@ -23,7 +23,8 @@ from rallylens.storage import settle
 
 PREFIX = 4
 HASH_LENGTH = 32
-FEW_ROWS = 10_000
+# Hashes that may be put in order at once when the last prefix is reached.
+LAST_ROUND = 10_000
 _HASH, _BUCKET, _BEFORE = "__hash", "__bucket", "__before"
 
 
@@ -60,7 +61,7 @@ def last_hash(df: DataFrame, size_of: Callable[[int], int], key: str, seed: int)
             wanted -= c.n
         left = left.where(digits == c.digits)
         known += PREFIX
-        if c.n <= FEW_ROWS or known >= HASH_LENGTH:
+        if c.n <= LAST_ROUND or known >= HASH_LENGTH:
             break
     if known >= HASH_LENGTH:
         return left.agg(F.max(_HASH)).first()[0]
@@ -73,13 +74,12 @@ def _inside(df: DataFrame, size_of: Callable[[int], int], key: str, seed: int) -
 
 
 def sample_rows(df: DataFrame, n: int, key: str, seed: int = 123) -> DataFrame:
-    """n rows, or all of them when there are fewer.
+    """The rows up to the n-th in hash order, or all when there are fewer.
 
-    A small sample is a top-n per task; a large one is a filter, so that it
-    never has to pass through one task.
+    A filter on the hash for every n, so a sample never passes through one
+    task.  Should the n-th key repeat, rows with that key stay together and
+    the sample is larger than n by those.
     """
-    if n <= FEW_ROWS:
-        return df.orderBy(hash_order(key, seed), F.col(key)).limit(n)
     return df.where(_inside(df, lambda rows: min(n, rows), key, seed))
 
 

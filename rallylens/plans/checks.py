@@ -9,7 +9,7 @@ from __future__ import annotations
 from rallylens.functions import stem
 from rallylens.functions.text import CONTRACTIONS, FILLER_PATTERN, PREFIX_PATTERN, REMARK_PATTERN, WORD_END
 from rallylens.rules import packs
-from rallylens.sources.incidents import COUNTRIES, INCIDENTS_SQL
+from rallylens.sources.incidents import COUNTRIES, INCIDENTS_SQL, REPORTED_SQL
 
 CHECKS: dict[str, str] = {}
 INC = INCIDENTS_SQL.replace("{orders}", "orders")
@@ -30,6 +30,7 @@ def with_(*parts: tuple[str, str]) -> str:
 
 
 inc = ("inc", INC)
+rep = ("inc", REPORTED_SQL.format(orders="orders", benchmark="benchmark", documents="documents", supplier="supplier"))
 
 # --- shared pieces ---------------------------------------------------------
 
@@ -102,7 +103,7 @@ typed = (
     "WHEN event_centre = 1 THEN 'centre_only' ELSE 'unknown' END AS event_partisan_type "
     f"FROM (SELECT *, {event_flags} FROM flagged)",
 )
-PARTISAN = (inc, stackd, names, dictionary, labelled, by_raw, flagged, typed)
+PARTISAN = (rep, stackd, names, dictionary, labelled, by_raw, flagged, typed)
 
 
 def decision_sql(text: str, steps) -> str:
@@ -127,7 +128,7 @@ pres = (
     f"SELECT *, presence_step IN ({positive(packs.PRESENCE_STEPS)}) AS police_presence "
     f"FROM (SELECT *, {decision_sql('notes', packs.PRESENCE_STEPS)} AS presence_step FROM inc)",
 )
-PRESENCE = with_(inc, pres)
+PRESENCE = with_(rep, pres)
 HASH = f"md5(concat_ws('|', '123', {ID}))"
 
 
@@ -147,6 +148,18 @@ COUNTRY_YEAR = with_(inc) + (
     "FROM inc GROUP BY country, year"
 )
 CHECKS["paged_landing_union"] = COUNTRY_YEAR
+CHECKS["landed_responses"] = with_(
+    inc,
+    ("n", "SELECT *, CAST(substring(event_id_cnty, 4) AS BIGINT) % 4 AS page FROM inc"),
+    (
+        "pages",
+        "SELECT country, year, page, count(*) AS n, (year + page) % 5 = 0 AS failed FROM n GROUP BY ALL "
+        "UNION ALL SELECT DISTINCT country, year, 99, 0, false FROM n",
+    ),
+) + (
+    "SELECT country, year, count(*) AS pages, count(*) FILTER (failed) AS failed, 0::BIGINT AS broken, count(*) FILTER (n = 0) AS empty, "
+    "count(*) FILTER (NOT failed AND n > 0 AND n < 100) AS short, coalesce(sum(n) FILTER (NOT failed), 0)::BIGINT AS events FROM pages GROUP BY country, year"
+)
 CHECKS["combine_country_tables"] = with_(inc) + (
     "SELECT country AS country_source, sub_event_type, count(*) AS n FROM inc "
     f"WHERE country IN ({', '.join(q(c) for c in COUNTRIES)}) GROUP BY ALL"
@@ -163,15 +176,15 @@ CHECKS["filter_country"] = with_(inc) + f"SELECT {ID}, event_date, country, note
 CHECKS["filter_not_in_keep_null"] = with_(inc) + (
     f"SELECT {ID}, admin1 FROM inc WHERE admin1 IS NULL OR admin1 NOT IN ('Northern Ireland', 'Scotland', 'Wales')"
 )
-CHECKS["filter_regex"] = with_(inc) + (
+CHECKS["filter_regex"] = with_(rep) + (
     f"SELECT {ID}, assoc_actor_1 FROM inc WHERE assoc_actor_1 <> '' "
     "AND regexp_matches(lower(assoc_actor_1), 'france|labour') AND NOT regexp_matches(lower(assoc_actor_1), 'liberal')"
 )
 
 # --- actors ----------------------------------------------------------------
 
-CHECKS["actor_dictionary"] = with_(inc, stackd, names) + dictionary[1]
-CHECKS["actor_labels"] = with_(inc, stackd, names, dictionary) + labelled[1]
+CHECKS["actor_dictionary"] = with_(rep, stackd, names) + dictionary[1]
+CHECKS["actor_labels"] = with_(rep, stackd, names, dictionary) + labelled[1]
 
 
 def stage_sql() -> str:
@@ -184,7 +197,7 @@ def stage_sql() -> str:
         f"count(*) - count(*) FILTER (hit <= {n}) AS unknown FROM hits"
         for n, s in enumerate(packs.STAGES, start=1)
     )
-    return with_(inc, stackd, names, dictionary, ("hits", f"SELECT CASE {firsts} END AS hit FROM dictionary")) + per_stage
+    return with_(rep, stackd, names, dictionary, ("hits", f"SELECT CASE {firsts} END AS hit FROM dictionary")) + per_stage
 
 
 CHECKS["stage_coverage"] = stage_sql()
@@ -199,9 +212,8 @@ FIELD_FLAGS = f"SELECT {ID}, " + ", ".join(
 )
 CHECKS["field_flags"] = with_(*PARTISAN[:-1]) + FIELD_FLAGS + " FROM flagged"
 CHECKS["field_flags_inline"] = CHECKS["field_flags"]
-CHECKS["dictionary_lookup"] = with_(*PARTISAN[:-1]) + (
-    f"SELECT {ID}, actor1_left, actor1_right, actor1_centre, actor1_unknown FROM flagged"
-)
+CHECKS["dictionary_lookup"] = CHECKS["field_flags"]
+CHECKS["field_flags_shuffled"] = CHECKS["field_flags"]
 CHECKS["event_partisan_type"] = with_(*PARTISAN) + (
     f"SELECT {ID}, event_left, event_right, event_centre, event_partisan_type FROM typed"
 )
@@ -244,7 +256,7 @@ def country_pack_sql() -> str:
         f"coalesce(event_centre, 0) AS event_centre FROM inc LEFT JOIN found USING ({ID})"
     )
     case = typed[1].split(" FROM (SELECT")[0].replace("SELECT *,", f"SELECT {ID}, country,", 1)
-    return with_(inc, ("long", long), ("parts", parts), ("found", found), ("flags", all_events)) + case + " FROM flags"
+    return with_(rep, ("long", long), ("parts", parts), ("found", found), ("flags", all_events)) + case + " FROM flags"
 
 
 CHECKS["type_by_country_pack"] = country_pack_sql()
@@ -285,7 +297,12 @@ CHECKS["presence_crosstab"] = PRESENCE + (
     "SELECT interaction, count(*) FILTER (NOT police_presence) AS absent, count(*) FILTER (police_presence) AS present "
     "FROM pres GROUP BY interaction"
 )
-CHECKS["keyword_response"] = with_(inc) + (
+CHECKS["presence_pattern_hits"] = with_(rep) + " UNION ALL ".join(
+    f"SELECT {q(s.name)} AS step, {q(p)} AS pattern, count(*) FILTER (regexp_matches(lower(notes), {q(p)})) AS n FROM inc"
+    for s in packs.PRESENCE_STEPS
+    for p in s.patterns
+)
+CHECKS["keyword_response"] = with_(rep) + (
     f"SELECT {ID}, CAST(coalesce(regexp_matches(notes, {q('(?i)' + '|'.join(packs.RESPONSE_KEYS))}), false) AS INT) AS response FROM inc"
 )
 
@@ -295,7 +312,8 @@ CHECKS["keyword_response"] = with_(inc) + (
 def expanded(c: str) -> str:
     out = f"coalesce({c}, '')"
     for short, full in CONTRACTIONS:
-        out = f"regexp_replace({out}, {q('(?i)' + short + WORD_END)}, {q(full + chr(92) + '1')}, 'g')"
+        put = (full + f"${short.count('(') + 1}").replace("$", chr(92))
+        out = f"regexp_replace({out}, {q('(?i)' + short + WORD_END)}, {q(put)}, 'g')"
     return out
 
 
@@ -339,8 +357,9 @@ final = (
     "SELECT *, coalesce(nullif(actor1_ideology, 'Unclassified'), nullif(actor2_ideology, 'Unclassified'), context_ideology) "
     f"AS final_ideology FROM (SELECT *, {LARGER} AS context_ideology FROM keyed)",
 )
-IDEOLOGY = with_(inc, named, keyed, final)
-CHECKS["standardise_actors"] = with_(inc, named) + f"SELECT {ID}, actor1_std, actor2_std FROM named"
+IDEOLOGY_PARTS = (rep, named, keyed, final)
+IDEOLOGY = with_(*IDEOLOGY_PARTS)
+CHECKS["standardise_actors"] = with_(rep, named) + f"SELECT {ID}, actor1_std, actor2_std FROM named"
 CHECKS["actor_ideology"] = IDEOLOGY + f"SELECT {ID}, actor1_ideology, actor2_ideology FROM final"
 CHECKS["unclassified_events"] = IDEOLOGY + (
     f"SELECT {ID}, assoc_actor_1, assoc_actor_2 FROM final WHERE actor1_ideology = 'Unclassified' AND actor2_ideology = 'Unclassified'"
@@ -360,6 +379,9 @@ CHECKS["ideology_by_year"] = IDEOLOGY + (
 CHECKS["validation_sample"] = PRESENCE + (
     f"SELECT {ID}, country, event_date, interaction, notes FROM pres WHERE police_presence ORDER BY {HASH}, {ID} LIMIT 20"
 )
+CHECKS["large_sample"] = with_(inc) + (
+    f"SELECT {ID}, country FROM (SELECT *, row_number() OVER (ORDER BY {HASH}, {ID}) AS rn, count(*) OVER () AS total FROM inc) WHERE rn <= 2 * total // 3"
+)
 CHECKS["sample_per_group"] = IDEOLOGY + (
     f"SELECT {ID}, event_date, assoc_actor_1, assoc_actor_2, notes, final_ideology FROM final "
     f"QUALIFY row_number() OVER (PARTITION BY final_ideology ORDER BY {HASH}, {ID}) <= 3"
@@ -409,11 +431,12 @@ CHECKS["missing_counts"] = with_(inc) + "SELECT count(*) AS total, " + ", ".join
 STOPS = ", ".join(q(w) for w in packs.STOP_WORDS)
 
 
-def token_sql(source: str, keep: str) -> str:
+def token_sql(source: str, keep: str, stops: str = STOPS) -> str:
     lead = f"{keep}, " if keep else ""
+    dropped = f" AND word NOT IN ({stops})" if stops else ""
     return (
         f"SELECT {lead}word FROM (SELECT {lead}unnest(string_split({cleaned('text')}, ' ')) AS word FROM {source}) "
-        f"WHERE word <> '' AND NOT regexp_matches(word, '^[0-9]+$') AND word NOT IN ({STOPS})"
+        f"WHERE word <> '' AND NOT regexp_matches(word, '^[0-9]+$'){dropped}"
     )
 
 
@@ -425,6 +448,11 @@ CHECKS["note_tokens"] = with_(
     ),
     ("kept", "SELECT numbered.* FROM numbered JOIN (SELECT doc_id FROM labels) USING (doc_id)"),
 ) + token_sql("kept", "row_id, doc_id")
+CHECKS["stop_table_tokens"] = with_(
+    ("words", token_sql("documents", "doc_id", "")),
+    ("d", "SELECT count(DISTINCT doc_id) AS n FROM words"),
+    ("stops", "SELECT word FROM words, d GROUP BY word, d.n HAVING count(DISTINCT doc_id) > CAST(0.1 AS DOUBLE) * d.n"),
+) + "SELECT word, count(*) AS n FROM words WHERE word NOT IN (SELECT word FROM stops) GROUP BY word"
 CHECKS["doc_term_counts"] = with_(("words", token_sql("documents", "doc_id"))) + (
     "SELECT doc_id, word, count(*) AS n FROM words GROUP BY 1, 2"
 )
@@ -601,9 +629,9 @@ def half_count(pattern: str) -> str:
     )
 
 
-CHECKS["batch_scores"] = with_(inc) + (
+CHECKS["batch_scores"] = with_(rep) + (
     f"SELECT {ID}, notes, {half_count('tear gas|cordon')} AS coercion, {half_count('arrest')} AS arrest, "
-    f"{half_count('brutal')} AS brutality FROM inc"
+    f"{half_count('brutal')} AS brutality, false AS failed FROM inc"
 )
 
 # --- place, time, models ---------------------------------------------------
@@ -616,21 +644,50 @@ CHECKS["grid_month_rate"] = PRESENCE + (
 )
 
 
-def haversine(la: float, lo: float) -> str:
+def haversine(la: str, lo: str) -> str:
     dlat, dlon = f"radians(CAST({la} AS DOUBLE) - latitude) / 2", f"radians(CAST({lo} AS DOUBLE) - longitude) / 2"
     a = f"sin({dlat}) * sin({dlat}) + cos(radians(latitude)) * cos(radians(CAST({la} AS DOUBLE))) * sin({dlon}) * sin({dlon})"
     return f"2 * 6371 * asin(least(1, sqrt({a})))"
 
 
-SITES = ((48.86, 2.35), (52.52, 13.4), (41.9, 12.5), (40.42, -3.7), (51.51, -0.13))
-CHECKS["nearest_site_distance"] = with_(inc) + (
-    f"SELECT {ID}, round(least({', '.join(haversine(*s) for s in SITES)}), 3) AS distance_km FROM inc"
-)
+CHECKS["nearest_site_distance"] = with_(
+    inc,
+    ("spots", "SELECT DISTINCT latitude, longitude FROM inc"),
+    ("sites", "SELECT DISTINCT CAST(36 + c_custkey % 499 / 16.0 AS DOUBLE) AS la, CAST(c_custkey % 1009 / 16.0 - 30 AS DOUBLE) AS lo FROM customer"),
+    ("best", f"SELECT latitude, longitude, min({haversine('la', 'lo')}) AS km FROM spots, sites GROUP BY 1, 2"),
+) + f"SELECT {ID}, round(km, 3) AS distance_km FROM inc JOIN best USING (latitude, longitude)"
 CHECKS["region_class_join"] = (
     "SELECT region_class, count(*) AS n FROM (SELECT CASE WHEN r_name IN ('EUROPE', 'AMERICA') THEN 'urban' "
     "WHEN r_name IS NULL THEN 'unclassified' ELSE 'rural' END AS region_class FROM customer "
     "LEFT JOIN (SELECT * FROM nation JOIN region ON n_regionkey = r_regionkey) ON c_nationkey = n_nationkey) GROUP BY 1"
 )
+PAIR = (
+    rep,
+    pres,
+    ("x", "SELECT admin1, CAST(country = 'France' AS INT) AS f, CAST(police_presence AS INT) AS y FROM pres"),
+    ("g", "SELECT f, avg(y) AS p, count(*) AS n FROM x GROUP BY f"),
+    ("b", "SELECT max(p) FILTER (f = 0) AS p0, max(p) FILTER (f = 1) AS p1, max(n * p * (1 - p)) FILTER (f = 0) AS a0, max(n * p * (1 - p)) FILTER (f = 1) AS a1 FROM g"),
+    ("c", "SELECT admin1, sum(y - p0) FILTER (f = 0) AS s0, sum(y - p1) FILTER (f = 1) AS s1 FROM x, b GROUP BY admin1"),
+    ("v", "SELECT CAST(count(*) AS DOUBLE) / (count(*) - 1) AS k, sum((coalesce(s0, 0) / a0) ^ 2) AS v0, "
+          "sum((coalesce(s1, 0) / a1 - coalesce(s0, 0) / a0) ^ 2) AS v1 FROM c, b"),
+)
+CHECKS["clustered_pair"] = with_(*PAIR) + (
+    "SELECT '(intercept)' AS term, round(ln(p0 / (1 - p0)), 4) AS coefficient, round(sqrt(k * v0), 4) AS std_error FROM b, v "
+    "UNION ALL SELECT 'is_france', round(ln(p1 / (1 - p1)) - ln(p0 / (1 - p0)), 4), round(sqrt(k * v1), 4) FROM b, v"
+)
+CHECKS["presence_logit_countries"] = with_(rep, pres, ("g", "SELECT country, avg(CAST(police_presence AS INT)) AS p FROM pres GROUP BY country")) + (
+    "SELECT '(intercept)' AS term, round(ln(p / (1 - p)), 4) AS coefficient FROM g WHERE country = 'France' UNION ALL "
+    "SELECT 'country=' || g.country, round(ln(g.p / (1 - g.p)) - ln(b.p / (1 - b.p)), 4) FROM g, g b WHERE b.country = 'France' AND g.country <> 'France'"
+)
+CHECKS["severity_invariants"] = (
+    "SELECT count(*) AS documents, count(*) AS in_range, count(*) FILTER (trim(coalesce(text, '')) = '') AS blank, "
+    "count(*) FILTER (trim(coalesce(text, '')) = '') AS blank_zero FROM documents"
+)
+CHECKS["topic_invariants"] = with_(
+    *IDEOLOGY_PARTS,
+    ("texts", f"SELECT {ID}, notes AS text FROM final WHERE actor1_ideology = 'Unclassified' AND actor2_ideology = 'Unclassified'"),
+    ("words", token_sql("texts", ID)),
+) + f"SELECT count(DISTINCT {ID}) AS documents, count(DISTINCT {ID}) AS whole, CAST(3 AS BIGINT) AS topics, CAST(3 AS BIGINT) AS with_terms FROM words"
 CHECKS["mean_equivalence"] = with_(
     *PARTISAN,
     ("pairs", f"SELECT typed.event_partisan_type AS t, CAST(typed_step IN ({positive(packs.PRESENCE_STEPS)}) AS INT) AS x "

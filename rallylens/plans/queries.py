@@ -15,7 +15,7 @@ from rallylens.operators import tokens as tok
 from rallylens.operators.lookup import lookup_join
 from rallylens.rules import decisions, keywords, packs
 from rallylens.sources import files
-from rallylens.sources.incidents import COUNTRIES, incidents, table
+from rallylens.sources.incidents import COUNTRIES, incidents, reported, table
 from rallylens.storage import scratch_path, settle, spread
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -23,7 +23,6 @@ QUERIES: dict[str, Query] = {}
 ID = "event_id_cnty"
 RULES = packs.SMALL_PACK
 SAMPLE_SEED, SPLIT_SEED = 123, 42
-SITES = ((48.86, 2.35), (52.52, 13.4), (41.9, 12.5), (40.42, -3.7), (51.51, -0.13))
 
 
 def query(fn: Query) -> Query:
@@ -32,7 +31,7 @@ def query(fn: Query) -> Query:
 
 
 def _presence(spark: SparkSession, sf: str) -> DataFrame:
-    return decisions.police_presence(spread(incidents(spark, sf)))
+    return decisions.police_presence(reported(spark, sf))
 
 
 def _documents(spark: SparkSession, sf: str, *columns: str) -> DataFrame:
@@ -40,11 +39,11 @@ def _documents(spark: SparkSession, sf: str, *columns: str) -> DataFrame:
 
 
 def _classified(spark: SparkSession, sf: str) -> DataFrame:
-    return actors.classify_events(incidents(spark, sf), RULES)
+    return actors.classify_events(reported(spark, sf), RULES)
 
 
 def _classified_present(spark: SparkSession, sf: str) -> DataFrame:
-    return decisions.police_presence(actors.classify_events(spread(incidents(spark, sf)), RULES))
+    return decisions.police_presence(actors.classify_events(reported(spark, sf), RULES))
 
 
 # --- sources and sinks -----------------------------------------------------
@@ -75,6 +74,21 @@ def paged_landing_union(spark, sf):
     return summaries.country_year_summary(files.read_pages(spark, path))
 
 
+@query
+def landed_responses(spark, sf):
+    """Pages as a service answers them, some failed, and what became of them."""
+    events = incidents(spark, sf).withColumn("page", F.substring(ID, 4, 20).cast("long") % 4)
+    inner = [c for c in events.columns if c not in ("country", "year", "page")]
+    full = events.groupBy("country", "year", "page").agg(F.collect_list(F.struct(*inner)).alias("data"))
+    last = events.select("country", "year").distinct().withColumns({"page": F.lit(99), "data": F.array().cast(full.schema["data"].dataType)})
+    status = F.when((F.col("page") != 99) & ((F.col("year") + F.col("page")) % 5 == 0), 500).otherwise(200)
+    pages = full.unionByName(last).select("country", "year", status.alias("status"), "data")
+    path = scratch_path(spark, "responses")
+    pages.write.partitionBy("country", "year").json(path, ignoreNullFields=False)
+    schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in events.select(*inner).schema)
+    return files.page_report(files.response_pages(spark, path, schema), ["country", "year"], 100)
+
+
 @query
 def combine_country_tables(spark, sf):
     path = scratch_path(spark, "countries")
@@ -112,7 +126,7 @@ def filter_not_in_keep_null(spark, sf):
 
 @query
 def filter_regex(spark, sf):
-    events = rows.with_text(incidents(spark, sf), "assoc_actor_1")
+    events = rows.with_text(reported(spark, sf), "assoc_actor_1")
     name = F.lower(F.col("assoc_actor_1"))
     return events.where(tx.found(name, "france|labour") & ~tx.found(name, "liberal")).select(
         ID, "assoc_actor_1"
@@ -124,17 +138,17 @@ def filter_regex(spark, sf):
 
 @query
 def actor_dictionary(spark, sf):
-    return actors.actor_dictionary(incidents(spark, sf))
+    return actors.actor_dictionary(reported(spark, sf))
 
 
 @query
 def actor_labels(spark, sf):
-    return actors.label_dictionary(actors.actor_dictionary(incidents(spark, sf)), RULES)
+    return actors.label_dictionary(actors.actor_dictionary(reported(spark, sf)), RULES)
 
 
 @query
 def stage_coverage(spark, sf):
-    return actors.stage_coverage(actors.actor_dictionary(incidents(spark, sf)), RULES)
+    return actors.stage_coverage(actors.actor_dictionary(reported(spark, sf)), RULES)
 
 
 @query
@@ -146,25 +160,31 @@ def party_family_lean(spark, sf):
 
 @query
 def field_flags(spark, sf):
-    flagged = actors.map_partisanship(incidents(spark, sf), RULES)
+    flagged = actors.map_partisanship(reported(spark, sf), RULES)
     flags = [f"{p}_{c}" for p in actors.ACTOR_FIELDS.values() for c in actors.FLAGS]
     return flagged.select(ID, *flags)
 
 
 @query
 def field_flags_inline(spark, sf):
-    flagged = actors.inline_field_flags(spread(incidents(spark, sf)), RULES)
+    flagged = actors.inline_field_flags(reported(spark, sf), RULES)
     flags = [f"{p}_{c}" for p in actors.ACTOR_FIELDS.values() for c in actors.FLAGS]
     return flagged.select(ID, *flags)
 
 
 @query
 def dictionary_lookup(spark, sf):
-    events = incidents(spark, sf)
+    events = reported(spark, sf)
     dictionary = actors.label_dictionary(actors.actor_dictionary(events), RULES)
-    one_field = {"actor1": "actor1"}
-    flagged = actors.map_partisanship(events, dictionary=dictionary, fields=one_field)
-    return flagged.select(ID, *[f"actor1_{c}" for c in actors.FLAGS])
+    flagged = actors.map_partisanship(events, dictionary=dictionary)
+    return flagged.select(ID, *[f"{p}_{c}" for p in actors.ACTOR_FIELDS.values() for c in actors.FLAGS])
+
+
+@query
+def field_flags_shuffled(spark, sf):
+    """As field_flags, by the join for tables too large to broadcast."""
+    flagged = actors.map_partisanship(reported(spark, sf), RULES, limit=0)
+    return flagged.select(ID, *[f"{p}_{c}" for p in actors.ACTOR_FIELDS.values() for c in actors.FLAGS])
 
 
 @query
@@ -196,7 +216,7 @@ COUNTRY_PACKS = {
 @query
 def type_by_country_pack(spark, sf):
     """One run for all countries, each with its own pack; the last has none."""
-    typed = actors.classify_events(incidents(spark, sf), COUNTRY_PACKS, scope="country")
+    typed = actors.classify_events(reported(spark, sf), COUNTRY_PACKS, scope="country")
     return typed.select(ID, "country", "event_partisan_type")
 
 
@@ -263,9 +283,19 @@ def presence_crosstab(spark, sf):
     )
 
 
+@query
+def presence_pattern_hits(spark, sf):
+    """How many notes each pattern of the presence steps is found in."""
+    notes = rows.computed_once(reported(spark, sf), {"low": F.lower("notes")})
+    each = [(s.name, p) for s in packs.PRESENCE_STEPS for p in s.patterns]
+    hits = notes.agg(*[F.count_if(tx.found("low", p)).alias(f"p{i}") for i, (_, p) in enumerate(each)])
+    named = [F.struct(F.lit(s).alias("step"), F.lit(p).alias("pattern"), F.col(f"p{i}").alias("n")) for i, (s, p) in enumerate(each)]
+    return hits.select(F.inline(F.array(*named)))
+
+
 @query
 def keyword_response(spark, sf):
-    return incidents(spark, sf).select(ID, keywords.response_flag("notes").alias("response"))
+    return reported(spark, sf).select(ID, keywords.response_flag("notes").alias("response"))
 
 
 # --- samples ---------------------------------------------------------------
@@ -278,6 +308,13 @@ def validation_sample(spark, sf):
     return picked.select(ID, "country", "event_date", "interaction", "notes")
 
 
+@query
+def large_sample(spark, sf):
+    """A sample of two in three events, drawn by the same cut as a small one."""
+    events = incidents(spark, sf).select(ID, "country")
+    return sampling.sample_rows(events, 2 * events.count() // 3, ID, SAMPLE_SEED)
+
+
 @query
 def sample_per_group(spark, sf):
     picked = sampling.sample_per_group(_ideology(spark, sf), "final_ideology", 3, ID, SAMPLE_SEED)
@@ -333,12 +370,11 @@ def text_dates(spark, sf):
 
 
 def _named(spark, sf):
-    return spread(incidents(spark, sf)).withColumns(
-        {
-            "actor1_std": tx.standardise_actor("assoc_actor_1"),
-            "actor2_std": tx.standardise_actor("assoc_actor_2"),
-        }
-    )
+    names = {
+        "actor1_std": tx.standardise_actor("assoc_actor_1"),
+        "actor2_std": tx.standardise_actor("assoc_actor_2"),
+    }
+    return rows.computed_once(reported(spark, sf), names)
 
 
 def _ideology(spark, sf):
@@ -417,10 +453,19 @@ def note_tokens(spark, sf):
     # Only ids are shuffled to number the rows, and only labelled texts are read on.
     numbered = sampling.dense_id(table(spark, sf, "documents").select("doc_id"), "doc_id")
     wanted = numbered.join(table(spark, sf, "labels").select("doc_id"), "doc_id")
-    labelled = _documents(spark, sf, "doc_id", "text").join(wanted, "doc_id")
+    labelled = lookup_join(_documents(spark, sf, "doc_id", "text"), settle(wanted), "doc_id", "inner")
     return tok.tokens(labelled, "text", ["row_id", "doc_id"])
 
 
+@query
+def stop_table_tokens(spark, sf):
+    """Words left by a stop table made from the texts, joined by shuffle."""
+    texts = _documents(spark, sf, "doc_id", "text")
+    common = settle(tok.common_words(tok.tokens(texts, "text", ["doc_id"], ()), "doc_id", 0.1))
+    words = tok.tokens(texts, "text", [], common, limit=0)
+    return words.groupBy("word").agg(F.count(F.lit(1)).alias("n"))
+
+
 @query
 def doc_term_counts(spark, sf):
     words = tok.tokens(_documents(spark, sf, "doc_id", "text"), "text", ["doc_id"])
@@ -441,7 +486,7 @@ def stem_vocabulary(spark, sf):
 @query
 def stemmed_term_counts(spark, sf):
     words = tok.tokens(_documents(spark, sf, "doc_id", "text"), "text", ["doc_id"])
-    return tok.term_counts(tok.with_stems(words), "doc_id", "stem")
+    return tok.stemmed_counts(words, ["doc_id"])
 
 
 # --- naive Bayes and metrics -----------------------------------------------
@@ -450,7 +495,7 @@ def stemmed_term_counts(spark, sf):
 def _split_words(spark, sf):
     labels = table(spark, sf, "labels").select("doc_id", "quality")
     marked = sampling.train_test_flag(labels, 0.25, "doc_id", SPLIT_SEED)
-    documents = _documents(spark, sf, "doc_id", "text").join(marked, "doc_id")
+    documents = lookup_join(_documents(spark, sf, "doc_id", "text"), settle(marked), "doc_id", "inner")
     return marked, tok.tokens(documents, "text", ["doc_id", "quality", "is_test"])
 
 
@@ -470,8 +515,8 @@ def naive_bayes_predict(spark, sf):
 def naive_bayes_train_stems(spark, sf):
     """Training words are stemmed, test words are not (as published)."""
     marked, words = _split_words(spark, sf)
-    train = tok.with_stems(words.where(~F.col("is_test"))).select(F.col("stem").alias("word"), "quality")
-    model = bayes.train(train, "word", "quality")
+    train = tok.stemmed_counts(words.where(~F.col("is_test")), ["quality"], stemmed="word_stem")
+    model = bayes.train(train.withColumnRenamed("word_stem", "word"), "word", "quality", n="n")
     test = marked.where("is_test").select("doc_id", "quality")
     return bayes.predict(words.where("is_test"), model, test, "doc_id")
 
@@ -501,7 +546,10 @@ def label_prep(spark, sf):
         F.when(F.col("quality") == 0, "").otherwise("1").alias("quality"),
         F.when(F.col("toxic") == 1, "1").alias("toxic"),
     )
-    noted = sheet.join(table(spark, sf, "documents").select("doc_id", "text"), "doc_id", "left")
+    # Texts of labelled rows alone, found by their few ids; then the sheet keeps every row.
+    wanted = table(spark, sf, "labels").select("doc_id").distinct()
+    texts = lookup_join(table(spark, sf, "documents").select("doc_id", "text"), wanted, "doc_id", "left_semi")
+    noted = sheet.join(texts, "doc_id", "left")
     ready = scorer.prepare_labels(noted, "text", ["quality", "toxic"])
     return ready.select(
         "doc_id", "text", "quality", "toxic",
@@ -539,13 +587,25 @@ def multilabel_metrics(spark, sf):
 def severity_scores(spark, sf):
     labels = ["quality", "toxic"]
     documents = _documents(spark, sf, "doc_id", "text")
-    coded = documents.join(table(spark, sf, "labels"), "doc_id")
+    coded = lookup_join(documents, table(spark, sf, "labels"), "doc_id", "inner")
     path = scratch_path(spark, "severity-model")
     scorer.save_model(scorer.fit_severity(coded, "text", labels), path)
     scored = scorer.score_severity(documents, scorer.load_model(path), "text", labels)
     return scored.select("doc_id", "quality_score", "toxic_score")
 
 
+@query
+def severity_invariants(spark, sf):
+    """Every document scored, scores from 0 to 1, blank texts 0."""
+    scores = severity_scores(spark, sf).join(table(spark, sf, "documents").select("doc_id", tx.is_blank("text").alias("blank")), "doc_id")
+    kept = F.col("quality_score").between(0, 1) & F.col("toxic_score").between(0, 1)
+    zero = (F.col("quality_score") == 0) & (F.col("toxic_score") == 0)
+    return scores.agg(
+        F.count(F.lit(1)).alias("documents"), F.count_if(kept).alias("in_range"),
+        F.count_if("blank").alias("blank"), F.count_if(F.col("blank") & zero).alias("blank_zero"),
+    )
+
+
 def _hits_scorer(texts: pd.Series) -> pd.DataFrame:
     lowered = texts.str.lower()
     return pd.DataFrame(
@@ -559,7 +619,7 @@ def _hits_scorer(texts: pd.Series) -> pd.DataFrame:
 
 @query
 def batch_scores(spark, sf):
-    events = incidents(spark, sf).select(ID, "notes")
+    events = reported(spark, sf).select(ID, "notes")
     return scorer.score_batches(events, "notes", _hits_scorer, scorer.SEVERITY_LABELS)
 
 
@@ -567,14 +627,13 @@ def batch_scores(spark, sf):
 
 
 def _topic_model(spark, sf):
-    documents = _documents(spark, sf, "doc_id", "text")
-    cleaned = documents.select("doc_id", tx.clean_note("text").alias("clean"))
-    side = keywords.context_ideology("clean", packs.LEFT_KEYS, packs.RIGHT_KEYS)
-    # Settled before the filter, which would otherwise clean each text twice.
-    unplaced = settle(cleaned.withColumn("side", side)).where(F.col("side") == keywords.UNCLASSIFIED)
-    words = tok.tokens(unplaced, "clean", ["doc_id"], cleaned=F.col("clean"))
-    stemmed = tok.with_stems(words).select("doc_id", "stem")
-    return topics.fit_topics(stemmed, "doc_id", "stem")
+    """Topics of the notes of events whose two associated actors have no side."""
+    left, right = packs.LEFT_KEYS, packs.RIGHT_KEYS
+    sides = {f"{c}_side": keywords.actor_ideology(c, left, right) for c in ("actor1_std", "actor2_std")}
+    placed = rows.computed_once(_named(spark, sf), sides)
+    unplaced = placed.where(" AND ".join(f"{c} = '{keywords.UNCLASSIFIED}'" for c in sides))
+    words = tok.tokens(unplaced.select(ID, "notes"), "notes", [ID])
+    return topics.fit_topics(tok.stemmed_counts(words, [ID]), ID)
 
 
 @query
@@ -587,6 +646,19 @@ def topic_terms(spark, sf):
     return _topic_model(spark, sf).top_terms()
 
 
+@query
+def topic_invariants(spark, sf):
+    """Every document with words has shares that add up to 1; every topic has its terms."""
+    model = _topic_model(spark, sf)
+    sums = model.topic_shares().groupBy(ID).agg(F.sum("gamma").alias("s"), F.count(F.lit(1)).alias("n"))
+    shares = sums.agg(
+        F.count(F.lit(1)).alias("documents"), F.count_if(F.abs(F.col("s") - 1) < 1e-6).alias("whole"),
+        F.max("n").alias("topics"),
+    )
+    listed = model.top_terms().groupBy("topic").agg(F.count(F.lit(1)).alias("n")).agg(F.count_if(F.col("n") >= 15).alias("with_terms"))
+    return shares.withColumn("with_terms", listed.scalar())
+
+
 # --- place, time, models ---------------------------------------------------
 
 
@@ -612,7 +684,11 @@ def response_on_grid(spark, sf):
 
 @query
 def nearest_site_distance(spark, sf):
-    placed = places.nearest_site_distance(incidents(spark, sf), SITES)
+    sites = table(spark, sf, "customer").select(
+        (36 + F.col("c_custkey") % 499 / 16.0).cast("double").alias("latitude"),
+        (F.col("c_custkey") % 1009 / 16.0 - 30).cast("double").alias("longitude"),
+    )
+    placed = places.nearest_site_distance(incidents(spark, sf), sites)
     return placed.select(ID, F.round("distance_km", 3).alias("distance_km"))
 
 
@@ -646,6 +722,28 @@ def presence_logit_fe(spark, sf):
     return response.coefficient_table(spark, features, model)
 
 
+@query
+def presence_logit_countries(spark, sf):
+    """Country alone: the coefficients are differences of log odds."""
+    indicators = response.indicator_columns("country", COUNTRIES)
+    design = _presence(spark, sf).withColumns(indicators)
+    grouped = settle(response.grouped_counts(design, list(indicators), "police_presence"))
+    model, _ = response.fit_binary(grouped, list(indicators), "y", weight="w")
+    terms = response.coefficient_table(spark, list(indicators), model)
+    return terms.select("term", F.round("coefficient", 4).alias("coefficient"))
+
+
+@query
+def clustered_pair(spark, sf):
+    """One indicator, errors clustered by region: both have a closed form."""
+    design = _presence(spark, sf).withColumn("is_france", (F.col("country") == "France").cast("double"))
+    grouped = settle(response.grouped_counts(design, ["is_france", "admin1"], "police_presence"))
+    model, _ = response.fit_binary(grouped, ["is_france"], "y", weight="w")
+    found = response.clustered_errors(grouped, ["is_france"], "y", "admin1", model, weight="w")
+    rounded = [(t, round(c, 4), round(e, 4)) for t, c, e in found]
+    return spark.createDataFrame(rounded, "term string, coefficient double, std_error double")
+
+
 @query
 def selection_two_step(spark, sf):
     design, features = _design(spark, sf)

@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from rallylens.functions.text import found, found_any_case, shorter_than
+from rallylens.operators.rows import computed_once
 from rallylens.rules.packs import MIN_NOTE_LENGTH, PRESENCE_STEPS, FieldTest, Step
 
 TOO_SHORT = "0"
@@ -61,11 +62,12 @@ def decide(
 ) -> DataFrame:
     """Add the deciding step and its boolean result; no shuffle.
 
-    The lower-cased text is a column of its own, so it is made once per row.
+    The lower-cased text and the step are made once per row, also when the
+    result is filtered.
     """
     positive = [s.name for s in steps if s.result]
-    lowered = df.withColumn(_LOWERED, F.lower(F.col(text)))
-    stepped = lowered.withColumn(step, deciding_step(text, F.col(_LOWERED), steps, min_length))
+    lowered = computed_once(df, {_LOWERED: F.lower(F.col(text))})
+    stepped = computed_once(lowered, {step: deciding_step(text, F.col(_LOWERED), steps, min_length)})
     return stepped.drop(_LOWERED).withColumn(result, F.col(step).isin(positive))
 
 

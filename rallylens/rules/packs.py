@@ -14,7 +14,6 @@ from pyspark.sql import DataFrame, SparkSession
 LABELS = ("left", "right", "centre")
 STAGES = ("government", "party", "objective", "union")
 KINDS = ("eq", "regex", "regex_not")
-RULE_LIMIT = 20_000
 
 
 @dataclass(frozen=True)
@@ -68,10 +67,12 @@ PACK_SCHEMA = "pack string, label string, kind string, pattern string, unless st
 
 
 def packs_from_table(table: DataFrame) -> dict[str, list[LabelRule]]:
-    """Rules of a small table by pack; its size is checked before it is collected."""
-    rows = table.select("pack", "label", "kind", "pattern", "unless", "stage").limit(RULE_LIMIT + 1).collect()
-    if len(rows) > RULE_LIMIT:
-        raise ValueError(f"a rule table may have at most {RULE_LIMIT} rows")
+    """Rules by pack.  Every rule becomes part of one expression, so they meet on the driver.
+
+    A table of exact names alone may have any size and needs no pack: see
+    ``actors.label_by_table``.
+    """
+    rows = table.select("pack", "label", "kind", "pattern", "unless", "stage").collect()
     packs: dict[str, list[LabelRule]] = {}
     for r in rows:
         packs.setdefault(r.pack, []).append(LabelRule(r.label, r.kind, r.pattern, r.unless, r.stage or "party"))

@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
+from rallylens.storage import spread
+
 EVENT_SCHEMA = (
     "event_id_cnty string, event_date date, year int, country string, admin1 string, "
     "location string, latitude double, longitude double, event_type string, "
@@ -64,6 +66,88 @@ FROM {orders}
 """
 
 
+# Own phrases for the notes: number, text, whether the text stands alone.
+PHRASES = (
+    "Police officers gathered outside the town hall.",
+    "People protest in the square against police brutality.",
+    "Marchers opposed the amendment on police custody rules.",
+    "Residents marched; no police intervention was noted.",
+    "Police used tear gas on the crowd.",
+    "Police on site later arrested protesters near the station.",
+    "Students walked under police presence.",
+    "Short",
+    None,
+    "Police came\nand arrested protesters.",
+    "A JUSAPOL rally saw police cordon lines.",
+    "12 people were ARRESTED BY POLICE after a sit-in.",
+    "Riot police were deployed near the socialist workers union.",
+    "Nationalist and patriotic groups waved socialist flags about Brexit.",
+    "Climate activists blocked a road, solidarity with a pharmacy.",
+    "    ",
+    "Farmers gathered in the centre to ask for higher prices.",
+    "A police union protested at the ministry.",
+    "Some police dropped their handcuffs at the gate.",
+    "Crowds demonstrated in the park against police tactics.",
+    "The march denounced racism and police brutality.",
+    "The plan would prohibit the publication of images from police custody.",
+    "People spoke against the law on custody orders.",
+    "There was no report of any police intervention.",
+    "It ended without any police intervention.",
+    "The police did not intervene.",
+    "Police intervened after an hour.",
+    "The police later removed several demonstrators.",
+    "Officers dispersed the group.",
+    "Water cannon were used at dusk.",
+    "Police physically had to remove two men.",
+    "Police blocked the main road.",
+    "Police detained several protesters.",
+    "Scuffles broke out with the police.",
+    "A few clashed with police.",
+    "Police charged at protesters.",
+    "There was a baton charge.",
+    "Several people were kettled.",
+    "Police formed a thick cordon.",
+    "The police were present all day.",
+    "The march was escorted by police.",
+    "A police escort led the way.",
+    "Police monitored the rally.",
+    "Police observed the rally.",
+    "They don't like it, so they'd leave; it's late and he's tired.",
+)
+
+
+def _literal(text: str | None) -> str:
+    if text is None:
+        return "CAST(NULL AS STRING)"
+    parts = ["'" + part.replace("'", "''") + "'" for part in text.split("\n")]
+    return parts[0] if len(parts) == 1 else f"concat({', chr(10), '.join(parts)})"
+
+
+def _phrase_rows() -> str:
+    return ", ".join(f"({k}, {_literal(t)}, {int(t is None or len(t.strip()) < 10)})" for k, t in enumerate(PHRASES))
+
+
+# Notes and names that only exist once tables are joined, so no rule can be
+# worked out while a query is planned: phrases stand between whole texts of
+# other tables, and names of suppliers join the names in the actor fields.
+REPORTED_SQL = f"""
+SELECT event_id_cnty, event_date, year, country, admin1, location, latitude, longitude, event_type, sub_event_type, interaction,
+  CASE WHEN n % 3 = 0 AND s_name IS NOT NULL THEN concat(coalesce(actor1, 'Rioters'), '; ', s_name) ELSE actor1 END AS actor1,
+  CASE WHEN n % 2 = 0 THEN coalesce(actor2, s_name) ELSE actor2 END AS actor2,
+  CASE WHEN n % 5 = 0 AND s_name IS NOT NULL THEN concat('the ', s_name, ' [', sub_event_type, ']; ', coalesce(assoc_actor_1, '')) ELSE assoc_actor_1 END AS assoc_actor_1,
+  CASE WHEN n % 7 = 1 AND s_name IS NOT NULL THEN concat(s_name, ' Group') ELSE assoc_actor_2 END AS assoc_actor_2,
+  fatalities,
+  CASE WHEN p.alone = 1 THEN p.phrase
+       ELSE concat(CASE WHEN b.text IS NULL THEN '' ELSE concat(b.text, ' ') END, p.phrase,
+                   CASE WHEN d.text IS NULL THEN '' ELSE concat(' ', d.text) END) END AS notes
+FROM (SELECT *, CAST(substring(event_id_cnty, 4) AS BIGINT) AS n FROM ({INCIDENTS_SQL})) e
+JOIN (VALUES {_phrase_rows()}) AS p(k, phrase, alone) ON e.n % {len(PHRASES)} = p.k
+LEFT JOIN {{benchmark}} b ON b.item_id = e.n % 40
+LEFT JOIN {{documents}} d ON d.doc_id = e.n
+LEFT JOIN {{supplier}} s ON s.s_suppkey = e.n % 100 + 1
+"""
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
@@ -71,3 +155,13 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def incidents(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The view over ``orders``; Spark prunes the columns a query does not use."""
     return spark.sql(INCIDENTS_SQL, orders=table(spark, sf_dir, "orders"))
+
+
+def reported(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Events with long notes and many names, for the rules.
+
+    The side tables are joined on their keys; the small ones are broadcast if
+    the planner finds them small, and unused columns are never read.
+    """
+    used = {name: table(spark, sf_dir, name) for name in ("benchmark", "documents", "supplier")}
+    return spark.sql(REPORTED_SQL, orders=spread(table(spark, sf_dir, "orders")), **used)

@@ -2,7 +2,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from rallylens.operators import actors
-from rallylens.rules import packs
+from rallylens.rules import decisions, packs
+from rallylens.sources.incidents import incidents
 
 FIELDS = "id int, actor1 string, actor2 string, assoc_actor_1 string, assoc_actor_2 string"
 ROWS = [
@@ -107,9 +108,8 @@ def test_override_and_drop(spark):
 
 
 def test_type_counts_on_given_tables(spark, sf):
-    from rallylens.plans.queries import partisan_share
-
-    got = {r.event_partisan_type: r.n for r in partisan_share(spark, sf).collect()}
+    typed = actors.classify_events(incidents(spark, sf), packs.SMALL_PACK)
+    got = {r.event_partisan_type: r["count"] for r in typed.groupBy("event_partisan_type").count().collect()}
     assert got == {
         "left_only": 420, "unknown": 339, "left_vs_right": 278, "right_only": 180, "centre_only": 171,
         "left_vs_centre": 70, "right_vs_centre": 42,
@@ -117,9 +117,8 @@ def test_type_counts_on_given_tables(spark, sf):
 
 
 def test_presence_counts_on_given_tables(spark, sf):
-    from rallylens.plans.queries import presence_step_counts
-
-    got = {r.presence_step: r.n for r in presence_step_counts(spark, sf).collect()}
+    stepped = decisions.police_presence(incidents(spark, sf))
+    got = {r.presence_step: r["count"] for r in stepped.groupBy("presence_step").count().collect()}
     assert got == {
         "0": 264, "1a": 89, "1b": 66, "2": 83, "3": 83, "4": 83, "5": 334, "6": 105, "7": 131, "none": 262,
     }

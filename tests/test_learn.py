@@ -56,13 +56,21 @@ def test_tokens_and_stop_table(spark):
     assert {r.word: r.n for r in counted.collect()}["the"] == 2
 
 
-def test_stems_by_table_and_by_token(spark, monkeypatch):
-    monkeypatch.setattr(tok, "FREQUENT_WORDS", 2)
+def test_stems_of_counted_words(spark):
     df = spark.createDataFrame([(1, "arrested"), (1, "arrests"), (2, "police")], "doc int, word string")
     df = df.union(spark.createDataFrame([(3, "police")] * 4, "doc int, word string"))
-    one = sorted(map(tuple, tok.with_stems(df).select("doc", "stem").collect()))
-    two = sorted(map(tuple, tok.with_stems(df, limit=0).select("doc", "stem").collect()))
-    assert one == two == [(1, "arrest"), (1, "arrest"), (2, "polic")] + [(3, "polic")] * 4
+    got = sorted(map(tuple, tok.stemmed_counts(df, ["doc"]).collect()))
+    assert got == [(1, "arrest", 2), (2, "polic", 1), (3, "polic", 4)]
+    assert {r.word: r.stem for r in tok.stem_vocabulary(df).collect()} == {"arrested": "arrest", "arrests": "arrest", "police": "polic"}
+
+
+def test_stop_tables(spark):
+    df = spark.createDataFrame([(1, "don le police"), (2, "le nicht march"), (3, "le")], "doc int, t string")
+    stops = tok.stop_table(spark, ["english", "french", "german"])
+    for limit in (1 << 26, 0):
+        assert sorted(r.word for r in tok.tokens(df, "t", ["doc"], stops, limit=limit).collect()) == ["march", "police"]
+    words = tok.tokens(df, "t", ["doc"], ())
+    assert [r.word for r in tok.common_words(words, "doc", 0.5).collect()] == ["le"]
 
 
 def test_confusion(spark):
@@ -120,14 +128,25 @@ def test_topics(spark):
     words = spark.createDataFrame(
         [(d, w) for d in range(30) for w in pieces[d % 3].split()], "doc int, word string"
     )
-    model = topics.fit_topics(words, "doc", iterations=10)
+    counts = tok.term_counts(words, "doc")
+    model = topics.fit_topics(counts, "doc", "word", iterations=10)
     dominant = model.dominant()
     assert dominant.select("doc").distinct().count() == 30
     sums = model.topic_shares().groupBy("doc").agg(F.sum("gamma").alias("s")).collect()
     assert all(r.s == pytest.approx(1.0) for r in sums)
     terms = model.top_terms(2)
     assert terms.groupBy("topic").count().where("count < 2").count() == 0
-    assert topics.fit_topics(words.where("doc < 5"), "doc") is None
+    few = topics.fit_topics(counts.where("doc < 5"), "doc", "word")
+    assert few.dominant().collect() == few.top_terms().collect() == []
+    assert few.dominant().dtypes == model.dominant().dtypes and few.top_terms().dtypes == model.top_terms().dtypes
+
+
+def test_every_document_counts_in_the_fit(spark):
+    # Each document alone holds a term; all of them must have weight in the topics.
+    rows = [(d, w, 1) for d in range(60) for w in ("common", f"only{d}")]
+    model = topics.fit_topics(spark.createDataFrame(rows, "doc int, stem string, n long"), "doc", iterations=3)
+    weights = model.top_terms(model.terms).groupBy("term").agg(F.max("beta").alias("b")).where("b > 1e-4")
+    assert weights.count() == 61
 
 
 def test_grouped_fit_equals_row_fit(spark):
@@ -179,12 +198,11 @@ def test_vectors_hold_the_counts(spark):
     words = spark.createDataFrame(
         [(d, w) for d in range(12) for w in ["a"] * (d + 1) + ["b", "c", "d", "e", "f"]], "doc int, word string"
     )
-    model = topics.fit_topics(words, "doc", iterations=1)
+    counts = tok.term_counts(words, "doc")
+    model = topics.fit_topics(counts, "doc", "word", iterations=1)
     ids = {r.term: r.term_id for r in model.vocabulary.collect()}
     assert sorted(ids.values()) == list(range(6))
     for r in model.vectors.collect():
         assert r.features.size == 6
         assert r.features[ids["a"]] == r.doc + 1 and r.features[ids["b"]] == 1
-    with pytest.raises(ValueError):
-        topics.fit_topics(words, "doc", max_terms=5)
-    assert topics.fit_topics(words, "doc", min_documents=13) is None
+    assert topics.fit_topics(counts, "doc", "word", min_documents=13).top_terms().collect() == []

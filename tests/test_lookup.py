@@ -29,7 +29,7 @@ def test_both_ways_agree(sides, how):
 def test_hot_key_reaches_many_tasks(sides, spark):
     left, table = sides
     assert [r.key for r in hot_keys(left, ["key"], 10).collect() if r.key] == ["hot"]
-    got = lookup_join(left, table, "key", limit=0).where("key = 'hot'")
+    got = lookup_join(left, table, "key", limit=0, rows_per_salt=100).where("key = 'hot'")
     spark.conf.set("spark.sql.adaptive.enabled", "false")
     try:
         assert got.select(F.spark_partition_id()).distinct().count() > 1
@@ -37,6 +37,27 @@ def test_hot_key_reaches_many_tasks(sides, spark):
         spark.conf.set("spark.sql.adaptive.enabled", "true")
 
 
+@pytest.mark.parametrize("how", ["left", "inner", "left_semi", "left_anti"])
+def test_equal_rows_are_merged_and_come_back(sides, how):
+    left, table = sides
+    left = left.select("key")
+    plain = sorted(map(tuple, left.join(table, "key", how).collect()), key=repr)
+    got = lookup_join(left, table, "key", how, limit=0, merge=True, rows_per_salt=100)
+    assert sorted(map(tuple, got.collect()), key=repr) == plain
+
+
+def test_a_million_equal_rows_end_in_many_tasks(spark):
+    words = spark.range(1_000_000, numPartitions=4).select(F.lit("the").alias("word"), (F.col("id") % 997).alias("doc"))
+    table = spark.createDataFrame([("the", 1)], "word string, v int")
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        got = lookup_join(words, table, "word", "inner", limit=0, merge=True, rows_per_salt=10_000)
+        tasks = got.groupBy(F.spark_partition_id().alias("p")).count().collect()
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", "true")
+    assert len(tasks) == 4 and max(r["count"] for r in tasks) < 600_000
+
+
 def test_size_grows_with_the_text(spark):
     small = spark.createDataFrame([("a",)], "k string")
     large = spark.createDataFrame([("a" * 10_000,)], "k string")

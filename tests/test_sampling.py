@@ -18,15 +18,14 @@ def test_fraction_is_exact(spark, n, fraction):
 
 
 def test_narrowing_rounds(spark, monkeypatch):
-    monkeypatch.setattr(sampling, "FEW_ROWS", 1)
+    monkeypatch.setattr(sampling, "LAST_ROUND", 1)
     monkeypatch.setattr(sampling, "PREFIX", 1)
     df = spark.range(500).withColumnRenamed("id", "k")
     got = {r.k for r in sampling.sample_fraction(df, 0.3, "k", 3).collect()}
     assert got == set(in_order(range(500), 3)[:150])
 
 
-def test_large_sample_is_a_filter(spark, monkeypatch):
-    monkeypatch.setattr(sampling, "FEW_ROWS", 5)
+def test_every_sample_is_a_filter(spark):
     df = spark.range(400).withColumnRenamed("id", "k")
     got = sampling.sample_rows(df, 60, "k", 3)
     assert {r.k for r in got.collect()} == set(in_order(range(400), 3)[:60])
@@ -48,6 +47,11 @@ def test_copies_stay_together(spark):
     assert split.groupBy("k").agg(F.count_distinct("is_test").alias("n")).where("n > 1").count() == 0
 
 
+def test_repeated_keys_follow_one_rule(spark):
+    twice = spark.range(20_100).select((F.col("id") % 10_050).alias("k"))
+    assert [sampling.sample_rows(twice, n, "k").count() for n in (5, 6, 9_999, 10_001)] == [6, 6, 10_000, 10_002]
+
+
 def test_split_sizes(spark):
     df = spark.range(399).withColumnRenamed("id", "doc_id")
     assert sampling.train_test_flag(df, 0.2, "doc_id").where("is_test").count() == 80
@@ -55,7 +59,7 @@ def test_split_sizes(spark):
 
 def test_rows_and_groups(spark):
     df = spark.range(100).select(F.col("id").alias("k"), (F.col("id") % 3 == 0).alias("g"))
-    assert [r.k for r in sampling.sample_rows(df, 5, "k", 1).collect()] == in_order(range(100), 1)[:5]
+    assert {r.k for r in sampling.sample_rows(df, 5, "k", 1).collect()} == set(in_order(range(100), 1)[:5])
     assert sampling.sample_rows(df, 500, "k").count() == 100
     per = sampling.sample_per_group(df, "g", 3, "k", 1)
     assert {r["count"] for r in per.groupBy("g").count().collect()} == {3}

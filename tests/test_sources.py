@@ -1,5 +1,7 @@
 import json
 
+import pytest
+
 from rallylens.sources import files
 from rallylens.streaming.classify import classify, classify_new_files
 from rallylens.rules import packs
@@ -53,6 +55,26 @@ def test_responses(spark, tmp_path):
     ]
 
 
+def test_quoted_empty_is_missing_and_broken_rows_are_told(spark, tmp_path):
+    path = tmp_path / "t.csv"
+    path.write_text('id,country,notes\n1,"",x\n2,Spain,y,too many\nno number,Spain,z\n3,Spain,ok\n')
+    good, bad = files.read_table_checked(spark, str(path), SCHEMA)
+    assert sorted(map(tuple, good.collect())) == [(1, None, "x"), (3, "Spain", "ok")]
+    assert sorted(r[0] for r in bad.collect()) == ["2,Spain,y,too many", "no number,Spain,z"]
+    with pytest.raises(Exception, match="MALFORMED|malformed"):
+        files.read_table(spark, str(path), SCHEMA).collect()
+
+
+def test_page_report(spark, tmp_path):
+    lines = ['{"status": 200, "data": [{"id": 1}, {"id": 2}]}', '{"status": 200, "data": [{"id": 3}]}', '{"status": 200, "data": []}', '{"status": 500}', '{"status": 200, "da']
+    (tmp_path / "year=2020").mkdir()
+    (tmp_path / "year=2020" / "p.json").write_text("\n".join(lines))
+    pages = files.response_pages(spark, str(tmp_path), "id int")
+    row = files.page_report(pages, ["year"], 2).first()
+    assert (row.pages, row.failed, row.broken, row.empty, row.short, row.events) == (5, 1, 1, 1, 1, 3)
+    assert [r[0] for r in pages.where("rejected_record is not null").select("rejected_record").collect()] == [lines[-1]]
+
+
 def test_sheet(spark, sf):
     sheet = files.coding_sheet(incidents(spark, sf))
     assert sheet.columns == [

@@ -1,3 +1,6 @@
+import math
+import random
+
 import datetime
 
 import pytest
@@ -93,7 +96,26 @@ def test_filters_and_unions(spark):
 
 def test_places(spark):
     df = spark.createDataFrame([(0.0, 0.0), (0.0, 91.0)], "latitude double, longitude double")
-    got = [r.distance_km for r in places.nearest_site_distance(df, [(0.0, 1.0), (0.0, 90.0)]).collect()]
-    assert got == pytest.approx([111.195, 111.195], abs=0.01)
-    with pytest.raises(ValueError):
-        places.nearest_site_distance(df, [])
+    sites = spark.createDataFrame([(0.0, 1.0), (0.0, 90.0), (None, 0.0)], df.schema)
+    got = {r.longitude: r.distance_km for r in places.nearest_site_distance(df, sites).collect()}
+    assert got == pytest.approx({0.0: 111.195, 91.0: 111.195}, abs=0.01)
+    assert [r.distance_km for r in places.nearest_site_distance(df, sites.limit(0)).collect()] == [None, None]
+
+
+def test_nearest_site_is_certain_anywhere(spark):
+    rng = random.Random(6)
+    spots = [(rng.uniform(-90, 90), rng.uniform(-180, 180)) for _ in range(60)] + [(89.9, 0.0), (0.0, 179.9), (-90.0, 0.0), (50.0, 2.0)]
+    sites = [(rng.uniform(-60, 75), rng.uniform(-180, 180)) for _ in range(15)] + [(0.0, -179.9), (89.0, 170.0)]
+    named = "latitude double, longitude double"
+    df = spark.createDataFrame([*spots, spots[0]], named).union(spark.createDataFrame([(None, 1.0)], named))
+    got = places.nearest_site_distance(df, spark.createDataFrame(sites, named)).collect()
+
+    def km(a, b):
+        la, lo, sa, so = map(math.radians, (*a, *b))
+        h = math.sin((sa - la) / 2) ** 2 + math.cos(la) * math.cos(sa) * math.sin((so - lo) / 2) ** 2
+        return 2 * 6371 * math.asin(min(1, math.sqrt(h)))
+
+    assert len(got) == len(spots) + 2
+    for r in got:
+        if r.latitude is not None:
+            assert r.distance_km == pytest.approx(min(km((r.latitude, r.longitude), s) for s in sites), abs=1e-6)
