@@ -214,6 +214,9 @@ CHECKS["field_flags"] = with_(*PARTISAN[:-1]) + FIELD_FLAGS + " FROM flagged"
 CHECKS["field_flags_inline"] = CHECKS["field_flags"]
 CHECKS["dictionary_lookup"] = CHECKS["field_flags"]
 CHECKS["field_flags_shuffled"] = CHECKS["field_flags"]
+CHECKS["stacked_countries"] = with_(*PARTISAN) + f"SELECT {ID}, " + ", ".join(
+    [f"{p}_{l}" for p in PREFIXES.values() for l in packs.LABELS] + [f"event_{l}" for l in packs.LABELS]
+) + f" FROM typed WHERE country IN ({', '.join(q(c) for c in COUNTRIES)})"
 CHECKS["event_partisan_type"] = with_(*PARTISAN) + (
     f"SELECT {ID}, event_left, event_right, event_centre, event_partisan_type FROM typed"
 )
@@ -233,12 +236,7 @@ CHECKS["partisan_share_by_country"] = with_(*PARTISAN) + (
 
 def country_pack_sql() -> str:
     """Labels per event and name, each country with its own rules."""
-    by_country = {
-        "France": packs.SMALL_PACK,
-        "Germany": [r for r in packs.SMALL_PACK if r.label != "centre"],
-        "Italy": [r for r in packs.SMALL_PACK if r.stage != "objective"],
-        "Spain": [r for r in packs.SMALL_PACK if r.kind == "regex"],
-    }
+    by_country = packs.COUNTRY_PACKS
     flags = ", ".join(
         "max(CASE country "
         + " ".join(f"WHEN {q(c)} THEN {rule_sql([r for r in rules if r.label == l])}" for c, rules in by_country.items())

@@ -205,21 +205,25 @@ def partisan_freq_by_country(spark, sf):
     return summaries.frequency(_classified(spark, sf), "country", "event_partisan_type")
 
 
-COUNTRY_PACKS = {
-    "France": packs.SMALL_PACK,
-    "Germany": tuple(r for r in packs.SMALL_PACK if r.label != "centre"),
-    "Italy": tuple(r for r in packs.SMALL_PACK if r.stage != "objective"),
-    "Spain": tuple(r for r in packs.SMALL_PACK if r.kind == "regex"),
-}
-
-
 @query
 def type_by_country_pack(spark, sf):
-    """One run for all countries, each with its own pack; the last has none."""
-    typed = actors.classify_events(reported(spark, sf), COUNTRY_PACKS, scope="country")
+    """One run for all countries, each with its own pack from a rule table."""
+    path = scratch_path(spark, "rules")
+    written = spark.createDataFrame(packs.pack_rows(packs.COUNTRY_PACKS), packs.PACK_SCHEMA)
+    written.write.csv(path, header=True, nullValue="NA", escape='"', quote='"')
+    typed = actors.classify_events(reported(spark, sf), packs.read_label_packs(spark, path), scope="country")
     return typed.select(ID, "country", "event_partisan_type")
 
 
+@query
+def stacked_countries(spark, sf):
+    """Labelled tables of the countries stacked again, without the unknown flags."""
+    typed = _classified(spark, sf)
+    stacked = rows.stack_tables([typed.where(F.col("country") == c) for c in COUNTRIES])
+    kept = actors.drop_suffix(stacked, "_unknown")
+    return kept.select(ID, *[c for c in kept.columns if c.split("_")[-1] in packs.LABELS])
+
+
 @query
 def partisan_share_by_country(spark, sf):
     return summaries.share_within(_classified(spark, sf), ["country"], "event_partisan_type")

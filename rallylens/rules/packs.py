@@ -7,6 +7,7 @@ packs of the countries are meant to be kept in such a table and passed in.
 
 from __future__ import annotations
 
+from collections.abc import Mapping, Sequence
 from dataclasses import dataclass, field
 
 from pyspark.sql import DataFrame, SparkSession
@@ -79,6 +80,11 @@ def packs_from_table(table: DataFrame) -> dict[str, list[LabelRule]]:
     return packs
 
 
+def pack_rows(packs: Mapping[str, Sequence[LabelRule]]) -> list[tuple]:
+    """Packs as rows of a rule table."""
+    return [(name, r.label, r.kind, r.pattern, r.unless, r.stage) for name, rules in packs.items() for r in rules]
+
+
 def read_label_packs(spark: SparkSession, path: str) -> dict[str, list[LabelRule]]:
     """Packs of a CSV table, for example one pack per country."""
     table = spark.read.schema(PACK_SCHEMA).csv(path, header=True, nullValue="NA", escape='"')
@@ -96,8 +102,46 @@ SMALL_PACK = (
     LabelRule("left", "regex", "antifa|black lives matter|green tide|sos racism|oxfam", stage="objective"),
     LabelRule("left", "regex", "palestinian group (france)", stage="objective"),
     LabelRule("centre", "regex", "yellow vests", stage="objective"),
+    LabelRule("left", "regex", "general confederation|verdi|workers' commissions|unison|cgil", stage="union"),
 )
 
+# Small packs of our own, one for each country of the fixture.
+COUNTRY_PACKS = {
+    "France": (
+        LabelRule("right", "eq", "Government of France (2017-)", stage="government"),
+        LabelRule("right", "regex", "national rally|the republicans"),
+        LabelRule("left", "regex", "socialist party|unbowed"),
+        LabelRule("centre", "regex", "renaissance"),
+        LabelRule("left", "regex", "sos racism|green tide", stage="objective"),
+        LabelRule("left", "regex", "general confederation|solidaires", stage="union"),
+    ),
+    "Germany": (
+        LabelRule("right", "regex", "national rally|alternative"),
+        LabelRule("left", "regex", "socialist party|the greens"),
+        LabelRule("left", "regex", "antifa|sea watch", stage="objective"),
+        LabelRule("left", "regex", "verdi|metalworkers", stage="union"),
+    ),
+    "Italy": (
+        LabelRule("right", "regex", "national rally|brothers of italy|league"),
+        LabelRule("centre", "regex", "renaissance|five star"),
+        LabelRule("left", "regex", "oxfam|sea watch", stage="objective"),
+        LabelRule("left", "regex", "cgil", stage="union"),
+    ),
+    "Spain": (
+        LabelRule("right", "regex", "the republicans|vox"),
+        LabelRule("left", "regex", "socialist party"),
+        LabelRule("left", "regex", "green tide|black lives matter", stage="objective"),
+        LabelRule("left", "regex", "workers' commissions", stage="union"),
+    ),
+    "United Kingdom": (
+        LabelRule("left", "regex_not", "labour", unless="liberal"),
+        LabelRule("right", "regex", "conservative|reform"),
+        LabelRule("centre", "regex", "liberal"),
+        LabelRule("left", "regex", "oxfam|black lives matter", stage="objective"),
+        LabelRule("left", "regex", "unison", stage="union"),
+    ),
+}
+
 # Party family number to lean.
 PARTY_FAMILIES = (
     (1, "Communists/Left Socialists", "left"),

@@ -133,7 +133,10 @@ def _phrase_rows() -> str:
 REPORTED_SQL = f"""
 SELECT event_id_cnty, event_date, year, country, admin1, location, latitude, longitude, event_type, sub_event_type, interaction,
   CASE WHEN n % 3 = 0 AND s_name IS NOT NULL THEN concat(coalesce(actor1, 'Rioters'), '; ', s_name) ELSE actor1 END AS actor1,
-  CASE WHEN n % 2 = 0 THEN coalesce(actor2, s_name) ELSE actor2 END AS actor2,
+  CASE WHEN n % 2 = 0 THEN coalesce(actor2, s_name)
+       WHEN n % 8 = 3 THEN concat(CASE country WHEN 'France' THEN 'General Confederation' WHEN 'Germany' THEN 'Verdi' WHEN 'Italy' THEN 'CGIL'
+         WHEN 'Spain' THEN 'Workers'' Commissions' ELSE 'UNISON' END, CASE WHEN s_name IS NULL THEN '' ELSE concat('; ', s_name) END)
+       ELSE actor2 END AS actor2,
   CASE WHEN n % 5 = 0 AND s_name IS NOT NULL THEN concat('the ', s_name, ' [', sub_event_type, ']; ', coalesce(assoc_actor_1, '')) ELSE assoc_actor_1 END AS assoc_actor_1,
   CASE WHEN n % 7 = 1 AND s_name IS NOT NULL THEN concat(s_name, ' Group') ELSE assoc_actor_2 END AS assoc_actor_2,
   fatalities,
