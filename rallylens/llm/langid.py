@@ -72,13 +72,16 @@ def presence(texts: list[str], slots: np.ndarray) -> tuple[np.ndarray, np.ndarra
     return rows, sizes
 
 
-def fit(docs: DataFrame, labelled: DataFrame, per_lang: int = 200, landmarks: int = 40, ridge: float = 0.03) -> KernelModel:
-    """Fit on at most ``per_lang`` texts of each language.
+def fit(
+    docs: DataFrame, labelled: DataFrame, per_lang: int = 200, landmarks: int = 40, ridge: float = 0.03, most: int = 12_800
+) -> KernelModel:
+    """Fit on at most ``per_lang`` texts of each language and about ``most`` in all.
 
     ``labelled``: doc_id and lang of the rows to learn from.  Only the sets of
     n-grams (16 kB a text) reach the driver.
     """
-    sample = texts_of(docs, bounded_ids(labelled, "lang", per_lang))
+    named = labelled.where(F.col("lang").isNotNull()).agg(F.count_distinct("lang")).first()[0]
+    sample = texts_of(docs, bounded_ids(labelled, "lang", min(per_lang, max(1, most // max(1, named)))))
     made = F.udf(lambda t: np.packbits(np.bincount(ngram_slots(t), minlength=SLOTS) > 0).tobytes(), T.BinaryType())
     usable = sample.where(F.col("text").rlike(r"\p{L}"))
     rows = usable.select("doc_id", "lang", made("text").alias("bits")).collect()

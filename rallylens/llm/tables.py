@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from rallylens.storage import landed
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
@@ -21,17 +23,21 @@ def held_out(parts: int, part: int, doc_id: str = "doc_id") -> Column:
     return F.coalesce(fold(doc_id, parts) == part, F.lit(False))
 
 
-def bounded_ids(labelled: DataFrame, label: str, per_label: int) -> DataFrame:
+def bounded_ids(labelled: DataFrame, label: str, per_label: int, spare: int = 8) -> DataFrame:
     """At most ``per_label`` ids for each value of ``label``, drawn by hash order.
 
     ``labelled``: doc_id and the label.  Ids and labels that are null are left
-    out, an id with several labels gets the largest.  Ranks are cut on the map
-    side, so a label with most of the rows sends only its first rows.
+    out, an id with several labels gets the largest.  Labels are counted first;
+    a hash threshold then leaves about ``spare`` times the wanted rows of each,
+    so a label with most of the rows sends no more than others to be ranked.
     """
     ids = labelled.where(F.col("doc_id").isNotNull() & F.col(label).isNotNull())
     ids = ids.groupBy("doc_id").agg(F.max(label).alias(label))
-    order = W.partitionBy(label).orderBy(F.xxhash64("doc_id"), "doc_id")
-    return ids.withColumn("_n", F.row_number().over(order)).where(F.col("_n") <= per_label).drop("_n")
+    counts = landed(ids.groupBy(label).agg(F.count("*").alias("_rows")), "label_counts")
+    place = F.shiftrightunsigned(F.xxhash64("doc_id"), 11) / F.lit(float(1 << 53))
+    near = ids.join(counts, label).where(place * F.col("_rows") < spare * per_label)
+    order = W.partitionBy(label).orderBy(place, "doc_id")
+    return near.withColumn("_n", F.row_number().over(order)).where(F.col("_n") <= per_label).select("doc_id", label)
 
 
 def texts_of(docs: DataFrame, ids: DataFrame) -> DataFrame:
