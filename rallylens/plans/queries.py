@@ -637,7 +637,7 @@ def _topic_model(spark, sf):
     placed = rows.computed_once(_named(spark, sf), sides)
     unplaced = placed.where(" AND ".join(f"{c} = '{keywords.UNCLASSIFIED}'" for c in sides))
     words = tok.tokens(unplaced.select(ID, "notes"), "notes", [ID])
-    return topics.fit_topics(tok.stemmed_counts(words, [ID]), ID)
+    return topics.fit_topics(tok.stemmed_counts(words, [ID]), ID, iterations=5)
 
 
 @query
