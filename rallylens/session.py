@@ -7,9 +7,12 @@ import os
 from pyspark.sql import SparkSession
 
 
-def local_session(cpus: int | str = 8, app: str = "rallylens") -> SparkSession:
-    """A local-mode session; on a cluster use the session you are given."""
-    return (
+def local_session(cpus: int | str = 8, app: str = "rallylens", shared: str | None = None) -> SparkSession:
+    """A local-mode session; on a cluster use the session you are given.
+
+    ``shared`` names the folder for landed tables (``spark.checkpoint.dir``).
+    """
+    builder = (
         SparkSession.builder.master(f"local[{cpus}]")
         .appName(app)
         .config("spark.sql.shuffle.partitions", str(cpus))
@@ -18,5 +21,5 @@ def local_session(cpus: int | str = 8, app: str = "rallylens") -> SparkSession:
         .config("spark.driver.memory", os.environ.get("RALLYLENS_DRIVER_MEMORY", "12g"))
         .config("spark.ui.enabled", "false")
         .config("spark.ui.showConsoleProgress", "false")
-        .getOrCreate()
     )
+    return (builder.config("spark.checkpoint.dir", shared) if shared else builder).getOrCreate()

@@ -11,9 +11,9 @@ SF = "/root/testdata/sf0.001"
 
 
 @pytest.fixture(scope="session")
-def spark():
+def spark(tmp_path_factory):
     os.environ.setdefault("RALLYLENS_DRIVER_MEMORY", "4g")
-    session = local_session(4, "rallylens-tests")
+    session = local_session(4, "rallylens-tests", f"file:{tmp_path_factory.mktemp('shared')}")
     session.sparkContext.setLogLevel("ERROR")
     return session
 
