@@ -73,28 +73,40 @@ def presence(texts: list[str], slots: np.ndarray) -> tuple[np.ndarray, np.ndarra
 
 
 def fit(
-    docs: DataFrame, labelled: DataFrame, per_lang: int = 200, landmarks: int = 40, ridge: float = 0.03, most: int = 12_800
+    docs: DataFrame, labelled: DataFrame, per_lang: int = 200, landmarks: int = 40, ridge: float = 0.03, most: int = 3_200
 ) -> KernelModel:
     """Fit on at most ``per_lang`` texts of each language and about ``most`` in all.
 
     ``labelled``: doc_id and lang of the rows to learn from.  Only the sets of
-    n-grams (16 kB a text) reach the driver.
+    n-grams (16 kB a text) reach the driver; with many languages each has fewer
+    texts and landmarks.
     """
     named = labelled.where(F.col("lang").isNotNull()).agg(F.count_distinct("lang")).first()[0]
     sample = texts_of(docs, bounded_ids(labelled, "lang", min(per_lang, max(1, most // max(1, named)))))
-    made = F.udf(lambda t: np.packbits(np.bincount(ngram_slots(t), minlength=SLOTS) > 0).tobytes(), T.BinaryType())
+
+    @F.arrow_udf(T.BinaryType())
+    def made(column: pa.Array) -> pa.Array:
+        sets = (np.bincount(ngram_slots(t), minlength=SLOTS) > 0 for t in column.to_pylist())
+        return pa.array([np.packbits(s).tobytes() for s in sets], pa.binary())
+
     usable = sample.where(F.col("text").rlike(r"\p{L}"))
-    rows = usable.select("doc_id", "lang", made("text").alias("bits")).collect()
+    rows = usable.select("doc_id", "lang", made.asNondeterministic()("text").alias("bits")).collect()
     rows.sort(key=lambda r: (r.lang, r.doc_id))
     langs = sorted({r.lang for r in rows})
     if not langs:
         return KernelModel([], np.zeros(0, np.int64), np.zeros((0, 0), np.float32), np.zeros((0, 0), np.float32))
-    have = np.array([np.unpackbits(np.frombuffer(r.bits, np.uint8)) for r in rows], dtype=np.uint8)
     of = np.array([langs.index(r.lang) for r in rows])
-    chosen = np.concatenate([np.flatnonzero(of == k)[:landmarks] for k in range(len(langs))])
-    slots = np.flatnonzero(have[chosen].any(axis=0))
-    sizes = np.maximum(1, have.sum(axis=1, dtype=np.int64))
-    x = have[:, slots].astype(np.float32) / np.sqrt(sizes)[:, None].astype(np.float32)
+    each = min(landmarks, max(1, 512 // len(langs)))
+    chosen = np.concatenate([np.flatnonzero(of == k)[:each] for k in range(len(langs))])
+
+    def held(i: int) -> np.ndarray:
+        return np.unpackbits(np.frombuffer(rows[i].bits, np.uint8))
+
+    slots = np.flatnonzero(np.any([held(i) for i in chosen], axis=0))
+    x = np.zeros((len(rows), len(slots)), dtype=np.float32)
+    for i in range(len(rows)):
+        bits = held(i)
+        x[i] = bits[slots] / np.sqrt(max(1, int(bits.sum(dtype=np.int64))))
     marks = x[chosen]
     values, vectors = np.linalg.eigh((marks @ marks.T).astype(np.float64))
     keep = values > 1e-6 * values.max()
