@@ -144,13 +144,16 @@ def fingerprint_text(fp: Column | str) -> Column:
 
 
 def drop_near_duplicates(docs: DataFrame, radius: int = 2, shingle: int = 3) -> DataFrame:
-    """One document of each component: the smallest id, then the smallest text hash.
+    """One document of each component: the smallest id, then the smallest text hash."""
+    return survivors(docs, grouped(docs, radius, shingle), F.coalesce(F.col("component_id").cast("string"), F.concat(F.lit("fp"), F.col("fp"))))
+
+
+def survivors(docs: DataFrame, rows: DataFrame, anchor: Column) -> DataFrame:
+    """One document of each ``anchor`` of rows (doc_id, text_key and its columns).
 
     Rows that agree in id and text are one document; the first of them stays.
     """
-    rows = grouped(docs, radius, shingle)
     order = F.struct(F.col("doc_id").isNull().alias("n"), F.col("doc_id").alias("i"), F.col("text_key").alias("k"))
-    anchor = F.coalesce(F.col("component_id").cast("string"), F.concat(F.lit("fp"), F.col("fp")))
     copies = rows.groupBy(anchor.alias("c"), "doc_id", "text_key").agg(F.count("*").alias("copies"))
     best = copies.groupBy("c").agg(F.min_by(F.struct("doc_id", "text_key", "copies"), order).alias("b"))
     key, of, n = (unused(docs, c) for c in ("text_key", "kept_id", "kept_copies"))
