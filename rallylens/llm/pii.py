@@ -2,7 +2,9 @@
 
 Every kind proposes leftmost, non-overlapping spans over a whole text.  Card
 numbers must pass Luhn, account numbers (IBAN) mod-97, address parts and digit
-counts their ranges; what fails is dropped and not tried again.  Words near a
+counts their ranges; what fails is dropped and not tried again.  Only account
+numbers are proposed by their first four characters and take the longest run of
+whole words that passes, so words behind a number do not hide it.  Words near a
 span raise its score.  The four base kinds stay whatever their score; the added
 kinds (iban, ssn) stay from ``THRESHOLD`` on.
 
@@ -29,6 +31,7 @@ from rallylens.llm.tables import unused
 THRESHOLD = 0.6
 CONTEXT_CHARS = 40
 CONTEXT_BONUS = 0.3
+LEAST_MATCH = 4  # no pattern takes fewer characters
 
 
 def let(value: Column, body: Callable[[Column], Column]) -> Column:
@@ -66,6 +69,16 @@ def mod97(value: Column) -> Column:
     return left == 1
 
 
+def account(run: Column) -> Column:
+    """The longest word-bounded account number a text starts with; empty if none passes."""
+
+    def longest(words: Column) -> Column:
+        numbers = F.transform(F.sequence(F.size(words), F.lit(1), F.lit(-1)), lambda n: F.array_join(F.slice(words, F.lit(1), n), " "))
+        return F.get(F.filter(numbers, lambda v: v.rlike(f"^{ACCOUNT}$") & mod97(v)), F.lit(0))
+
+    return F.coalesce(let(F.split(F.regexp_extract(run, rf"^{ACCOUNT}\b", 0), " "), longest), F.lit(""))
+
+
 @dataclass(frozen=True)
 class Kind:
     name: str
@@ -75,40 +88,64 @@ class Kind:
     score: float
     words: str  # context, any of these
     base: bool = True
+    whole: Callable[[Column], Column] | None = None  # the value in a match and what follows it
+    reach: int = 0  # so many characters at most
 
 
 LOCAL = "[A-Za-z0-9._%+-]"
 PART = "(?:0*(?:[0-9]{1,2}|1[0-9]{2}|2[0-4][0-9]|25[0-5]))"
 CARD = r"(?<![0-9])(?<![0-9][ -])[0-9](?:[ -]?[0-9]){15,18}+(?![ -]?[0-9])"  # whole runs of 16 to 19 digits
-IBAN = r"\b[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]){11,30}\b"
+ACCOUNT = "[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]){11,30}"
+IBAN = r"\b[A-Z]{2}[0-9]{2}(?=(?: ?[A-Z0-9]){11,30}\b)"  # the head; account() finds the end
 SSN = r"\b[0-9]{3}-[0-9]{2}-[0-9]{4}\b"
 KINDS = [
     Kind("email", rf"(?:(?<!{LOCAL})|\G){LOCAL}++@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)++", lambda t: F.contains(t, F.lit("@")), lambda v: F.lit(True), 0.7, "mail|contact|kontakt|correo|courriel"),
     Kind("ip", r"(?<![0-9])[0-9]++\.[0-9]++\.[0-9]++\.[0-9]++", lambda t: t.rlike(r"[0-9]\.[0-9]++\.[0-9]"), lambda v: v.rlike(rf"^{PART}(?:\.{PART}){{3}}$"), 0.5, "ip|host|server|address|adresse|direcci"),
     Kind("card", CARD, lambda t: t.rlike(CARD), lambda v: F.call_function("luhn_check", digits(v)), 0.6, "card|visa|karte|tarjeta|carte|credit"),
     Kind("phone", r"\+[0-9][ ().0-9-]+[0-9]", lambda t: F.contains(t, F.lit("+")), lambda v: F.length(digits(v)).between(8, 15), 0.6, "phone|tel|call|fax|mobil"),
-    Kind("iban", IBAN, lambda t: t.rlike(IBAN), mod97, 0.7, "iban|bank|konto|account|cuenta|compte", False),
+    Kind("iban", IBAN, lambda t: t.rlike(IBAN), lambda v: v != "", 0.7, "iban|bank|konto|account|cuenta|compte", False, account, 61),
     Kind("ssn", SSN, lambda t: t.rlike(SSN), lambda v: ~v.rlike("^(000|666|9)"), 0.4, "ssn|social security", False),
 ]
 BASE = [k.name for k in KINDS if k.base]
 SPANS = "array<struct<kind:string,start:int,stop:int,score:double,value:string>>"
 
 
+def apart(found: Column) -> Column:
+    """Spans in order without those that begin inside an earlier one."""
+    step = lambda kept, s: F.when(F.coalesce(F.try_element_at(kept, F.lit(-1))["stop"] > s["start"], F.lit(False)), kept).otherwise(F.concat(kept, F.array(s)))
+    return F.aggregate(found, F.array().cast(SPANS), step)
+
+
 def kind_spans(text: Column, kind: Kind) -> Column:
     """The confirmed spans of one kind with their scores."""
+    room = CONTEXT_CHARS + kind.reach
 
     def placed(gaps: Column, found: Column) -> Column:
         steps = F.transform(found, lambda m, i: F.length(m) + F.length(F.get(gaps, i)))
+        heads = F.transform(found, lambda m, i: F.left(F.concat(m, F.left(F.get(gaps, i + 1), F.lit(room))), F.lit(room)))
+        return let(heads, lambda h: confirmed(gaps, found, sums_before(steps), h))
 
+    def confirmed(gaps: Column, found: Column, befores: Column, heads: Column) -> Column:
         def span(before: Column, i: Column) -> Column:
-            value, gap, after = F.get(found, i), F.get(gaps, i), F.get(gaps, i + 1)
+            match, gap = F.get(found, i), F.get(gaps, i)
             start = before + F.length(gap)
-            near = F.lower(F.concat_ws(" ", F.right(gap, F.lit(CONTEXT_CHARS)), F.left(after, F.lit(CONTEXT_CHARS))))
-            score = F.lit(kind.score) + F.when(near.rlike(f"(^|[^a-z])({kind.words})"), CONTEXT_BONUS).otherwise(0.0)
-            return F.struct(F.lit(kind.name).alias("kind"), start.alias("start"), (start + F.length(value)).alias("stop"), score.alias("score"), value.alias("value"))
-
-        spans = F.transform(sums_before(steps), span)
-        return F.filter(spans, lambda s: kind.valid(s["value"]) & (F.lit(kind.base) | (s["score"] >= THRESHOLD)))
+            # what follows, over other matches too: each has LEAST_MATCH characters or more
+            left = F.right(gap, F.lit(CONTEXT_CHARS))
+            after = F.left(F.concat(F.left(F.get(gaps, i + 1), F.lit(room)), F.array_join(F.slice(heads, i + 2, F.lit(room // LEAST_MATCH + 1)), "")), F.lit(room))
+
+            def scored(value: Column, right: Column) -> Column:
+                near = F.lower(F.concat_ws(" ", left, right))
+                score = F.lit(kind.score) + F.when(near.rlike(f"(^|[^a-z])({kind.words})"), CONTEXT_BONUS).otherwise(0.0)
+                return F.struct(F.lit(kind.name).alias("kind"), start.alias("start"), (start + F.length(value)).alias("stop"), score.alias("score"), value.alias("value"))
+
+            if kind.whole is None:
+                return scored(match, F.left(F.get(gaps, i + 1), F.lit(CONTEXT_CHARS)))
+            beyond = F.concat(match, after)
+            return let(kind.whole(beyond), lambda v: scored(v, F.substr(beyond, F.length(v) + 1, F.lit(CONTEXT_CHARS))))
+
+        spans = F.transform(befores, span)
+        good = F.filter(spans, lambda s: kind.valid(s["value"]) & (F.lit(kind.base) | (s["score"] >= THRESHOLD)))
+        return good if kind.whole is None else apart(good)
 
     found = let(F.split(text, kind.pattern, -1), lambda g: let(F.regexp_extract_all(text, F.lit(kind.pattern), F.lit(0)), lambda m: placed(g, m)))
     return F.when(kind.present(text), found).otherwise(F.array().cast(SPANS))

@@ -60,3 +60,19 @@ def test_redaction_masks_overlaps_once_and_keeps_columns(documents):
 
 def test_empty_table(empty):
     assert pii.find(empty).collect() == [] and pii.redact(empty).collect() == []
+
+
+def spans_of(documents, texts):
+    rows = pii.find(documents([(i, t, "en", "s") for i, t in enumerate(texts)])).orderBy("doc_id").collect()
+    return [[(s.kind, t[s.start : s.stop]) for s in r.spans] for r, t in zip(rows, texts)]
+
+
+def test_account_number_before_capitals_or_digits(documents):
+    good, other = "DE89 3704 0044 0532 0130 00", "GB29 NWBK 6016 1331 9268 19"
+    texts = [
+        f"{good} BIC COBADEFFXXX", f"{good} 2024", f"{good} {other} OK", f"XX12 {good}", f"{good.replace(' ', '')} 2024 A", f"é {good}", f"{good}X", f"{good} {good} BIC", f"AB12 CD34 {other}",
+    ]
+    want = [[good], [good], [good, other], [good], [good.replace(" ", "")], [good], [], [good, good], [other]]
+    assert spans_of(documents, texts) == [[("iban", v) for v in values] for values in want]
+    masked = pii.redact(documents([(1, texts[0], "en", "s")])).first().text
+    assert masked == "[IBAN] BIC COBADEFFXXX"
