@@ -122,15 +122,17 @@ def kind_spans(text: Column, kind: Kind) -> Column:
 
     def placed(gaps: Column, found: Column) -> Column:
         steps = F.transform(found, lambda m, i: F.length(m) + F.length(F.get(gaps, i)))
+        tails = F.transform(found, lambda m, i: F.right(F.concat(F.right(F.get(gaps, i), F.lit(CONTEXT_CHARS)), m), F.lit(CONTEXT_CHARS)))
         heads = F.transform(found, lambda m, i: F.left(F.concat(m, F.left(F.get(gaps, i + 1), F.lit(room))), F.lit(room)))
-        return let(heads, lambda h: confirmed(gaps, found, sums_before(steps), h))
+        return let(tails, lambda t: let(heads, lambda h: confirmed(gaps, found, sums_before(steps), t, h)))
 
-    def confirmed(gaps: Column, found: Column, befores: Column, heads: Column) -> Column:
+    def confirmed(gaps: Column, found: Column, befores: Column, tails: Column, heads: Column) -> Column:
         def span(before: Column, i: Column) -> Column:
             match, gap = F.get(found, i), F.get(gaps, i)
             start = before + F.length(gap)
-            # what follows, over other matches too: each has LEAST_MATCH characters or more
-            left = F.right(gap, F.lit(CONTEXT_CHARS))
+            # the text on both sides, over other matches too: each has LEAST_MATCH characters or more
+            n = CONTEXT_CHARS // LEAST_MATCH
+            left = F.right(F.concat(F.array_join(F.slice(tails, F.greatest(i - n + 1, F.lit(1)), F.least(i, F.lit(n))), ""), F.right(gap, F.lit(CONTEXT_CHARS))), F.lit(CONTEXT_CHARS))
             after = F.left(F.concat(F.left(F.get(gaps, i + 1), F.lit(room)), F.array_join(F.slice(heads, i + 2, F.lit(room // LEAST_MATCH + 1)), "")), F.lit(room))
 
             def scored(value: Column, right: Column) -> Column:
@@ -139,7 +141,7 @@ def kind_spans(text: Column, kind: Kind) -> Column:
                 return F.struct(F.lit(kind.name).alias("kind"), start.alias("start"), (start + F.length(value)).alias("stop"), score.alias("score"), value.alias("value"))
 
             if kind.whole is None:
-                return scored(match, F.left(F.get(gaps, i + 1), F.lit(CONTEXT_CHARS)))
+                return scored(match, after)
             beyond = F.concat(match, after)
             return let(kind.whole(beyond), lambda v: scored(v, F.substr(beyond, F.length(v) + 1, F.lit(CONTEXT_CHARS))))
 

@@ -76,3 +76,15 @@ def test_account_number_before_capitals_or_digits(documents):
     assert spans_of(documents, texts) == [[("iban", v) for v in values] for values in want]
     masked = pii.redact(documents([(1, texts[0], "en", "s")])).first().text
     assert masked == "[IBAN] BIC COBADEFFXXX"
+
+
+def test_context_reaches_over_other_matches(documents):
+    first, second = "123-45-6789", "234-56-7890"
+    texts = [
+        f"SSN: {first}, {second}", f"{first}, {second} is the ssn", f"{first} " * 30 + "ssn", f"ssn {'x' * 37}{first}", f"ssn {'x ' * 18} {first}", f"ssn {'x ' * 16} {first}",
+    ]
+    got = spans_of(documents, texts)
+    assert got[:2] == [[("ssn", first), ("ssn", second)]] * 2
+    assert got[2] == [("ssn", first)] * 4
+    whole = [m for t in texts for m in re.finditer(r"\b[0-9]{3}-[0-9]{2}-[0-9]{4}\b", t) if re.search("(^|[^a-z])ssn", (t[max(m.start() - 40, 0) : m.start()] + " " + t[m.end() : m.end() + 40]).lower())]
+    assert sum(map(len, got)) == len(whole)
