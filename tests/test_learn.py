@@ -206,3 +206,12 @@ def test_vectors_hold_the_counts(spark):
         assert r.features.size == 6
         assert r.features[ids["a"]] == r.doc + 1 and r.features[ids["b"]] == 1
     assert topics.fit_topics(counts, "doc", "word", min_documents=13).top_terms().collect() == []
+
+
+def test_topic_queries_fit_as_long_as_the_operator(spark, sf):
+    import inspect
+
+    from rallylens.plans import queries
+
+    default = inspect.signature(topics.fit_topics).parameters["iterations"].default
+    assert queries._topic_model(spark, sf).model.getMaxIter() == default == 20
