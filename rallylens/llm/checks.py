@@ -95,3 +95,31 @@ WITH e AS (
 SELECT query_id, rank, vec_id, score
 FROM (SELECT *, (row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id, r))::INT AS rank FROM s) WHERE rank <= 5
 """
+
+_CRC_TABLE = "list_transform(range(256), lambda i: list_reduce([i, 0, 0, 0, 0, 0, 0, 0, 0], lambda c, x: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END))"
+_CRC = "xor(list_reduce([4294967295] || list_transform(string_split({}, ''), lambda ch: ascii(ch)::BIGINT), lambda c, b: xor(c >> 8, tab[(xor(c, b) & 255) + 1])), 4294967295)"
+
+TRIE = f"""
+WITH t AS (
+  SELECT conv_id, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, coalesce(role, ''), coalesce(text, '')) AS k,
+    length(coalesce(text, '')) AS chars, sha256(length(coalesce(role, '')) || ':' || coalesce(role, '') || coalesce(text, '')) AS said
+  FROM conversations WHERE conv_id IS NOT NULL
+), own AS (SELECT conv_id, list(said ORDER BY k) AS s, list(chars ORDER BY k) AS n FROM t GROUP BY conv_id),
+h AS (SELECT conv_id, conv_id - conv_id % 100 AS base, {_CRC.format("conv_id::VARCHAR")} % 6 AS h, s, n FROM own, (SELECT {_CRC_TABLE} AS tab)),
+made AS (
+  SELECT h.conv_id AS c, coalesce(b.s[1:h], []) || h.s[h + 1:] AS s, coalesce(b.n[1:h], []) || h.n[h + 1:] AS n FROM h LEFT JOIN own b ON b.conv_id = h.base
+), paths AS (
+  SELECT c, d, sha256(array_to_string(s[1:d], ',')) AS node, CASE WHEN d > 0 THEN sha256(array_to_string(s[1:d - 1], ',')) END AS parent,
+    CASE WHEN d > 0 THEN n[d] ELSE 0 END AS chars, d = len(s) AS ends
+  FROM (SELECT *, unnest(range(0, len(s) + 1)) AS d FROM made)
+), nodes AS (
+  SELECT node, parent, d, chars, min(c) AS conv_id, count(*) AS n_convs, string_agg(c, ',' ORDER BY c) FILTER (ends) AS ids FROM paths GROUP BY node, parent, d, chars
+), kids AS (SELECT parent AS node, count(*) AS n FROM nodes GROUP BY parent),
+below AS (SELECT DISTINCT a.node AS top, b.node FROM paths a JOIN paths b ON a.c = b.c AND b.d >= a.d),
+sums AS (
+  SELECT top AS node, count(*) FILTER (kids.n IS NULL) AS n_leaves, sum((n_convs - 1) * chars)::BIGINT AS saved
+  FROM below JOIN nodes USING (node) LEFT JOIN kids USING (node) GROUP BY top
+)
+SELECT x.conv_id, x.d AS depth, p.conv_id AS parent_conv_id, x.n_convs, coalesce(kids.n, 0) AS n_children, n_leaves, saved AS saved_tokens, sha256(coalesce(x.ids, '')) AS ends_sha256
+FROM nodes x JOIN sums USING (node) LEFT JOIN kids USING (node) LEFT JOIN nodes p ON p.node = x.parent
+"""

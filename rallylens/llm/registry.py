@@ -7,7 +7,7 @@ from pathlib import Path
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rallylens.llm import chat, checks, decontaminate, langid, packing, pii, quality, shards, simhash, topk, toxicity
+from rallylens.llm import chat, checks, decontaminate, langid, packing, pii, quality, shards, simhash, topk, toxicity, trie
 from rallylens.llm.tables import held_out, small_batches, table
 
 
@@ -106,6 +106,11 @@ def op10_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.digest(chat.examples(rows.union(more)))
 
 
+def op11_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The prefix trie of all rebuilt conversations."""
+    return trie.trie(*trie.rebuilt(trie.turns(table(spark, sf_dir, "conversations"))))
+
+
 LLM_QUERIES = {
     "op1_pii": op1_pii,
     "op2_decontamination": op2_decontamination,
@@ -117,6 +122,7 @@ LLM_QUERIES = {
     "op8_toxicity": op8_toxicity,
     "op9_language": op9_language,
     "op10_chat": op10_chat,
+    "op11_trie": op11_trie,
 }
 
 LLM_CHECKS: dict[str, str] = {
@@ -124,4 +130,5 @@ LLM_CHECKS: dict[str, str] = {
     "op2_decontamination": checks.DECONTAMINATION,
     "op4_topk": checks.TOPK,
     "op10_chat": checks.CHAT,
+    "op11_trie": checks.TRIE,
 }
