@@ -7,7 +7,7 @@ from pathlib import Path
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rallylens.llm import chat, checks, decontaminate, langid, negatives, packing, pii, quality, shards, simhash, topk, toxicity, trie
+from rallylens.llm import chat, checks, decontaminate, langid, negatives, packing, pii, quality, secrets, shards, simhash, topk, toxicity, trie
 from rallylens.llm.tables import held_out, small_batches, table
 
 
@@ -118,6 +118,18 @@ def op12_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
     return negatives.mine(negatives.labelled(table(spark, sf_dir, "embeddings"), moved), F.col("vec_id") % 100 == 0)
 
 
+def op13_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Secrets of every document."""
+    small_batches(spark)
+    found = secrets.find(table(spark, sf_dir, "documents"))
+    base = F.filter("spans", lambda s: s["kind"].isin(secrets.BASE))
+
+    def count(kind: str) -> Column:
+        return F.size(F.filter("spans", lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
+
+    return found.select("doc_id", *map(count, secrets.BASE), F.sha2(secrets.named(base), 256).alias("base_sha256"), secrets.named(F.col("spans")).alias("spans"))
+
+
 LLM_QUERIES = {
     "op1_pii": op1_pii,
     "op2_decontamination": op2_decontamination,
@@ -131,6 +143,7 @@ LLM_QUERIES = {
     "op10_chat": op10_chat,
     "op11_trie": op11_trie,
     "op12_negatives": op12_negatives,
+    "op13_secrets": op13_secrets,
 }
 
 LLM_CHECKS: dict[str, str] = {
