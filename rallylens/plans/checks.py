@@ -685,7 +685,7 @@ CHECKS["topic_invariants"] = with_(
     *IDEOLOGY_PARTS,
     ("texts", f"SELECT {ID}, notes AS text FROM final WHERE actor1_ideology = 'Unclassified' AND actor2_ideology = 'Unclassified'"),
     ("words", token_sql("texts", ID)),
-) + f"SELECT count(DISTINCT {ID}) AS documents, count(DISTINCT {ID}) AS whole, CAST(3 AS BIGINT) AS topics, CAST(3 AS BIGINT) AS with_terms FROM words"
+) + f"SELECT count(DISTINCT {ID}) AS documents, count(DISTINCT {ID}) AS whole, CAST(3 AS BIGINT) AS topics, CAST(3 AS BIGINT) AS with_terms, true AS rising, true AS several_passes FROM words"
 CHECKS["mean_equivalence"] = with_(
     *PARTISAN,
     ("pairs", f"SELECT typed.event_partisan_type AS t, CAST(typed_step IN ({positive(packs.PRESENCE_STEPS)}) AS INT) AS x "

@@ -652,15 +652,17 @@ def topic_terms(spark, sf):
 
 @query
 def topic_invariants(spark, sf):
-    """Every document with words has shares that add up to 1; every topic has its terms."""
+    """Every document with words has shares that add up to 1; every topic has its terms; the bound never falls."""
     model = _topic_model(spark, sf)
+    bounds = model.fitted.bounds
+    rising = all(b >= a - 1e-5 * abs(a) for a, b in zip(bounds, bounds[1:]))
     sums = model.topic_shares().groupBy(ID).agg(F.sum("gamma").alias("s"), F.count(F.lit(1)).alias("n"))
     shares = sums.agg(
         F.count(F.lit(1)).alias("documents"), F.count_if(F.abs(F.col("s") - 1) < 1e-6).alias("whole"),
         F.max("n").alias("topics"),
     )
     listed = model.top_terms().groupBy("topic").agg(F.count(F.lit(1)).alias("n")).agg(F.count_if(F.col("n") >= 15).alias("with_terms"))
-    return shares.withColumn("with_terms", listed.scalar())
+    return shares.withColumns({"with_terms": listed.scalar(), "rising": F.lit(rising), "several_passes": F.lit(len(bounds) > 2)})
 
 
 # --- place, time, models ---------------------------------------------------

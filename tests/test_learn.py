@@ -6,7 +6,7 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
-from rallylens.learn import bayes, metrics, response, scorer, topics
+from rallylens.learn import bayes, metrics, response, scorer, topics, variational
 from rallylens.operators import tokens as tok
 
 TRAIN = [
@@ -129,7 +129,7 @@ def test_topics(spark):
         [(d, w) for d in range(30) for w in pieces[d % 3].split()], "doc int, word string"
     )
     counts = tok.term_counts(words, "doc")
-    model = topics.fit_topics(counts, "doc", "word", iterations=10)
+    model = topics.fit_topics(counts, "doc", "word")
     dominant = model.dominant()
     assert dominant.select("doc").distinct().count() == 30
     sums = model.topic_shares().groupBy("doc").agg(F.sum("gamma").alias("s")).collect()
@@ -144,8 +144,8 @@ def test_topics(spark):
 def test_every_document_counts_in_the_fit(spark):
     # Each document alone holds a term; all of them must have weight in the topics.
     rows = [(d, w, 1) for d in range(60) for w in ("common", f"only{d}")]
-    model = topics.fit_topics(spark.createDataFrame(rows, "doc int, stem string, n long"), "doc", iterations=3)
-    weights = model.top_terms(model.terms).groupBy("term").agg(F.max("beta").alias("b")).where("b > 1e-4")
+    model = topics.fit_topics(spark.createDataFrame(rows, "doc int, stem string, n long"), "doc", passes=3)
+    weights = model.top_terms(61).groupBy("term").agg(F.max("beta").alias("b")).where("b > 1e-4")
     assert weights.count() == 61
 
 
@@ -199,19 +199,58 @@ def test_vectors_hold_the_counts(spark):
         [(d, w) for d in range(12) for w in ["a"] * (d + 1) + ["b", "c", "d", "e", "f"]], "doc int, word string"
     )
     counts = tok.term_counts(words, "doc")
-    model = topics.fit_topics(counts, "doc", "word", iterations=1)
+    model = topics.fit_topics(counts, "doc", "word", passes=1)
     ids = {r.term: r.term_id for r in model.vocabulary.collect()}
     assert sorted(ids.values()) == list(range(6))
-    for r in model.vectors.collect():
-        assert r.features.size == 6
-        assert r.features[ids["a"]] == r.doc + 1 and r.features[ids["b"]] == 1
+    for r in model.documents.collect():
+        held = dict(zip(r.terms, r.counts, strict=True))
+        assert held[ids["a"]] == r.doc + 1 and held[ids["b"]] == 1 and len(held) == 6
     assert topics.fit_topics(counts, "doc", "word", min_documents=13).top_terms().collect() == []
 
 
-def test_topic_queries_fit_as_long_as_the_operator(spark, sf):
-    import inspect
-
-    from rallylens.plans import queries
-
-    default = inspect.signature(topics.fit_topics).parameters["iterations"].default
-    assert queries._topic_model(spark, sf).model.getMaxIter() == default == 20
+def test_planted_topics_come_back_and_the_bound_rises(spark):
+    """Documents drawn from three topics with own terms: weights and shares are recovered."""
+    rng = np.random.default_rng(3)
+    beta = np.full((30, 3), 1.0)
+    for j in range(3):
+        beta[10 * j : 10 * j + 10, j] = 30.0
+    beta /= beta.sum(axis=0)
+    theta = rng.dirichlet([0.3] * 3, 200)
+    rows = []
+    for d in range(200):
+        drawn = rng.multinomial(80, beta @ theta[d])
+        rows += [(d, f"t{w:02}", int(n)) for w, n in enumerate(drawn) if n]
+    model = topics.fit_topics(spark.createDataFrame(rows, "doc int, stem string, n long"), "doc")
+    bounds = model.fitted.bounds
+    assert len(bounds) > 3 and all(b >= a - 1e-5 * abs(a) for a, b in zip(bounds, bounds[1:]))
+    order = [None] * 3
+    for r in model.top_terms(10).collect():
+        true = int(r.term[1:]) // 10
+        assert order[r.topic - 1] in (None, true)
+        order[r.topic - 1] = true
+    assert sorted(order) == [0, 1, 2]
+    error = [abs(r.gamma - theta[r.doc][order[r.topic - 1]]) for r in model.topic_shares().collect()]
+    assert np.mean(error) < 0.05 and 0.1 < model.fitted.alpha < 1
+
+
+def test_shares_and_bound_of_plain_loops():
+    """One document entry by entry, with the library's gamma functions checked against known values."""
+    assert variational.digamma(np.array([1.0, 0.5])) == pytest.approx([-0.5772156649015329, -1.9635100260214235], abs=1e-9)
+    assert variational.digamma(np.array([31.5])) == pytest.approx(variational.digamma(np.array([30.5])) + 1 / 30.5, abs=1e-12)
+    x = np.array([0.1, 1.7, 8.0, 400.25])
+    assert variational.log_gamma(x) == pytest.approx([math.lgamma(v) for v in x], abs=1e-9)
+    weights = np.array([[0.7, 0.1], [0.2, 0.1], [0.1, 0.8]])
+    batch = variational.Batch(np.array([0, 2, 1]), np.array([3.0, 1.0, 2.0]), np.array([0, 2, 2, 3]))
+    gamma, entry, bound = variational.shares_of(batch, weights, 0.5)
+    psi = lambda v: float(variational.digamma(np.array(v)))
+    for d, words in enumerate([[(0, 3.0), (2, 1.0)], [], [(1, 2.0)]]):
+        g = [0.5 + sum(n for _, n in words) / 2] * 2
+        for _ in range(500):
+            e = [math.exp(psi(v) - psi(sum(g))) for v in g]
+            g = [0.5 + sum(n * e[j] * weights[w][j] / sum(e[i] * weights[w][i] for i in range(2)) for w, n in words) for j in range(2)]
+        assert gamma[d] == pytest.approx(g, abs=5e-3)
+        e = [psi(v) - psi(sum(g)) for v in g]
+        told = sum(n * math.log(sum(math.exp(e[j]) * weights[w][j] for j in range(2))) for w, n in words)
+        told += math.lgamma(1.0) - 2 * math.lgamma(0.5) - math.lgamma(sum(g)) + sum(map(math.lgamma, g)) + sum((0.5 - v) * x for v, x in zip(g, e))
+        assert bound[d] == pytest.approx(told, abs=1e-4)
+    assert entry.sum() == pytest.approx(6.0)
