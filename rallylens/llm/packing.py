@@ -2,11 +2,10 @@
 
 Texts are tokenised whole, cut into pieces of at most ``size`` ids, and only
 the lengths go on.  On the histogram of lengths (at most ``size`` counts, all
-that reaches the driver) patterns of two or three pieces that fill a sequence
-exactly are fitted: non-negative repeat counts whose pieces come closest to the
-histogram in the least-squares sense.  Counts are rounded within what there is,
-and what is left is packed best fit, longest first; should
-best fit of everything need fewer sequences, that plan is taken.  A plan says, for each
+that reaches the driver) patterns of few different lengths that nearly fill a
+sequence are fitted: non-negative repeat counts whose pieces come closest to
+the histogram in the least-squares sense.  Counts are rounded down and the rest
+is fitted again; what is left at last is packed best fit, longest first.  A plan says, for each
 length, which ranks go to which sequences; pieces are ranked within their
 length in cells, so no length is gathered, and look their place up.
 
@@ -21,7 +20,8 @@ import sys
 import types
 import zlib
 from bisect import bisect_left, insort
-from collections.abc import Iterator
+from collections import Counter
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -35,9 +35,14 @@ from rallylens.llm.tables import text_key
 from rallylens.storage import landed
 
 END = 0
-ALNUM = frozenset("abcdefghijklmnopqrstuvwxyz0123456789")
+EDGE = r"""!"#$%&()*+,-./:;=?@[\]^_`{}~"""  # cut off a word's ends: never one token with letters, part of a contraction or a special token
 MARK = "0"  # a digit is always a token of its own
-CACHED_WORDS = 600_000
+CACHED_WORDS = 1_000_000
+
+
+def plain(c: str) -> bool:
+    """Whether a character is a letter or digit that no normal form joins with what follows."""
+    return c < "\u0250" and c.isalnum()
 
 
 class WordIds:
@@ -55,18 +60,18 @@ class WordIds:
         self.known: dict[str, bytes] = {"": b""}
 
     def encode(self, text: str) -> np.ndarray:
-        return np.array(self.encoder.encode(text, add_special_tokens=False).ids, dtype="<u4")
+        return np.array(self.encoder.encode_batch_fast([text], add_special_tokens=False)[0].ids, dtype="<u4")
 
     def learn(self, words: list[str]) -> None:
         """Encode words not seen before, many in one call with marks between."""
-        plain = [w for w in words if MARK not in w]
-        for at in range(0, len(plain), 2000):
-            part = plain[at : at + 2000]
+        unmarked = [w for w in words if MARK not in w]
+        for at in range(0, len(unmarked), 2000):
+            part = unmarked[at : at + 2000]
             ids = self.encode(f" {MARK} ".join(part))
-            stops = np.append(np.flatnonzero(ids == self.mark), len(ids))
-            start = 0
-            for word, stop in zip(part, stops.tolist(), strict=True):
-                self.known[word] = ids[start:stop].tobytes()
+            stops = np.append(np.flatnonzero(ids == self.mark), len(ids)).tolist()
+            raw, start = ids.tobytes(), 0
+            for word, stop in zip(part, stops, strict=True):
+                self.known[word] = raw[4 * start : 4 * stop]
                 start = stop + 1
         for word in words:
             if MARK in word:
@@ -77,12 +82,21 @@ class WordIds:
         if len(known) > CACHED_WORDS:
             known.clear()
             known[""] = b""
-        new = [w for w in words if w not in known]
-        bases = {w: b for w in new if (b := w.rstrip(".,")) != w and b and b[-1] in ALNUM}
-        parts = {w for w in new if w not in bases} | set(bases.values()) | {w[len(b) :] for w, b in bases.items()}
+        cut: dict[str, tuple[str, str, str]] = {}
+        parts: set[str] = set()
+        for word in words:
+            if word in known:
+                continue
+            right = word.rstrip(EDGE)
+            base = right.lstrip(EDGE)
+            if base and base != word and plain(base[0]) and plain(base[-1]):
+                cut[word] = made = (right[: len(right) - len(base)], base, word[len(right) :])
+                parts.update(made)
+            else:
+                parts.add(word)
         self.learn([w for w in parts if w not in known])
-        for word, base in bases.items():
-            known[word] = known[base] + known[word[len(base) :]]
+        for word, (head, base, tail) in cut.items():
+            known[word] = known[head] + known[base] + known[tail]
         return [known[w] for w in words]
 
 
@@ -95,38 +109,27 @@ def worker_encoder(vocabulary: str) -> WordIds:
     return held[name]
 
 
-def batch_ids(texts: pa.Array, encoder: WordIds) -> tuple[np.ndarray, np.ndarray]:
-    """The ids of all texts in one array, and where each text's ids start."""
+def batch_ids(texts: pa.Array, encoder: WordIds) -> list[bytes]:
+    """The ids of each text, little-endian, four bytes an id."""
     texts = pc.fill_null(texts, "").cast(pa.large_string())
     # ASCII capitals change nothing but special-token strings, which stay as written.
     texts = pc.if_else(pc.match_substring(texts, "<|"), texts, pc.ascii_lower(texts))
     words = pc.ascii_split_whitespace(texts)
     bounds = words.offsets.to_numpy()
     codes = words.flatten().dictionary_encode()
-    found = encoder.lookup(codes.dictionary.to_pylist())
-    sizes = np.fromiter((len(f) // 4 for f in found), dtype=np.int64, count=len(found))
-    ids = np.frombuffer(b"".join(found), dtype="<u4")
-    heads = np.cumsum(sizes) - sizes
+    found = encoder.lookup(codes.dictionary.to_numpy(zero_copy_only=False).tolist())
     of = codes.indices.to_numpy()
-    many = sizes[of]
-    ends = np.cumsum(many)
-    total = int(ends[-1]) if len(ends) else 0
-    flat = ids[np.repeat(heads[of] - (ends - many), many) + np.arange(total)] if total else np.zeros(0, "<u4")
-    return flat, np.concatenate([[0], ends])[bounds - bounds[0]]
+    told = []
+    for start, stop in zip((bounds[:-1] - bounds[0]).tolist(), (bounds[1:] - bounds[0]).tolist(), strict=True):
+        told.append(b"".join(map(found.__getitem__, of[start:stop].tolist())))
+    return told
 
 
-def text_pieces(flat: np.ndarray, start: int, stop: int, size: int) -> list[tuple[int, int, int, int]]:
+def text_pieces(ids: bytes, size: int) -> list[tuple[int, int, int, int]]:
     """piece, start, length, crc32 of one text's ids and its end id."""
-    view = memoryview(flat).cast("B")
-    length = stop - start + 1
-    made = []
-    for piece, at in enumerate(range(0, length, size)):
-        n = min(size, length - at)
-        crc = zlib.crc32(view[4 * (start + at) : 4 * min(start + at + n, stop)])
-        if at + n == length:
-            crc = zlib.crc32(END.to_bytes(4, "little"), crc)
-        made.append((piece, at, n, crc))
-    return made
+    view = memoryview(ids + END.to_bytes(4, "little"))
+    length = len(view) // 4
+    return [(piece, at, min(size, length - at), zlib.crc32(view[4 * at : 4 * (at + size)])) for piece, at in enumerate(range(0, length, size))]
 
 
 PIECES = "doc_id long, h long, piece int, start long, length int, ids_crc32 long"
@@ -139,10 +142,7 @@ def pieces(docs: DataFrame, vocabulary: str, size: int) -> DataFrame:
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = worker_encoder(vocabulary)
         for batch in batches:
-            flat, bounds = batch_ids(batch.column("text"), encoder)
-            flat = np.ascontiguousarray(flat)
-            bounds = bounds.tolist()
-            per_text = [text_pieces(flat, s, e, size) for s, e in zip(bounds, bounds[1:])]
+            per_text = [text_pieces(ids, size) for ids in batch_ids(batch.column("text"), encoder)]
             rows = np.repeat(np.arange(len(per_text)), [len(p) for p in per_text])
             columns = list(zip(*[p for made in per_text for p in made])) or [[], [], [], []]
             taken = [batch.column(c).take(pa.array(rows)) for c in ("doc_id", "h")]
@@ -152,50 +152,71 @@ def pieces(docs: DataFrame, vocabulary: str, size: int) -> DataFrame:
     return source.mapInArrow(cut, PIECES)
 
 
-def patterns(present: np.ndarray, size: int) -> np.ndarray:
-    """All ways to fill ``size`` with two or three of the present lengths, longest first; 0 pads."""
-    have = np.zeros(size + 1, dtype=bool)
-    have[present] = True
-    found = []
-    for a in present[present * 2 >= size]:
-        if have[size - a] and a < size:
-            found.append(np.array([[a, size - a, 0]]))
-    for a in present[present * 3 >= size]:
-        b = present[(present <= a) & (present * 2 >= size - a) & (present < size - a)]
-        c = size - a - b
-        good = have[c] & (c <= b)
-        found.append(np.column_stack([np.full(good.sum(), a), b[good], c[good]]))
-    return np.concatenate(found) if found else np.zeros((0, 3), dtype=np.int64)
+Way = tuple[tuple[int, int], ...]  # (length, how often) of a pattern's pieces, longest first
+
 
+def patterns(counts: np.ndarray, size: int, most: int = 20_000) -> list[Way]:
+    """Ways to fill ``size`` with m pieces of one length, n of another and one more, with little waste.
 
-def non_negative_fit(ways: np.ndarray, counts: np.ndarray, rounds: int = 300) -> np.ndarray:
+    The last piece is the longest that still fits.  Of the ways led by a length
+    those with the least waste stay; about ``most`` are looked at, spread over
+    all lengths.
+    """
+    present = np.flatnonzero(counts)
+    fits = np.zeros(size + 1, dtype=np.int64)  # the longest present length up to each
+    fits[present] = present
+    fits = np.maximum.accumulate(fits)
+    rows = []
+    for at, a in enumerate(present[::-1].tolist()):
+        times = [m for m in (1, 2, 4, 8, 16, 32) if m * a <= size and m <= counts[a]]
+        below = present[present <= min(a, size - a)]
+        step = max(1, len(below) * len(times) * 4 * len(present) // most)
+        for m in times:
+            left = size - m * a
+            rows.append(np.array([[a, m, 0, 0, fits[min(left, a)]]]))
+            b = below[(at + m) % step :: step]
+            b = b[b <= left]
+            for n in (np.ones_like(b), left // b, np.maximum(left // b - 1, 1), (left // b + 1) // 2):
+                n = np.minimum(n, counts[b])
+                rows.append(np.column_stack([np.full(len(b), a), np.full(len(b), m), b, n, fits[np.minimum(left - n * b, b)]]))
+    ways = np.unique(np.concatenate(rows), axis=0) if rows else np.zeros((0, 5), dtype=np.int64)
+    waste = size - ways[:, 0] * ways[:, 1] - ways[:, 2] * ways[:, 3] - ways[:, 4]
+    least = np.full(size + 1, size)
+    np.minimum.at(least, ways[:, 0], waste)
+    return [named([a] * m + [b] * n + [c]) for a, m, b, n, c in ways[waste <= least[ways[:, 0]]].tolist()]
+
+
+def named(pieces: Iterable[int]) -> Way:
+    return tuple(sorted(Counter(p for p in pieces if p).items(), reverse=True))
+
+
+def non_negative_fit(ways: list[Way], counts: np.ndarray, sequences: int, weight: float = 0.3, rounds: int = 200) -> np.ndarray:
     """Repeat counts x >= 0 that bring the patterns' pieces closest to ``counts``.
 
-    Accelerated projected gradient; a pattern touches three counts, so a round
-    is linear in the number of patterns.
+    One more row, weighed by ``weight``, draws their sum to ``sequences``, so
+    that patterns with little waste are preferred.  Accelerated projected
+    gradient; a round is linear in the number of patterns.
     """
-    width = len(counts)
-    flat = ways.ravel()
+    of = np.array([i for i, w in enumerate(ways) for _ in w])
+    length = np.array([p for w in ways for p, _ in w])
+    times = np.array([float(k) for w in ways for _, k in w])
 
-    def pieces_of(x: np.ndarray) -> np.ndarray:
-        made = np.bincount(flat, np.repeat(x, ways.shape[1]), width)
-        made[0] = 0
-        return made
+    def back(made: np.ndarray, total: float) -> np.ndarray:
+        return np.bincount(of, times * made[length], len(ways)) + weight * total
 
-    def back(r: np.ndarray) -> np.ndarray:
-        r = r.copy()
-        r[0] = 0
-        return r[ways].sum(axis=1)
+    def made(x: np.ndarray) -> tuple[np.ndarray, float]:
+        return np.bincount(length, times * x[of], len(counts)), weight * x.sum()
 
     v = np.ones(len(ways))
     for _ in range(20):
-        v = back(pieces_of(v))
-        v /= np.linalg.norm(v)
-    step = 1.0 / np.linalg.norm(back(pieces_of(v)))
+        v = back(*made(v))
+        largest = np.linalg.norm(v)
+        v /= largest
     x = np.zeros(len(ways))
     y, t = x, 1.0
     for _ in range(rounds):
-        new = np.maximum(0.0, y + step * back(counts - pieces_of(y)))
+        pieces, total = made(y)
+        new = np.maximum(0.0, y + back(counts - pieces, weight * sequences - total) / (1.02 * largest))
         t_new = (1 + np.sqrt(1 + 4 * t * t)) / 2
         y = new + (t - 1) / t_new * (new - x)
         x, t = new, t_new
@@ -241,34 +262,39 @@ def best_fit(left: np.ndarray, size: int) -> list[tuple[tuple[int, ...], int]]:
     return [p for space in spaces for p in room[space]]
 
 
+REFITS, PRUNES = 4, 3
+
+
 def plan(counts: np.ndarray, size: int) -> list[tuple[tuple[int, ...], int]]:
     """Patterns of lengths and how often each is used; every piece is in exactly one.
 
-    Exact fillings can use up the pieces that would have saved others, so the
-    fitted plan counts only if best fit alone needs no fewer sequences.
+    What the rounded counts leave is fitted again; the patterns best fit would
+    use on it are candidates too.  A fit is repeated on its strongest patterns,
+    as many as there are lengths, so that counts are large enough to round.
     """
     left = counts.astype(np.int64).copy()
     chosen: list[tuple[tuple[int, ...], int]] = []
-    if left[size]:
-        chosen.append(((size,), int(left[size])))
-        left[size] = 0
-    ways = patterns(np.flatnonzero(left), size)
-    if len(ways):
-        x = non_negative_fit(ways, left.astype(float))
-        order = np.argsort(-x, kind="stable")
-        order = order[x[order] > 1e-3]
-        for least in (1.0, 0.0):  # whole counts first, then fractions as single uses
-            for w, n in zip(ways[order].tolist(), x[order].tolist()):
-                parts = tuple(p for p in w if p)
-                can = min(int(left[p]) // parts.count(p) for p in parts)
-                use = min(can, int(n) if least else 1)
-                if use > 0:
-                    chosen.append((parts, use))
-                    for p in parts:
-                        left[p] -= use
-    chosen += best_fit(left, size)
-    plain = best_fit(counts.astype(np.int64), size)
-    return min(chosen, plain, key=lambda made: sum(n for _, n in made))
+    for refit in range(REFITS):
+        if not left.any():
+            break
+        ways = list(dict.fromkeys([*patterns(left, size), *(named(p) for p, _ in best_fit(left, size))]))
+        sequences = -(-int(left @ np.arange(size + 1)) // size)
+        for _ in range(PRUNES):
+            x = non_negative_fit(ways, left.astype(float), sequences)
+            top = np.argsort(-x, kind="stable")[: max(8, np.count_nonzero(left))]
+            top = top[x[top] > 1e-6]
+            ways, x = [ways[i] for i in top], x[top]
+        used = 0
+        for way, want in zip(ways, x.tolist(), strict=True):
+            n = min(int(want + (0.5 if refit > 1 else 0.0)), *(int(left[p]) // k for p, k in way))
+            if n > 0:
+                chosen.append((tuple(p for p, k in way for _ in range(k)), n))
+                used += n
+                for p, k in way:
+                    left[p] -= k * n
+        if not used and refit > 1:
+            break
+    return chosen + best_fit(left, size)
 
 
 class Places:
