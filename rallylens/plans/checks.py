@@ -654,6 +654,30 @@ CHECKS["nearest_site_distance"] = with_(
     ("sites", "SELECT DISTINCT CAST(36 + c_custkey % 499 / 16.0 AS DOUBLE) AS la, CAST(c_custkey % 1009 / 16.0 - 30 AS DOUBLE) AS lo FROM customer"),
     ("best", f"SELECT latitude, longitude, min({haversine('la', 'lo')}) AS km FROM spots, sites GROUP BY 1, 2"),
 ) + f"SELECT {ID}, round(km, 3) AS distance_km FROM inc JOIN best USING (latitude, longitude)"
+_ROAD_LAT, _ROAD_LON = "(36 + c_custkey % 499 / 16.0)", "(c_custkey % 1009 / 16.0 - 30)"
+
+
+def vector(lat: str, lon: str, name: str) -> str:
+    return (
+        f"cos(radians({lat})) * cos(radians({lon})) AS {name}_x, cos(radians({lat})) * sin(radians({lon})) AS {name}_y, sin(radians({lat})) AS {name}_z"
+    )
+
+
+CHECKS["nearest_road_distance"] = with_(
+    inc,
+    ("spots", f"SELECT *, {vector('latitude', 'longitude', 'p')} FROM (SELECT DISTINCT latitude, longitude FROM inc)"),
+    ("ends", f"SELECT DISTINCT CAST({_ROAD_LAT} AS DOUBLE) AS la, CAST({_ROAD_LON} AS DOUBLE) AS lo, "
+             f"CAST({_ROAD_LAT} + (c_custkey % 7 - 3) / 8.0 AS DOUBLE) AS lc, CAST({_ROAD_LON} + (c_custkey % 11 - 5) / 4.0 AS DOUBLE) AS ld FROM customer"),
+    ("roads", f"SELECT *, a_y * b_z - a_z * b_y AS nx, a_z * b_x - a_x * b_z AS ny, a_x * b_y - a_y * b_x AS nz "
+              f"FROM (SELECT *, {vector('la', 'lo', 'a')}, {vector('lc', 'ld', 'b')} FROM ends)"),
+    ("sized", "SELECT *, sqrt(nx * nx + ny * ny + nz * nz) AS n FROM roads"),
+    ("km", f"SELECT latitude, longitude, CASE WHEN n > 1e-12 "
+           "AND (ny * a_z - nz * a_y) * p_x + (nz * a_x - nx * a_z) * p_y + (nx * a_y - ny * a_x) * p_z >= 0 "
+           "AND (b_y * nz - b_z * ny) * p_x + (b_z * nx - b_x * nz) * p_y + (b_x * ny - b_y * nx) * p_z >= 0 "
+           "THEN 6371.0 * asin(least(1.0, abs((p_x * nx + p_y * ny + p_z * nz) / n))) "
+           f"ELSE least({haversine('la', 'lo')}, {haversine('lc', 'ld')}) END AS km FROM spots, sized"),
+    ("best", "SELECT latitude, longitude, min(km) AS km FROM km GROUP BY 1, 2"),
+) + f"SELECT {ID}, round(km, 3) AS distance_km FROM inc JOIN best USING (latitude, longitude)"
 CHECKS["region_class_join"] = (
     "SELECT region_class, count(*) AS n FROM (SELECT CASE WHEN r_name IN ('EUROPE', 'AMERICA') THEN 'urban' "
     "WHEN r_name IS NULL THEN 'unclassified' ELSE 'rural' END AS region_class FROM customer "

@@ -698,6 +698,19 @@ def nearest_site_distance(spark, sf):
     return placed.select(ID, F.round("distance_km", 3).alias("distance_km"))
 
 
+@query
+def nearest_road_distance(spark, sf):
+    """Segments between places made from the customers' keys, some of length zero, some across half a country."""
+    k = F.col("c_custkey")
+    lat, lon = 36 + k % 499 / 16.0, k % 1009 / 16.0 - 30
+    roads = table(spark, sf, "customer").select(
+        lat.cast("double").alias("lat1"), lon.cast("double").alias("lon1"),
+        (lat + (k % 7 - 3) / 8.0).cast("double").alias("lat2"), (lon + (k % 11 - 5) / 4.0).cast("double").alias("lon2"),
+    )
+    placed = places.nearest_road_distance(incidents(spark, sf), roads)
+    return placed.select(ID, F.round("distance_km", 3).alias("distance_km"))
+
+
 @query
 def region_class_join(spark, sf):
     nations = table(spark, sf, "nation").join(

@@ -119,3 +119,50 @@ def test_nearest_site_is_certain_anywhere(spark):
     for r in got:
         if r.latitude is not None:
             assert r.distance_km == pytest.approx(min(km((r.latitude, r.longitude), s) for s in sites), abs=1e-6)
+
+
+def km_to_arc(p, a, b, steps=4000):
+    """Distance to an arc by walking along it."""
+
+    def v(q):
+        la, lo = map(math.radians, q)
+        return (math.cos(la) * math.cos(lo), math.cos(la) * math.sin(lo), math.sin(la))
+
+    p, a, b = v(p), v(a), v(b)
+    best = math.pi
+    for i in range(steps + 1):
+        f = i / steps
+        m = [(1 - f) * x + f * y for x, y in zip(a, b)]
+        n = math.sqrt(sum(x * x for x in m))
+        best = min(best, math.acos(max(-1.0, min(1.0, sum(x * y for x, y in zip(p, m)) / n))))
+    return 6371 * best
+
+
+def test_nearest_road_over_poles_date_line_and_dense_cells(spark):
+    rng = random.Random(8)
+    roads = [(rng.uniform(-80, 80), rng.uniform(-180, 180)) for _ in range(12)]
+    roads = [(la, lo, la + rng.uniform(-9, 9), lo + rng.uniform(-40, 40)) for la, lo in roads]
+    roads += [(10.0, 170.0, 15.0, -170.0), (85.0, 10.0, 85.0, -160.0), (0.0, 0.0, 0.0, 0.0), (None, 1.0, 2.0, 3.0)]
+    roads += [(48 + rng.random() / 50, 2 + rng.random() / 50, 48 + rng.random() / 50, 2 + rng.random() / 50) for _ in range(150)]
+    spots = [(rng.uniform(-90, 90), rng.uniform(-180, 180)) for _ in range(25)] + [(90.0, 0.0), (12.0, 180.0), (48.01, 2.01), (48.3, 2.3), (0.0, 0.001)]
+    df = spark.createDataFrame([*spots, (None, 1.0), (95.0, 0.0)], "latitude double, longitude double")
+    named = "lat1 double, lon1 double, lat2 double, lon2 double"
+    got = {(r.latitude, r.longitude): r.distance_km for r in places.nearest_road_distance(df, spark.createDataFrame(roads, named)).collect()}
+    whole = [r for r in roads if None not in r]
+    assert got[(None, 1.0)] is None and got[(95.0, 0.0)] is None and len(got) == 32
+    for s in spots:
+        assert got[s] == pytest.approx(min(km_to_arc(s, r[:2], r[2:], 400) for r in whole), rel=1e-3, abs=0.3)
+
+
+def test_cells_divide_where_sites_are_many_and_bounds_hold(spark):
+    rng = random.Random(9)
+    points = [(rng.gauss(48, 0.02), rng.gauss(2, 0.02)) for _ in range(1500)] + [(rng.uniform(-90, 90), rng.uniform(-180, 180)) for _ in range(300)]
+    sites = spark.createDataFrame([(*p, 0.0) for p in points], "s_lat double, s_lon double, reach double").distinct()
+    cells = places.cells_of(sites)
+    assert cells.where("whole and n > 32").where("level < 6").isEmpty() and cells.where("level = 0").agg({"n": "sum"}).first()[0] == 1800
+    spot = spark.createDataFrame([(rng.uniform(-90, 90), rng.uniform(-180, 180)) for _ in range(40)], "latitude double, longitude double")
+    size = 45.0 / F.pow(F.lit(4.0), F.col("level"))
+    inside = (F.col("s_lat") + 90 >= F.col("y") * size) & (F.col("s_lat") + 90 < (F.col("y") + 1) * size) & (F.col("s_lon") + 180 >= F.col("x") * size) & (F.col("s_lon") + 180 < (F.col("x") + 1) * size)
+    met = cells.where("level < 3").join(sites, inside).crossJoin(spot)
+    least = places.least_km(F.col("latitude"), F.col("longitude"), F.col("level"), F.col("y"), F.col("x"))
+    assert met.where(least > places.distance_km(F.col("latitude"), F.col("longitude"), F.col("s_lat"), F.col("s_lon"))).isEmpty()
