@@ -66,19 +66,23 @@ def cell_of(lat: Column, lon: Column, level: Column) -> list[Column]:
     return [y.cast("long").alias("y"), F.pmod(F.floor((lon + 180) / size), F.lit(360.0) / size).cast("long").alias("x")]
 
 
-def least_km(lat: Column, lon: Column, level: Column, y: Column, x: Column) -> Column:
-    """No point of a cell is nearer to a place than this."""
+def box_of(level: Column, y: Column, x: Column) -> list[Column]:
+    """South and north edge, middle meridian and half width of a cell, in degrees."""
     size = F.lit(TOP_DEGREES) / F.pow(F.lit(4.0), level)
-    low, high = y * size - 90, (y + 1) * size - 90
-    away = F.abs(F.pmod(lon - ((x + F.lit(0.5)) * size - 180) + 540, F.lit(360.0)) - 180) - size / 2
-    above = F.greatest(low - lat, lat - high, F.lit(0.0))
+    return [(y * size - 90).alias("south"), ((y + 1) * size - 90).alias("north"), ((x + F.lit(0.5)) * size - 180).alias("middle"), (size / 2).alias("half")]
+
+
+def least_km(lat: Column, lon: Column, south: Column, north: Column, middle: Column, half: Column) -> Column:
+    """No point of a cell is nearer to a place than this."""
+    away = F.abs(F.pmod(lon - middle + 540, F.lit(360.0)) - 180) - half
+    above = F.greatest(south - lat, lat - north, F.lit(0.0))
     beside, phi = F.cos(F.radians(away)), F.radians(lat)
 
     def near(at: Column) -> Column:
         return F.sin(phi) * F.sin(F.radians(at)) + F.cos(phi) * F.cos(F.radians(at)) * beside
 
     turning = F.degrees(F.atan2(F.sin(phi), F.cos(phi) * beside))  # where the nearest meridian comes closest
-    most = F.greatest(near(low), near(high), F.when(turning.between(low, high), near(turning)).otherwise(-1.0))
+    most = F.greatest(near(south), near(north), F.when(turning.between(south, north), near(turning)).otherwise(-1.0))
     angle = F.when(away <= 0, F.radians(above)).otherwise(F.acos(F.least(F.lit(1.0), most)))
     return F.lit(EARTH_RADIUS_KM) * angle - F.lit(1e-3)
 
@@ -96,7 +100,8 @@ def cells_of(sites: DataFrame, levels: int = LEVELS) -> DataFrame:
     each = fine.select(level.alias("level"), F.col("y").alias("yy"), F.col("x").alias("xx"), "n", "e", "reach")
     each = each.select("level", F.floor(F.col("yy") / up).alias("y"), F.floor(F.col("xx") / up).alias("x"), "n", "e", "reach")
     cells = each.groupBy(*CELL).agg(F.sum("n").alias("n"), F.min("e").alias("e"), F.max("reach").alias("reach"))
-    return settle(cells.withColumn("whole", (F.col("n") <= CELL_SITES) | (F.col("level") == levels - 1)))
+    whole = (F.col("n") <= CELL_SITES) | (F.col("level") == levels - 1)
+    return settle(cells.select("*", whole.alias("whole"), *box_of(*[F.col(c) for c in CELL])))
 
 
 def nearest(spots: DataFrame, sites: DataFrame, distance: Column, name: str) -> DataFrame:
@@ -110,7 +115,7 @@ def nearest(spots: DataFrame, sites: DataFrame, distance: Column, name: str) ->
     placed = placed.join(last, CELL)
 
     example = distance_km(F.col("latitude"), F.col("longitude"), F.col("e.s_lat"), F.col("e.s_lon"))
-    floor = least_km(F.col("latitude"), F.col("longitude"), F.col("level"), F.col("y"), F.col("x")) - F.col("reach")
+    floor = least_km(*[F.col(c) for c in (*SPOT, "south", "north", "middle", "half")]) - F.col("reach")
     top = spots.select(*SPOT, F.lit(0).alias("level"), F.explode(F.sequence(F.lit(0).cast("long"), F.lit(31).cast("long"))).alias("c"))
     open_ = top.select(*SPOT, "level", F.floor(F.col("c") / 8).alias("y"), (F.col("c") % 8).alias("x"))
 

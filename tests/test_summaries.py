@@ -164,5 +164,5 @@ def test_cells_divide_where_sites_are_many_and_bounds_hold(spark):
     size = 45.0 / F.pow(F.lit(4.0), F.col("level"))
     inside = (F.col("s_lat") + 90 >= F.col("y") * size) & (F.col("s_lat") + 90 < (F.col("y") + 1) * size) & (F.col("s_lon") + 180 >= F.col("x") * size) & (F.col("s_lon") + 180 < (F.col("x") + 1) * size)
     met = cells.where("level < 3").join(sites, inside).crossJoin(spot)
-    least = places.least_km(F.col("latitude"), F.col("longitude"), F.col("level"), F.col("y"), F.col("x"))
+    least = places.least_km(*[F.col(c) for c in ("latitude", "longitude", "south", "north", "middle", "half")])
     assert met.where(least > places.distance_km(F.col("latitude"), F.col("longitude"), F.col("s_lat"), F.col("s_lon"))).isEmpty()
