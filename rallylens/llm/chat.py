@@ -58,18 +58,16 @@ def examples(rows: DataFrame, reply: str = "assistant") -> DataFrame:
     last = F.size("turns") - 1
     targets = F.filter(F.sequence(F.lit(0), last), lambda i: (F.get(F.col("turns"), i)["role"] == reply) | (i == last))
 
-    def example(target: Column, number: Column) -> Column:
-        turn = F.get(F.col("turns"), target)
-        trains = turn["role"] == reply
-        prefix = F.concat(F.array_join(F.slice("said", F.lit(1), target), ""), head(turn))
-        body = escaped(turn["text"])
-        start = F.length(prefix)
-        return F.struct(
-            number.alias("example"), F.when(trains, target).alias("target_turn"), F.concat(prefix, body, F.lit(CLOSE)).alias("formatted"),
-            start.alias("loss_start"), F.when(trains, start + F.length(body)).otherwise(start).alias("loss_stop"),
-        )
-
-    return told.select("conv_id", F.inline(F.transform(targets, example)))
+    each = told.select("conv_id", "turns", "said", F.posexplode(targets).alias("example", "target"))  # one prefix a row
+    target, turn = F.col("target"), F.get(F.col("turns"), F.col("target"))
+    trains, body = turn["role"] == reply, escaped(turn["text"])
+    prefix = F.concat(F.array_join(F.slice("said", F.lit(1), target), ""), head(turn))
+    made = each.select("conv_id", "example", F.when(trains, target).alias("target_turn"), trains.alias("trains"), prefix.alias("prefix"), body.alias("body"))
+    start = F.length("prefix")
+    return made.select(
+        "conv_id", "example", "target_turn", F.concat("prefix", "body", F.lit(CLOSE)).alias("formatted"),
+        start.alias("loss_start"), F.when(F.col("trains"), start + F.length("body")).otherwise(start).alias("loss_stop"),
+    )
 
 
 def read_turns(formatted: Column) -> Column:

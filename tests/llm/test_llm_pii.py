@@ -88,3 +88,25 @@ def test_context_reaches_over_other_matches(documents):
     assert got[2] == [("ssn", first)] * 4
     whole = [m for t in texts for m in re.finditer(r"\b[0-9]{3}-[0-9]{2}-[0-9]{4}\b", t) if re.search("(^|[^a-z])ssn", (t[max(m.start() - 40, 0) : m.start()] + " " + t[m.end() : m.end() + 40]).lower())]
     assert sum(map(len, got)) == len(whole)
+
+
+def test_sql_follows_the_operator_on_numbers_behind_words_years_and_headings(spark, documents, tmp_path):
+    import duckdb
+
+    from check_queries import normal
+    from rallylens.llm import checks, registry
+
+    texts = [
+        "DE89 3704 0044 0532 0130 00 BIC COBADEFFXXX", "DE89370400440532013000 in 2024", "GB82 WEST 1234 5698 7654 32 2024 and DE89 3704 0044 0532 0130 00",
+        "SSN: 123-45-6789, 234-56-7890", "123-45-6789 alone", "x" * 50 + " ssn 123-45-6789", "ssn " + "x" * 50 + " 123-45-6789", "GB82WEST12345698765433", "é DE89 3704 0044 0532 0130 00é", None, "",
+        "mail a@b.co, 10.0.0.1, +49 30 123456, 4111 1111 1111 1111",
+    ]
+    documents([(i, t, "en", "s") for i, t in enumerate(texts)]).write.parquet(f"{tmp_path}/documents.parquet")
+    made = registry.op1_pii(spark, str(tmp_path))
+    db = duckdb.connect()
+    db.execute(f"CREATE VIEW documents AS SELECT * FROM '{tmp_path}/documents.parquet/*.parquet'")
+    result = db.execute(checks.PII)
+    rows = [tuple(r) for r in made.collect()]
+    assert normal(made.columns, rows) == normal([c[0] for c in result.description], result.fetchall())
+    told = {r[0]: r[-1] for r in rows}
+    assert told[0] == "iban:0:27" and told[3].count("ssn") == 2 and "ssn" not in told[4] and "ssn" not in told[6] and told[2].count("iban") == 2
