@@ -29,6 +29,58 @@ def grid_month_rate(events: DataFrame, flag: str, step: float = 1.0) -> DataFram
     return cells.withColumn("rate", F.col("flagged").cast("double") / F.col("events").cast("double"))
 
 
+def cell_rates(events: DataFrame, flag: str, step: float = 1.0) -> DataFrame:
+    """cell_lat, cell_lon, events, flagged, rate of every grid cell with events."""
+    y, x = (F.floor(F.col(c) / F.lit(step)).cast("int") for c in ("latitude", "longitude"))
+    kept = events.where(F.col("latitude").isNotNull() & F.col("longitude").isNotNull())
+    cells = kept.groupBy(y.alias("cell_lat"), x.alias("cell_lon")).agg(F.count(F.lit(1)).alias("events"), F.count_if(F.col(flag)).alias("flagged"))
+    return cells.withColumn("rate", F.col("flagged").cast("double") / F.col("events").cast("double"))
+
+
+def neighbours(cells: DataFrame) -> DataFrame:
+    """cell_lat, cell_lon and near_lat, near_lon: the up to eight cells around that exist too.
+
+    Every cell names its eight sides, which meet the cells by an equi-join; the
+    pairs are at most eight times the cells.
+    """
+    sides = F.array(*[F.struct(F.lit(dy).alias("dy"), F.lit(dx).alias("dx")) for dy in (-1, 0, 1) for dx in (-1, 0, 1) if (dy, dx) != (0, 0)])
+    each = cells.select("cell_lat", "cell_lon", F.inline(sides))
+    near = each.select("cell_lat", "cell_lon", (F.col("cell_lat") + F.col("dy")).alias("near_lat"), (F.col("cell_lon") + F.col("dx")).alias("near_lon"))
+    return near.join(cells.select(F.col("cell_lat").alias("near_lat"), F.col("cell_lon").alias("near_lon")), ["near_lat", "near_lon"]).select("cell_lat", "cell_lon", "near_lat", "near_lon")
+
+
+def spatial_lag(cells: DataFrame, value: str = "rate") -> DataFrame:
+    """``cells`` with neighbours (their number) and lag: the mean value of the neighbours, null without any."""
+    other = cells.select(F.col("cell_lat").alias("near_lat"), F.col("cell_lon").alias("near_lon"), F.col(value).alias("near_value"))
+    met = neighbours(cells).join(other, ["near_lat", "near_lon"])
+    lag = met.groupBy("cell_lat", "cell_lon").agg(F.count(F.lit(1)).alias("neighbours"), F.avg("near_value").alias("lag"))
+    return cells.join(lag, ["cell_lat", "cell_lon"], "left").withColumn("neighbours", F.coalesce("neighbours", F.lit(0)))
+
+
+def morans_i(cells: DataFrame, value: str = "rate") -> DataFrame:
+    """One row: cells, pairs, morans_i, expected and its z score under randomly dealt normal values.
+
+    Neighbours weigh 1 each.  One aggregation over the cells and one over the
+    pairs; null where no value varies or no cells touch.
+    """
+    mean = cells.agg(F.avg(value)).scalar()
+    z = cells.select("cell_lat", "cell_lon", (F.col(value) - mean).alias("z"))
+    other = z.select(F.col("cell_lat").alias("near_lat"), F.col("cell_lon").alias("near_lon"), F.col("z").alias("near_z"))
+    met = neighbours(z).join(z, ["cell_lat", "cell_lon"]).join(other, ["near_lat", "near_lon"])
+    degree = met.groupBy("cell_lat", "cell_lon").agg(F.count(F.lit(1)).alias("k"), F.sum(F.col("z") * F.col("near_z")).alias("zz"))
+    pairs = degree.agg(F.sum("k").alias("pairs"), F.sum("zz").alias("cross"), F.sum(F.col("k") * F.col("k")).alias("squares"))
+    both = z.agg(F.count(F.lit(1)).alias("cells"), F.sum(F.col("z") * F.col("z")).alias("var")).join(pairs)
+    n, w = F.col("cells").cast("double"), F.coalesce("pairs", F.lit(0)).cast("double")
+    index = F.try_divide(n * F.col("cross"), w * F.col("var"))
+    expected = F.try_divide(F.lit(-1.0), n - 1)
+    # S1 is twice the pairs and S2 four times the squared numbers of neighbours, as the weights are 0 and 1
+    spread = F.try_divide(n * n * 2 * w - n * 4 * F.col("squares") + 3 * w * w, w * w * (n * n - 1)) - expected * expected
+    return both.select(
+        "cells", F.coalesce("pairs", F.lit(0).cast("long")).alias("pairs"), index.alias("morans_i"), expected.alias("expected"),
+        F.try_divide(index - expected, F.sqrt(spread)).alias("z_score"),
+    )
+
+
 def indicator_columns(column: str, levels: Sequence[str]) -> dict[str, Column]:
     """0/1 columns for all levels but the first, which is the base."""
     return {

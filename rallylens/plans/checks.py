@@ -732,3 +732,56 @@ CHECKS["label_override"] = with_(
 ) + (
     f"SELECT {ID}, coalesce(corrected, event_partisan_type) AS event_partisan_type FROM typed LEFT JOIN corrections USING ({ID})"
 )
+
+_CELLS = (
+    "cells",
+    "SELECT CAST(floor(latitude) AS INT) AS cell_lat, CAST(floor(longitude) AS INT) AS cell_lon, count(*) AS events, count(*) FILTER (police_presence) AS flagged, "
+    "CAST(count(*) FILTER (police_presence) AS DOUBLE) / CAST(count(*) AS DOUBLE) AS rate FROM pres WHERE latitude IS NOT NULL AND longitude IS NOT NULL GROUP BY 1, 2",
+)
+_TOUCH = "abs(a.cell_lat - b.cell_lat) <= 1 AND abs(a.cell_lon - b.cell_lon) <= 1 AND (a.cell_lat <> b.cell_lat OR a.cell_lon <> b.cell_lon)"
+CHECKS["presence_spatial_lag"] = with_(rep, pres, _CELLS) + (
+    f"SELECT a.cell_lat, a.cell_lon, a.events, a.flagged, count(b.rate) AS neighbours, round(avg(b.rate), 9) AS lag "
+    f"FROM cells a LEFT JOIN cells b ON {_TOUCH} GROUP BY 1, 2, 3, 4"
+)
+CHECKS["presence_morans_i"] = with_(
+    rep, pres, _CELLS,
+    ("z", "SELECT *, rate - (SELECT avg(rate) FROM cells) AS z FROM cells"),
+    ("k", f"SELECT a.cell_lat, a.cell_lon, count(*) AS k, sum(a.z * b.z) AS zz FROM z a JOIN z b ON {_TOUCH} GROUP BY 1, 2"),
+    ("t", "SELECT CAST(sum(k) AS DOUBLE) AS w, sum(zz) AS c, CAST(sum(k * k) AS DOUBLE) AS q FROM k"),
+    ("v", "SELECT count(*) AS cells, CAST(count(*) AS DOUBLE) AS n, sum(z * z) AS v FROM z"),
+    ("m", "SELECT cells, CAST(w AS BIGINT) AS pairs, n * c / (w * v) AS i, -1.0::DOUBLE / (n - 1) AS e, "
+          "(n * n * 2 * w - n * 4 * q + 3 * w * w) / (w * w * (n * n - 1)) AS s FROM t, v"),
+) + "SELECT cells, pairs, round(i, 6) AS morans_i, round(e, 6) AS expected, round((i - e) / sqrt(s - e * e), 6) AS z_score FROM m"
+_VERSIONS = (
+    "versions",
+    "SELECT concat('EVT', CAST(o_orderkey AS VARCHAR)) AS event_id_cnty, o_orderkey % 4 + 1 AS round, CASE WHEN o_orderkey % 2 = 0 THEN 'left_only' ELSE 'right_only' END AS corrected "
+    "FROM orders WHERE o_orderkey % 3 = 0 UNION ALL SELECT concat('EVT', CAST(o_orderkey AS VARCHAR)), o_orderkey % 4 + 3, 'unknown' FROM orders WHERE o_orderkey % 6 = 0",
+)
+CHECKS["labels_after_two_rounds"] = with_(
+    *PARTISAN, _VERSIONS, ("last", f"SELECT {ID}, max_by(corrected, round) AS corrected FROM versions WHERE round <= 2 GROUP BY 1")
+) + f"SELECT {ID}, coalesce(corrected, event_partisan_type) AS event_partisan_type FROM typed LEFT JOIN last USING ({ID})"
+CHECKS["accuracy_by_round"] = with_(
+    *PARTISAN, _VERSIONS,
+    ("last", f"SELECT {ID}, max_by(corrected, round) AS l FROM versions GROUP BY 1"),
+    ("told", f"SELECT {ID}, event_partisan_type AS was, coalesce(l, CASE WHEN CAST(substring({ID}, 4) AS BIGINT) % 10 <> 0 THEN event_partisan_type ELSE 'centre_only' END) AS truth FROM typed LEFT JOIN last USING ({ID})"),
+    ("rounds", "SELECT DISTINCT CAST(round AS BIGINT) AS round FROM versions UNION SELECT 0"),
+    ("known", f"SELECT rounds.round, v.{ID}, max_by(v.corrected, v.round) AS now FROM rounds JOIN versions v ON v.round <= rounds.round GROUP BY 1, 2"),
+) + (
+    f"SELECT r.round, count(*) AS n, count(*) FILTER (coalesce(now, was) = truth) AS \"right\", "
+    f"round(CAST(count(*) FILTER (coalesce(now, was) = truth) AS DOUBLE) / count(*), 9) AS accuracy "
+    f"FROM rounds r CROSS JOIN told LEFT JOIN known ON known.round = r.round AND known.{ID} = told.{ID} GROUP BY 1"
+)
+CHECKS["error_terms"] = with_(
+    ("words", token_sql("documents", "doc_id")),
+    ("judged", "SELECT doc_id, CAST(n_chars >= 600 AS INT) <> quality AS wrong FROM documents JOIN labels USING (doc_id)"),
+    ("c", "SELECT word, count(*) FILTER (wrong) AS n_wrong, count(*) FILTER (NOT wrong) AS n_right FROM (SELECT DISTINCT doc_id, word FROM words) JOIN judged USING (doc_id) GROUP BY 1"),
+    ("t", "SELECT count(*) FILTER (wrong) AS w, count(*) FILTER (NOT wrong) AS r FROM judged"),
+) + (
+    "SELECT word, n_wrong, n_right, round(ln(CAST(n_wrong + 0.5 AS DOUBLE) / CAST(n_right + 0.5 AS DOUBLE)) - ln(CAST(w - n_wrong + 0.5 AS DOUBLE) / CAST(r - n_right + 0.5 AS DOUBLE)), 6) AS log_odds "
+    "FROM c, t WHERE n_wrong + n_right >= 5 ORDER BY log_odds DESC, word LIMIT 20"
+)
+CHECKS["next_to_code"] = (
+    "SELECT doc_id, lang, source, doubt, CAST(place AS INT) AS place FROM (SELECT *, row_number() OVER (PARTITION BY lang, source ORDER BY doubt DESC, doc_id) AS place FROM "
+    "(SELECT doc_id, lang, source, round(1 - 2 * abs(CAST(n_chars AS DOUBLE) / (n_chars + CAST(600 AS DOUBLE)) - CAST(0.5 AS DOUBLE)), 6) AS doubt FROM documents "
+    "WHERE n_chars IS NOT NULL AND doc_id NOT IN (SELECT doc_id FROM labels))) WHERE place <= 5"
+)

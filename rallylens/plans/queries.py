@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from rallylens.functions import text as tx
 from rallylens.learn import bayes, metrics, response, scorer, topics
-from rallylens.operators import actors, places, rows, sampling, summaries
+from rallylens.operators import actors, corrections, places, rows, sampling, summaries
 from rallylens.operators import tokens as tok
 from rallylens.operators.lookup import lookup_join
 from rallylens.rules import decisions, keywords, packs
@@ -673,6 +673,18 @@ def grid_month_rate(spark, sf):
     return response.grid_month_rate(_presence(spark, sf), "police_presence")
 
 
+@query
+def presence_spatial_lag(spark, sf):
+    cells = response.spatial_lag(settle(response.cell_rates(_presence(spark, sf), "police_presence")))
+    return cells.select("cell_lat", "cell_lon", "events", "flagged", "neighbours", F.round("lag", 9).alias("lag"))
+
+
+@query
+def presence_morans_i(spark, sf):
+    told = response.morans_i(settle(response.cell_rates(_presence(spark, sf), "police_presence")))
+    return told.select("cells", "pairs", *[F.round(c, 6).alias(c) for c in ("morans_i", "expected", "z_score")])
+
+
 @query
 def response_on_grid(spark, sf):
     """Presence on cell and month, fitted on the grouped rows."""
@@ -813,3 +825,51 @@ def label_override(spark, sf):
         )
     )
     return actors.override_labels(events, corrections, ID, "event_partisan_type")
+
+
+# --- rounds of corrections -------------------------------------------------
+
+
+def _versions(spark, sf):
+    """Every third event corrected in one of four rounds, every sixth once more later."""
+    k = F.col("o_orderkey")
+    first = table(spark, sf, "orders").where(k % 3 == 0).select(k, (k % 4 + 1).alias("round"), F.when(k % 2 == 0, "left_only").otherwise("right_only").alias("corrected"))
+    again = table(spark, sf, "orders").where(k % 6 == 0).select(k, (k % 4 + 3).alias("round"), F.lit("unknown").alias("corrected"))
+    return first.union(again).select(F.concat(F.lit("EVT"), k.cast("string")).alias(ID), "round", "corrected")
+
+
+@query
+def labels_after_two_rounds(spark, sf):
+    events = _classified(spark, sf).select(ID, "event_partisan_type")
+    return corrections.labels_as_of(events, _versions(spark, sf), ID, "event_partisan_type", 2)
+
+
+@query
+def accuracy_by_round(spark, sf):
+    """Against the last version where there is one, else against the first label but for every tenth event."""
+    events = settle(_classified(spark, sf).select(ID, "event_partisan_type"))
+    last = corrections.latest(_versions(spark, sf), ID).withColumnRenamed("corrected", "last")
+    other = F.when(F.substring(ID, 4, 20).cast("long") % 10 != 0, F.col("event_partisan_type")).otherwise("centre_only")
+    told = events.join(last, ID, "left").withColumn("truth", F.coalesce("last", other))
+    rounds = corrections.accuracy_by_round(told, _versions(spark, sf), ID, "event_partisan_type", "truth")
+    return rounds.withColumn("accuracy", F.round("accuracy", 9))
+
+
+def _judged(spark, sf):
+    """Documents whose length says another quality than their label."""
+    docs = table(spark, sf, "documents").select("doc_id", "n_chars").join(table(spark, sf, "labels").select("doc_id", "quality"), "doc_id")
+    return docs.select("doc_id", ((F.col("n_chars") >= 600).cast("int") != F.col("quality")).alias("wrong"))
+
+
+@query
+def error_terms(spark, sf):
+    words = tok.tokens(_documents(spark, sf, "doc_id", "text"), "text", ["doc_id"])
+    return corrections.error_terms(words, settle(_judged(spark, sf)), "doc_id")
+
+
+@query
+def next_to_code(spark, sf):
+    """Five documents per language and source nearest to a length score of one half, none of them labelled."""
+    docs = table(spark, sf, "documents").select("doc_id", "lang", "source", (F.col("n_chars") / (F.col("n_chars") + 600.0)).alias("score"))
+    chosen = corrections.next_to_code(docs, table(spark, sf, "labels"), "doc_id", ["lang", "source"], "score", 5)
+    return chosen.select("doc_id", "lang", "source", "doubt", "place")
