@@ -12,7 +12,9 @@ Pairs of nodes are visited best bound first and dropped against the query
 node's worst k-th score so far; leaves are matrix products.  Bounds only drop
 what lies strictly below, so ties and results are exact.
 
-Memory: a task holds one block of data and one of queries.  The driver holds
+Memory: a task holds one block of data and one of queries.  Equal rows are
+reduced to the k that a query can take, and blocks are dealt by id and vector,
+so no repeated row or id fills a block.  The driver holds
 the sample and one row per pivot.
 
 Defined results: vectors that are null, or hold a null or non-finite component,
@@ -206,7 +208,9 @@ def search(rows: DataFrame, queries: DataFrame, k: int = 5, pivots: int = 64, sa
     top = choose_pivots(rows, pivots, sample_size)
     if not len(top.centres):
         return rows.select(F.col("vec_id").alias("query_id"), F.lit(1).alias("rank"), "vec_id", F.col("vec_id").alias("score")).limit(0)
-    data = landed(rows.withColumn("p", nearest_pivot("v", top)).select("vec_id", "v", "p.g", "p.d"), "vectors")
+    single = rows.groupBy("vec_id", "v").agg(F.least(F.count("*"), F.lit(k)).cast("int").alias("copies"))  # no query takes more
+    each = single.withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("copies"))))
+    data = landed(each.withColumn("p", nearest_pivot("v", top)).select("vec_id", "v", "p.g", "p.d"), "vectors")
     asked = queries.dropDuplicates(["vec_id", "v"]).select(F.col("vec_id").alias("query_id"), F.xxhash64("v").alias("q_key"), "v")
     asked = asked.withColumn("p", nearest_pivot("v", top)).withColumn("sure", sure_score("query_id", "v", top, k))
     asked = landed(asked.select("query_id", "q_key", "v", "p.g", "p.d", "sure"), "queries")
@@ -224,7 +228,7 @@ def search(rows: DataFrame, queries: DataFrame, k: int = 5, pivots: int = 64, sa
     meets = spark.createDataFrame(pairs, "q_g int, g int, blocks int")
     salts = F.element_at(F.array(*[F.lit(blocks.get(g, 1)) for g in range(len(top.centres))]), F.col("g") + 1)
     part = F.explode(F.sequence(F.lit(0), F.lit(chunks - 1)))
-    left = data.select("g", F.pmod(F.xxhash64("vec_id"), salts).cast("int").alias("block"), part.alias("chunk"), "vec_id", "v")
+    left = data.select("g", F.pmod(F.xxhash64("vec_id", "v"), salts).cast("int").alias("block"), part.alias("chunk"), "vec_id", "v")
     sent = asked.withColumnRenamed("g", "q_g").join(F.broadcast(meets), "q_g").drop("q_g", "d")
     sent = sent.select("g", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"), F.pmod(F.xxhash64("query_id"), F.lit(chunks)).cast("int").alias("chunk"), "query_id", "q_key", "v", "sure")
     width = top.width

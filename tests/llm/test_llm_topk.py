@@ -47,3 +47,13 @@ def test_a_node_covers_its_rows():
         leaves += 0 if node.children else len(node.rows)
         todo += node.children
     assert leaves == 700
+
+
+def test_one_id_and_one_row_repeated_very_often(spark):
+    """Copies beyond k change nothing, and rows of one id spread over the blocks."""
+    rng = np.random.default_rng(5)
+    rows = [(7, [1.0, 0.5])] * 3000 + [(9, [float(v) for v in rng.normal(size=2).round(2)]) for _ in range(500)] + [(i, [0.1 * i, 1.0]) for i in (0, 50, 51)]
+    df = topk.quantised(spark.createDataFrame(rows, "vec_id long, embedding array<float>"))
+    got = topk.search(df, df.where("vec_id % 50 = 0"), 5, 3, 64, 40).collect()
+    exact = [(i, [math.floor(256 * float(np.float32(c))) for c in v]) for i, v in rows]
+    assert sorted(map(tuple, got)) == brute(exact, [r for r in exact if r[0] % 50 == 0], 5)
