@@ -785,3 +785,19 @@ CHECKS["next_to_code"] = (
     "(SELECT doc_id, lang, source, round(1 - 2 * abs(CAST(n_chars AS DOUBLE) / (n_chars + CAST(600 AS DOUBLE)) - CAST(0.5 AS DOUBLE)), 6) AS doubt FROM documents "
     "WHERE n_chars IS NOT NULL AND doc_id NOT IN (SELECT doc_id FROM labels))) WHERE place <= 5"
 )
+
+CHECKS["labels_by_rule_index"] = with_(
+    ("rules", "SELECT ['left', 'right', 'centre'][CAST(floor(c_custkey / 3) AS BIGINT) % 3 + 1] AS label, "
+              "CASE c_custkey % 5 WHEN 3 THEN 'eq' WHEN 2 THEN 'regex_not' ELSE 'regex' END AS kind, "
+              "CASE c_custkey % 5 WHEN 0 THEN concat(right(lower(c_name), 6), '|zz', c_custkey) WHEN 1 THEN concat('stomer#0+', c_custkey, ' ') "
+              "WHEN 2 THEN right(lower(c_name), 7) WHEN 3 THEN c_name ELSE concat('^customer#[0-9]*', right(lower(c_name), 5), ' .*r') END AS pattern "
+              "FROM customer WHERE c_custkey % 3 = 0 "
+              "UNION ALL SELECT 'centre', 'regex', 'supplier#0+(1|2)[0-9]$' UNION ALL SELECT 'left', 'regex', '[xyz]{2}|q.'"),
+    ("names", "SELECT concat_ws(' ', c_name, p_name) AS actor_clean FROM customer JOIN part ON c_custkey = p_partkey "
+              "UNION SELECT c_name FROM customer UNION SELECT s_name FROM supplier UNION SELECT p_name FROM part"),
+    ("hits", "SELECT DISTINCT actor_clean, label FROM names, rules WHERE actor_clean <> '' AND CASE kind WHEN 'eq' THEN actor_clean = pattern "
+             "WHEN 'regex_not' THEN regexp_matches(lower(actor_clean), pattern) AND NOT regexp_matches(lower(actor_clean), 'red|wid') "
+             "ELSE regexp_matches(lower(actor_clean), pattern) END"),
+    ("f", "SELECT actor_clean, CAST(coalesce(bool_or(label = 'left'), false) AS INT) AS l, CAST(coalesce(bool_or(label = 'right'), false) AS INT) AS r, "
+          "CAST(coalesce(bool_or(label = 'centre'), false) AS INT) AS c FROM names LEFT JOIN hits USING (actor_clean) WHERE actor_clean IS NOT NULL GROUP BY 1"),
+) + 'SELECT actor_clean, l AS "left", r AS "right", c AS centre, 1 - greatest(l, r, c) AS unknown FROM f'

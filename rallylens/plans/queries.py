@@ -13,7 +13,7 @@ from rallylens.learn import bayes, metrics, response, scorer, topics
 from rallylens.operators import actors, corrections, places, rows, sampling, summaries
 from rallylens.operators import tokens as tok
 from rallylens.operators.lookup import lookup_join
-from rallylens.rules import decisions, keywords, packs
+from rallylens.rules import decisions, index, keywords, packs
 from rallylens.sources import files
 from rallylens.sources.incidents import COUNTRIES, incidents, reported, table
 from rallylens.storage import scratch_path, settle, spread
@@ -827,6 +827,36 @@ def label_override(spark, sf):
     return actors.override_labels(events, corrections, ID, "event_partisan_type")
 
 
+# --- rule tables of any size -----------------------------------------------
+
+
+def _made_pack(spark, sf):
+    """A rule for every third customer: endings, patterns, exceptions and exact names; and two that need no plain piece."""
+    k = F.col("c_custkey")
+    kind = F.when(k % 5 == 3, "eq").when(k % 5 == 2, "regex_not").otherwise("regex")
+    low = F.lower("c_name")
+    pattern = (
+        F.when(k % 5 == 0, F.concat(F.right(low, F.lit(6)), F.lit("|zz"), k.cast("string")))
+        .when(k % 5 == 1, F.concat(F.lit("stomer#0+"), k.cast("string"), F.lit("( |$)")))
+        .when(k % 5 == 2, F.right(low, F.lit(7)))
+        .when(k % 5 == 3, F.col("c_name"))
+        .otherwise(F.concat(F.lit("^customer#[0-9]*"), F.right(low, F.lit(5)), F.lit(" .*r")))
+    )
+    pattern = F.regexp_replace(pattern, r"\( \|\$\)", " ")  # a group would hide the plain piece
+    label = F.element_at(F.array(*map(F.lit, packs.LABELS)), (F.floor(k / 3) % 3 + 1).cast("int"))
+    made = table(spark, sf, "customer").where(k % 3 == 0).select(label.alias("label"), kind.alias("kind"), pattern.alias("pattern"), F.when(kind == "regex_not", "red|wid").alias("unless"))
+    free = spark.createDataFrame([("centre", "regex", "supplier#0+(1|2)[0-9]$", None), ("left", "regex", "[xyz]{2}|q.", None)], made.schema)
+    return made.unionByName(free)
+
+
+@query
+def labels_by_rule_index(spark, sf):
+    customers, parts = table(spark, sf, "customer"), table(spark, sf, "part")
+    both = customers.join(parts, F.col("c_custkey") == F.col("p_partkey")).select(F.concat_ws(" ", "c_name", "p_name").alias("actor_clean"))
+    names = both.union(customers.select("c_name")).union(table(spark, sf, "supplier").select("s_name")).union(parts.select("p_name"))
+    return index.label_names(names, _made_pack(spark, sf))
+
+
 # --- rounds of corrections -------------------------------------------------
 
 
