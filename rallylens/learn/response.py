@@ -7,9 +7,10 @@ rows to a few sums on the executors; only those sums reach the driver.
 from __future__ import annotations
 
 import math
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
 import numpy as np
+import pyarrow as pa
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.regression import GeneralizedLinearRegression, LinearRegression
 from pyspark.sql import Column, DataFrame
@@ -145,6 +146,65 @@ def two_step_selection(
     return probit, regression.fit(assembled), columns
 
 
+def two_step_errors(
+    df: DataFrame,
+    select_features: Sequence[str],
+    selected: str,
+    outcome_features: Sequence[str],
+    outcome: str,
+    weight: str | None = None,
+) -> list[tuple[str, float, float]]:
+    """Outcome terms of ``two_step_selection`` with standard errors that know the ratio was estimated.
+
+    The moments of both steps are stacked; their sandwich covers any variance
+    of the outcome and the noise of the first step.  Each task adds up the
+    cross products of its rows; only sums of the size of the design squared
+    leave it.  A weight counts equal rows.
+    """
+    probit, regression, columns = two_step_selection(df, select_features, selected, outcome_features, outcome, weight)
+    names = ["(intercept)", *columns]
+    gamma = np.array([probit.intercept, *probit.coefficients])
+    beta = np.array([regression.intercept, *regression.coefficients])
+    a, k = len(gamma), len(gamma) + len(beta)
+    inputs = [*select_features, *outcome_features]
+    ready = df.select(
+        *[F.col(c).cast("double").alias(f"x{i}") for i, c in enumerate(inputs)], F.col(selected).cast("double").alias("d"),
+        F.coalesce(F.col(outcome).cast("double"), F.lit(0.0)).alias("y"), (F.col(weight) if weight else F.lit(1.0)).cast("double").alias("w"),
+    )
+    first = len(select_features)
+
+    def summed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        slope, middle = np.zeros((k, k)), np.zeros((k, k))
+        for batch in batches:
+            x = np.stack([batch.column(i).to_numpy() for i in range(len(inputs))], axis=1) if inputs else np.zeros((len(batch), 0))
+            d, y, w = (batch.column(c).to_numpy() for c in ("d", "y", "w"))
+            z = np.column_stack([np.ones(len(d)), x[:, :first]])
+            linear = z @ gamma
+            density = np.exp(-linear * linear / 2) / math.sqrt(2 * math.pi)
+            below = np.array([0.5 * math.erfc(-v / math.sqrt(2)) for v in linear])
+            above = np.array([0.5 * math.erfc(v / math.sqrt(2)) for v in linear])
+            ratio = density / below
+            turn = ratio * (ratio + linear)
+            v = np.column_stack([np.ones(len(d)), x[:, first:], ratio])
+            u = d * (y - v @ beta)
+            g = np.column_stack([(d * ratio - (1 - d) * density / above)[:, None] * z, u[:, None] * v])
+            middle += (w[:, None] * g).T @ g
+            slope[:a, :a] += (w * density * density / (below * above))[:, None].T * z.T @ z
+            slope[a:, a:] += (w * d * v.T) @ v
+            slope[a:, :a] -= beta[-1] * ((w * d * turn) * v.T) @ z
+            slope[-1, :a] += (w * u * turn) @ z
+        flat = np.concatenate([slope.ravel(), middle.ravel()])
+        yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(flat))), pa.array(flat)], ["at", "value"])
+
+    sums = ready.mapInArrow(summed, "at long, value double").groupBy("at").agg(F.sum("value").alias("value")).toArrow()
+    flat = np.zeros(2 * k * k)
+    flat[sums["at"].to_numpy()] = sums["value"].to_numpy()
+    slope, middle = flat[: k * k].reshape(k, k), flat[k * k :].reshape(k, k)
+    back = np.linalg.inv(slope)
+    spread = np.sqrt(np.diag(back @ middle @ back.T))
+    return [(n, float(b), float(e)) for n, b, e in zip(names, beta, spread[a:])]
+
+
 def clustered_errors(
     df: DataFrame, features: Sequence[str], label: str, cluster: str, model, weight: str | None = None
 ) -> list[tuple[str, float, float]]:

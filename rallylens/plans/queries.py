@@ -775,8 +775,7 @@ def clustered_pair(spark, sf):
     return spark.createDataFrame(rounded, "term string, coefficient double, std_error double")
 
 
-@query
-def selection_two_step(spark, sf):
+def _selection(spark, sf):
     design, features = _design(spark, sf)
     design = design.withColumn("violent", (F.coalesce("fatalities", F.lit(0)) > 0).cast("double"))
     grouped = settle(
@@ -784,13 +783,26 @@ def selection_two_step(spark, sf):
             F.count(F.lit(1)).cast("double").alias("w")
         )
     )
-    outcome_features = [f"event_{c}" for c in packs.LABELS]
+    return grouped, features, [f"event_{c}" for c in packs.LABELS]
+
+
+@query
+def selection_two_step(spark, sf):
+    grouped, features, outcome_features = _selection(spark, sf)
     _, outcome, names = response.two_step_selection(
         grouped, features, "y", outcome_features, "violent", weight="w"
     )
     return response.coefficient_table(spark, names, outcome)
 
 
+@query
+def selection_two_step_errors(spark, sf):
+    """The outcome's terms with errors that know the ratio was estimated."""
+    grouped, features, outcome_features = _selection(spark, sf)
+    found = response.two_step_errors(grouped, features, "y", outcome_features, "violent", weight="w")
+    return spark.createDataFrame(found, "term string, coefficient double, std_error double")
+
+
 @query
 def clustered_se(spark, sf):
     design, _ = _design(spark, sf)

@@ -186,6 +186,41 @@ def test_selection_adds_the_ratio(spark):
     assert probit.coefficients[1] > 0.5
 
 
+def test_two_step_errors_against_numerical_derivatives(spark):
+    """The stacked moments written out densely, their slope by differences; grouped rows give the same."""
+    rng = np.random.default_rng(5)
+    n = 600
+    x, z = rng.integers(0, 3, n).astype(float), rng.integers(0, 4, n) / 2.0
+    d = (0.4 * x - 0.5 + z + rng.normal(size=n) > 0.6).astype(float)
+    y = np.where(d == 1, np.round(1 + 2 * x + rng.normal(size=n)), 0.0)
+    df = spark.createDataFrame(pd.DataFrame({"x": x, "z": z, "s": d, "y": y}))
+    got = response.two_step_errors(df, ["x", "z"], "s", ["x"], "y")
+    probit, outcome, _ = response.two_step_selection(df, ["x", "z"], "s", ["x"], "y")
+    gamma = np.array([probit.intercept, *probit.coefficients])
+    theta = np.concatenate([gamma, [outcome.intercept, *outcome.coefficients]])
+    design = np.column_stack([np.ones(n), x, z])
+    cdf = np.vectorize(lambda v: 0.5 * math.erfc(-v / math.sqrt(2)))
+
+    def moments(t):
+        lin = design @ t[:3]
+        phi, p = np.exp(-lin * lin / 2) / math.sqrt(2 * math.pi), cdf(lin)
+        v = np.column_stack([np.ones(n), x, phi / p])
+        first = (phi * (d - p) / (p * (1 - p)))[:, None] * design
+        return np.column_stack([first, (d * (y - v @ t[3:]))[:, None] * v])
+
+    slope = np.column_stack([(moments(theta + h).sum(0) - moments(theta - h).sum(0)) / 2e-5 for h in 1e-5 * np.eye(6)])
+    lin = design @ gamma
+    phi, p = np.exp(-lin * lin / 2) / math.sqrt(2 * math.pi), cdf(lin)
+    slope[:3, :3] = -(design * (phi * phi / (p * (1 - p)))[:, None]).T @ design  # expected, not observed
+    g = moments(theta)
+    back = np.linalg.inv(slope)
+    want = np.sqrt(np.diag(back @ g.T @ g @ back.T))[3:]
+    assert [e for *_, e in got] == pytest.approx(list(want), rel=1e-4)
+    grouped = df.groupBy("x", "z", "s", "y").agg(F.count("*").cast("double").alias("w"))
+    again = response.two_step_errors(grouped, ["x", "z"], "s", ["x"], "y", weight="w")
+    assert [e for *_, e in again] == pytest.approx([e for *_, e in got], rel=1e-4)
+
+
 def test_equivalence(spark):
     df = spark.createDataFrame([("p", 1), ("p", 0), ("p", 1), ("q", 1), ("q", 0)], "g string, v int")
     row = response.mean_equivalence(df, F.col("v"), "g", "p", "q").first()
