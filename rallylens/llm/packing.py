@@ -37,7 +37,7 @@ from rallylens.storage import landed
 END = 0
 EDGE = r"""!"#$%&()*+,-./:;=?@[\]^_`{}~"""  # cut off a word's ends: never one token with letters, part of a contraction or a special token
 MARK = "0"  # a digit is always a token of its own
-CACHED_WORDS = 1_000_000
+CACHED_WORDS = 700_000
 
 
 def plain(c: str) -> bool:
