@@ -229,6 +229,31 @@ def test_equivalence(spark):
     assert row.t_lower == pytest.approx((row.difference + 0.184) / error)
 
 
+def test_equal_texts_are_fitted_once_and_weigh_as_often_as_they_occur(spark):
+    """Against every document on its own; ids of several rows and rows without id are one document each."""
+    pieces = ["police arrest riot gas police", "march town hall square", "farm price milk crop", "march price"]
+    rows = [(f"d{i}", pieces[i % 7 % 4]) for i in range(40)] + [("d3", pieces[0]), ("d4", pieces[0]), ("d5", pieces[1]), ("d5", pieces[1])]
+    rows += [(None, pieces[2]), (None, pieces[2]), ("", pieces[1]), ("none", None), ("short", "")]
+    df = spark.createDataFrame(rows, "id string, notes string")
+    plain = topics.fit_topics(tok.stemmed_counts(tok.tokens(df, "notes", ["id"]), ["id"]), "id")
+    members, texts = topics.by_text(df, "id", "notes")
+    model = topics.fit_topics(tok.stemmed_counts(tok.tokens(texts, "notes", [topics.STANDS]), [topics.STANDS]), "id", members=members)
+    assert model.documents.count() < 12 < plain.documents.count() == 42 and model.documents.agg(F.sum("copies")).first()[0] == 42
+    assert model.fitted.bounds == pytest.approx(plain.fitted.bounds, rel=1e-4)
+    best = [{(r.id, r.topic): r.gamma for r in m.topic_shares().collect()} for m in (plain, model)]
+    assert len(best[0]) == 42 * 3 and best[0] == pytest.approx(best[1], abs=2e-2)
+
+
+def test_shares_do_not_need_one_large_batch(monkeypatch):
+    rng = np.random.default_rng(1)
+    weights = rng.dirichlet([0.2] * 50, 3).T
+    batch = variational.Batch(rng.integers(0, 50, 700), rng.integers(1, 5, 700).astype(float), np.arange(0, 701, 10))
+    whole = variational.shares_of(batch, weights, 0.5)
+    monkeypatch.setattr(variational, "PART", 9)
+    for a, b in zip(whole, variational.shares_of(batch, weights, 0.5), strict=True):
+        assert a.shape == b.shape and np.allclose(a, b, atol=2e-2)
+
+
 def test_vectors_hold_the_counts(spark):
     words = spark.createDataFrame(
         [(d, w) for d in range(12) for w in ["a"] * (d + 1) + ["b", "c", "d", "e", "f"]], "doc int, word string"
