@@ -43,3 +43,14 @@ def test_too_many_free_rules_and_no_rules(spark, monkeypatch):
     monkeypatch.setattr(index, "MOST_FREE", 1)
     with pytest.raises(ValueError):
         index.label_names(names, rules)
+
+
+def test_a_piece_every_name_shares_does_not_bring_them_together(spark):
+    """Rules of one common piece and one of their own meet a name or two each, not every name."""
+    names = spark.createDataFrame([(f"Customer#{i:06} ring",) for i in range(300)], "actor_clean string")
+    rules = spark.createDataFrame([("left", "regex", f"^customer#[0-9]*{i:05} .*g", None) for i in range(0, 300, 3)], SCHEMA)
+    keys = index.rule_keys(index.indexed(rules))
+    posted = names.select("actor_clean", F.explode(index.name_keys(F.lower("actor_clean"))).alias("key"))
+    chosen = index.keyed(keys, posted)
+    assert chosen.count() == 100 and chosen.join(posted, "key").count() < 100 * 12
+    assert index.label_names(names, rules).agg(F.sum("left")).first()[0] == 100
