@@ -289,10 +289,12 @@ def presence_crosstab(spark, sf):
 
 @query
 def presence_pattern_hits(spark, sf):
-    """How many notes each pattern of the presence steps is found in."""
-    notes = rows.computed_once(reported(spark, sf), {"low": F.lower("notes")})
+    """How many notes each pattern of the presence steps is found in; equal notes are searched once."""
+    texts = reported(spark, sf).groupBy("notes").agg(F.count(F.lit(1)).alias("copies"))
+    notes = rows.computed_once(texts, {"low": F.lower("notes")})
     each = [(s.name, p) for s in packs.PRESENCE_STEPS for p in s.patterns]
-    hits = notes.agg(*[F.count_if(tx.found("low", p)).alias(f"p{i}") for i, (_, p) in enumerate(each)])
+    found = [F.when(tx.found("low", p), F.col("copies")).otherwise(0) for _, p in each]
+    hits = notes.agg(*[F.coalesce(F.sum(f), F.lit(0)).alias(f"p{i}") for i, f in enumerate(found)])
     named = [F.struct(F.lit(s).alias("step"), F.lit(p).alias("pattern"), F.col(f"p{i}").alias("n")) for i, (s, p) in enumerate(each)]
     return hits.select(F.inline(F.array(*named)))
 

@@ -27,6 +27,14 @@ def test_names_are_cleaned_once_under_a_filter(spark, sf):
     assert plan_of(q.unclassified_events(spark, sf)).count("regexp_replace") <= 2 * 3
 
 
+def test_patterns_are_searched_in_distinct_notes(spark, sf):
+    """The notes are grouped below the search, so equal notes are searched once."""
+    df = q.presence_pattern_hits(spark, sf)
+    plan = plan_of(df).upper()
+    assert plan.count("AGGREGATE [NOTES") == 1 and plan.index("RLIKE") < plan.index("AGGREGATE [NOTES")
+    assert [t for _, t in df.dtypes] == ["string", "string", "bigint"]
+
+
 def test_steps_and_patterns_fire(spark, sf):
     hits = q.presence_pattern_hits(spark, sf).collect()
     assert {r.step for r in hits if r.n} == {s.name for s in packs.PRESENCE_STEPS if s.patterns}
