@@ -1,14 +1,17 @@
 """Near-duplicates by the similarity of word shingles, checked exactly.
 
 Two texts are near-duplicates if the sets of their five-word shingles have a
-Jaccard similarity of at least 0.8.  Candidates share one of 40 band keys, each
-made of six MinHash values: a pair at exactly 0.8 is missed with probability
-(1 - 0.8^6)^40 = 5e-6, a pair above with less.  (SimHash is no filter here: at
-0.8 two fingerprints of 64 bits differ in about ten bits, and a radius that
-finds all such pairs admits nearly every pair.)  Every candidate is settled by
-the similarity of the whole sets before it becomes a link.
-
-Members of a bucket first meet its most popular member only, the one whose
+Jaccard similarity of at least 0.8.  The SimHash fingerprints of the sets are
+linked first, by the pigeonring chains and the smallest-label components of
+``simhash``, with its radius of two bits; every link is confirmed by the
+similarity of the whole sets.  At 0.8 two fingerprints differ in about ten bits,
+and a radius that finds all such pairs admits nearly every pair, so what the
+radius leaves apart is searched further, between the components only: candidates
+share one of 40 band keys, each made of six MinHash values: a pair at exactly 0.8
+is missed with probability (1 - 0.8^6)^40 = 5e-6, a pair above with less.  Every
+candidate is settled by the similarity of the whole sets before it becomes a link.
+
+Members of a bucket with several components first meet its most popular member only, the one whose
 buckets are largest: in a group of edited copies that is the text closest to
 all, so a group takes rows in proportion to its size.  What is left in buckets
 of several components is settled by an exact prefix join: shingles that only
@@ -41,6 +44,8 @@ from rallylens.storage import landed
 
 SHINGLE, SIMILARITY = 5, 0.8
 BANDS, BAND_ROWS = 40, 6
+# Bits in which fingerprints may differ to be linked by chains; none has more than 2,080 others so near.
+RADIUS = 2
 
 
 def shingle_set(text: str | None, shingle: int = SHINGLE) -> np.ndarray:
@@ -78,21 +83,31 @@ def band_keys(values: np.ndarray) -> list[int]:
     return np.array(made, dtype=np.uint64).view(np.int64).tolist()
 
 
-SKETCH = T.StructType([T.StructField("set_id", T.LongType()), T.StructField("keys", T.ArrayType(T.LongType()))])
+def set_fingerprint(values: np.ndarray) -> int:
+    """SimHash of a shingle set: the majority of each bit over its values; 0 if there are none."""
+    ones = np.zeros(simhash.BITS, dtype=np.int64)
+    for at in range(0, len(values), 8192):
+        bits = values[at : at + 8192].astype("<u8").view(np.uint8).reshape(-1, 8)
+        ones += np.unpackbits(bits, axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
+    return int(np.packbits((ones * 2 > len(values)).astype(np.uint8), bitorder="little").view("<i8")[0])
+
+
+SKETCH = T.StructType([T.StructField("set_id", T.LongType()), T.StructField("fp", T.LongType()), T.StructField("keys", T.ArrayType(T.LongType()))])
 
 
 def sketch(text: Column | str) -> Column:
-    """Hash of the whole shingle set, and its band keys."""
+    """Hash of the whole shingle set, its fingerprint and its band keys."""
 
     @F.arrow_udf(SKETCH)
     def sketches(column: pa.Array) -> pa.Array:
-        ids, keys = [], []
+        ids, prints, keys = [], [], []
         for text in column:
             values = shingle_set(text.as_py())
             ids.append(xxhash.xxh64_intdigest(values.tobytes(), 42))
+            prints.append(set_fingerprint(values))
             keys.append(band_keys(values))
         named = pa.array(np.array(ids, dtype=np.uint64).view(np.int64), pa.int64())
-        return pa.StructArray.from_arrays([named, pa.array(keys, pa.list_(pa.int64()))], ["set_id", "keys"])
+        return pa.StructArray.from_arrays([named, pa.array(prints, pa.int64()), pa.array(keys, pa.list_(pa.int64()))], ["set_id", "fp", "keys"])
 
     return sketches.asNondeterministic()(text)
 
@@ -131,6 +146,15 @@ def several(posts: DataFrame, by: str, of: str) -> DataFrame:
     return posts.groupBy(by).agg(F.min(of).alias("least"), F.max(of).alias("most"), F.count("*").alias("df")).where("least < most").select(by, "df")
 
 
+def ring_pairs(sets: DataFrame, radius: int = RADIUS) -> DataFrame:
+    """Pairs (a, b) of sets (v, fp) that the chains link: a fingerprint's sets and its smallest, and the smallest ones of linked fingerprints."""
+    first = landed(sets.groupBy("fp").agg(F.min("v").alias("a")), "prints")
+    same = sets.join(first, "fp").where("v != a").select("a", F.col("v").alias("b"))
+    near = simhash.links(first.select("fp"), radius).toDF("p", "q")
+    met = near.join(first.toDF("p", "a"), "p").join(first.toDF("q", "b"), "q").select("a", "b")
+    return same.union(met)
+
+
 def stars(posts: DataFrame) -> DataFrame:
     """Pairs of each bucket's most popular member and its other members; posts: v, key, df."""
     popular = posts.groupBy("v").agg(F.sum("df").alias("score"))
@@ -180,19 +204,24 @@ def grouped(docs: DataFrame) -> DataFrame:
     Texts with the same label are linked by near-duplicates.
     """
     told = docs.select("doc_id", text_key().alias("text_key"), sketch("text").alias("s"))
-    rows = landed(told.select("doc_id", "text_key", F.col("s.set_id").alias("v"), F.col("s.keys").alias("keys")), "sketches")
+    rows = landed(told.select("doc_id", "text_key", F.col("s.set_id").alias("v"), F.col("s.fp").alias("fp"), F.col("s.keys").alias("keys")), "sketches")
     example = F.min(F.struct("doc_id", "text_key"))
-    firsts = landed(rows.groupBy("v").agg(example.alias("e"), F.min("keys").alias("keys")), "sets")
+    firsts = landed(rows.groupBy("v").agg(example.alias("e"), F.min("fp").alias("fp"), F.min("keys").alias("keys")), "sets")
+    ring = landed(ring_pairs(firsts.select("v", "fp")), "ring")
     posts = firsts.select("v", F.explode("keys").alias("key"))
     posts = landed(posts.join(several(posts, "key", "v"), "key"), "buckets")
 
-    wanted = posts.select("v").distinct().join(firsts, "v").select("v", F.col("e.doc_id").alias("id"), F.col("e.text_key").alias("k"))
+    members = posts.select("v").union(ring.select("a")).union(ring.select("b")).distinct()
+    wanted = members.join(firsts, "v").select("v", F.col("e.doc_id").alias("id"), F.col("e.text_key").alias("k"))
     source = docs.select("doc_id", text_key().alias("text_key"), "text")
     found = source.join(wanted, source["doc_id"].eqNullSafe(wanted["id"]) & (source["text_key"] == wanted["k"]))
     texts = landed(found.select("v", "text").dropDuplicates(["v"]), "texts")
 
-    near = confirmed(landed(stars(posts), "stars"), texts)
-    mixed = landed(placed(posts.select("key", "v"), near), "placed")
+    ringed = confirmed(ring, texts)
+    apart = landed(placed(posts, ringed), "apart")
+    apart = landed(apart.join(several(apart, "key", "l").select("key"), "key").select("key", "v", "df"), "buckets")
+    near = ringed.union(confirmed(landed(stars(apart), "stars"), texts))
+    mixed = landed(placed(apart.select("key", "v"), near), "placed")
     open_ = mixed.join(several(mixed, "key", "l").select("key"), "key").select("v", "l").distinct()
     sets = landed(open_.join(texts, "v").select("v", "l", shingles("text").alias("shingles")), "open")
     near = near.union(confirmed(landed(prefix_pairs(sets), "candidates"), texts))

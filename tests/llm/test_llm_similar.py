@@ -50,6 +50,25 @@ def test_groups_are_those_of_all_pairs(spark, documents):
     assert [first[r.label] for r in sorted(rows)] == groups(texts)
 
 
+def test_fingerprint_chains_link_the_sets(spark, documents, monkeypatch):
+    """Without any band key the chains still group what is a few bits apart, and the exact check holds them to 0.8."""
+    rng = random.Random(9)
+    texts = []
+    for _ in range(40):
+        words = [f"w{rng.randrange(9000)}" for _ in range(300)]
+        texts += [" ".join(words), " ".join([*words, "more"])]
+    rows = [(i, similar.shingle_set(t)) for i, t in enumerate(texts)]
+    prints = {i: similar.set_fingerprint(s) for i, s in rows}
+    df = spark.createDataFrame(list(prints.items()), "v long, fp long")
+    got = {frozenset((r.a, r.b)) for r in similar.ring_pairs(df).collect()}
+    near = {frozenset((i, j)) for i in prints for j in range(i) if bin((prints[i] ^ prints[j]) & (1 << 64) - 1).count("1") <= similar.RADIUS}
+    assert got == near and len(near) >= 30
+    monkeypatch.setattr(similar, "stars", lambda posts: posts.select(posts.v.alias("a"), posts.v.alias("b")).limit(0))
+    monkeypatch.setattr(similar, "prefix_pairs", lambda sets: sets.select(sets.v.alias("a"), sets.v.alias("b")).limit(0))
+    found = {r.doc_id: r.label for r in similar.grouped(documents([(i, t, "en", "s") for i, t in enumerate(texts)])).collect()}
+    assert all(found[min(p)] == found[max(p)] for p in near) and len(set(found.values())) == 80 - len(near)
+
+
 def test_one_large_group_of_edited_copies(spark, documents):
     """Copies with one to sixty words changed: most link with the origin only, the rest with nobody or each other."""
     rng = random.Random(11)
