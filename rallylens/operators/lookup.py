@@ -8,13 +8,14 @@ from the row's content.  Both ways give the same rows.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 from functools import reduce
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from rallylens.operators.rows import computed_once
 from rallylens.storage import settle
 
 BROADCAST_BYTES = 64 * 1024 * 1024
@@ -25,7 +26,9 @@ NO_KEY_SALTS = 1 << 20
 # A key is hot when it holds more than 1/HOT_KEYS of the rows; there can be no
 # more than HOT_KEYS such keys, which bounds their broadcast.
 HOT_KEYS = 10_000
-_SALT, _HOT, _N, _COPY = "__salt", "__hot", "__n", "__copy"
+# Longer texts are not looked up, which bounds the table of frequent ones.
+LONGEST_VALUE = 1024
+_SALT, _HOT, _N, _COPY, _KNOWN, _TEXT = "__salt", "__hot", "__n", "__copy", "__known", "__text"
 
 
 def table_bytes(table: DataFrame) -> int:
@@ -118,3 +121,31 @@ def lookup_join(
     if small:
         return left.join(F.broadcast(table), on, how)
     return salted_join(left, table, on, how, rows_per_salt, counted, merge)
+
+
+def known_values(
+    df: DataFrame, key: str, columns: Mapping[str, Column], name: str, counted: DataFrame | None = None
+) -> DataFrame:
+    """Add ``name``: a struct of ``columns``, made from the text ``key`` alone, for frequent texts; null for others.
+
+    Frequent are texts of at most LONGEST_VALUE bytes that more than 1/HOT_KEYS
+    of the rows with a repeated text hold; there are fewer than HOT_KEYS, so
+    their table is broadcast.  Texts are counted once, in ``counted`` if given:
+    a cheaper table with the same texts.
+    """
+    texts = (df if counted is None else counted).select(F.col(key).alias(_TEXT))
+    counts = texts.where(F.octet_length(_TEXT) <= LONGEST_VALUE).groupBy(_TEXT).agg(F.count(F.lit(1)).alias(_N))
+    repeated = settle(counts.where(F.col(_N) > 1))
+    frequent = repeated.where(F.col(_N) * F.lit(HOT_KEYS) > repeated.agg(F.sum(_N)).scalar())
+    made = F.struct(*[c.alias(n) for n, c in columns.items()]).alias(name)
+    table = settle(frequent.select(F.col(_TEXT).alias(key)).select(F.col(key).alias(_TEXT), made))
+    return df.join(F.broadcast(table), F.col(key) == F.col(_TEXT), "left").drop(_TEXT)
+
+
+def computed_per_value(
+    df: DataFrame, key: str, columns: Mapping[str, Column], counted: DataFrame | None = None
+) -> DataFrame:
+    """Add columns made from the text ``key`` alone: frequent texts look them up, any other row computes its own."""
+    known = known_values(df.drop(*columns), key, columns, _KNOWN, counted)
+    either = {n: F.when(F.col(_KNOWN).isNotNull(), F.col(_KNOWN)[n]).otherwise(c) for n, c in columns.items()}
+    return computed_once(known, either).drop(_KNOWN)

@@ -12,7 +12,7 @@ from rallylens.functions import text as tx
 from rallylens.learn import bayes, metrics, response, scorer, topics
 from rallylens.operators import actors, corrections, places, rows, sampling, summaries
 from rallylens.operators import tokens as tok
-from rallylens.operators.lookup import lookup_join
+from rallylens.operators.lookup import computed_per_value, lookup_join
 from rallylens.rules import decisions, index, keywords, packs
 from rallylens.sources import files
 from rallylens.sources.incidents import COUNTRIES, incidents, reported, table
@@ -383,21 +383,23 @@ def _named(spark, sf):
     return rows.computed_once(reported(spark, sf), names)
 
 
-def _ideology(spark, sf):
+def _sides(spark, sf):
+    """Events with the ideology of their two associated actors."""
     left, right = packs.LEFT_KEYS, packs.RIGHT_KEYS
-    events = _named(spark, sf).withColumns(
+    return _named(spark, sf).withColumns(
         {
             "actor1_ideology": keywords.actor_ideology("actor1_std", left, right),
             "actor2_ideology": keywords.actor_ideology("actor2_std", left, right),
-            "notes_clean": tx.clean_note("notes"),
-        }
-    )
-    events = events.withColumns(
-        {
-            "left_hits": keywords.keyword_hits("notes_clean", left),
-            "right_hits": keywords.keyword_hits("notes_clean", right),
         }
     )
+
+
+def _ideology(spark, sf):
+    """Events with all labels; notes that many events share are searched once."""
+    keys = {"left": packs.LEFT_KEYS, "right": packs.RIGHT_KEYS}
+    hits = tx.let(tx.clean_note("notes"), lambda t: F.struct(*[keywords.keyword_hits(t, k).alias(s) for s, k in keys.items()]))
+    events = computed_per_value(_sides(spark, sf), "notes", {"hits": hits}, reported(spark, sf))
+    events = events.withColumns({f"{s}_hits": F.col("hits")[s] for s in keys}).drop("hits")
     events = events.withColumn("context_ideology", keywords.larger_side("left_hits", "right_hits"))
     return events.withColumn(
         "final_ideology",
@@ -412,7 +414,7 @@ def standardise_actors(spark, sf):
 
 @query
 def actor_ideology(spark, sf):
-    return _ideology(spark, sf).select(ID, "actor1_ideology", "actor2_ideology")
+    return _sides(spark, sf).select(ID, "actor1_ideology", "actor2_ideology")
 
 
 @query

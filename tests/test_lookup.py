@@ -1,7 +1,7 @@
 import pytest
 from pyspark.sql import functions as F
 
-from rallylens.operators.lookup import hot_keys, lookup_join, table_bytes
+from rallylens.operators.lookup import computed_per_value, hot_keys, known_values, lookup_join, table_bytes
 
 
 @pytest.fixture
@@ -68,3 +68,15 @@ def test_plan_broadcasts_only_what_fits(sides):
     left, table = sides
     fits = lookup_join(left, table, "key")._jdf.queryExecution().executedPlan().toString()
     assert "BroadcastHashJoin" in fits
+
+
+def test_only_frequent_texts_are_computed_beforehand(spark):
+    """Rare, long and missing texts compute their own columns; all rows get the same ones either way."""
+    texts = ["often"] * 6 + ["twice"] * 2 + ["once", "", "", None, None, "long" * 300, "long" * 300]
+    df = spark.createDataFrame(list(enumerate(texts)), "id long, t string")
+    made = {"size": F.length("t"), "same": F.when(F.col("t") == "often", None).otherwise(F.upper("t"))}
+    known = known_values(df, "t", made, "known")
+    assert {r.t for r in known.where("known is not null").collect()} == {"often", "twice", ""}
+    got = {(r.id, r.t, r.size, r.same) for r in computed_per_value(df, "t", made).collect()}
+    assert got == {tuple(r) for r in df.withColumns(made).collect()}
+    assert computed_per_value(df.where("id = 8"), "t", made, df.where("id < 0")).first().size == 4

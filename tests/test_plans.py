@@ -35,6 +35,13 @@ def test_patterns_are_searched_in_distinct_notes(spark, sf):
     assert [t for _, t in df.dtypes] == ["string", "string", "bigint"]
 
 
+@pytest.mark.parametrize("name", ["context_ideology", "final_ideology", "ideology_share"])
+def test_keywords_are_searched_once_in_equal_notes(spark, sf, name):
+    """Hits of frequent notes come from a broadcast table; events that name no keyword query are not joined to it."""
+    assert "__known" in plan_of(q.QUERIES[name](spark, sf)) and "strategy=broadcast" in plan_of(q.QUERIES[name](spark, sf))
+    assert "__known" not in plan_of(q.actor_ideology(spark, sf))
+
+
 def test_steps_and_patterns_fire(spark, sf):
     hits = q.presence_pattern_hits(spark, sf).collect()
     assert {r.step for r in hits if r.n} == {s.name for s in packs.PRESENCE_STEPS if s.patterns}
