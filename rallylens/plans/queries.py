@@ -31,7 +31,8 @@ def query(fn: Query) -> Query:
 
 
 def _presence(spark: SparkSession, sf: str) -> DataFrame:
-    return decisions.police_presence(reported(spark, sf))
+    events = reported(spark, sf)
+    return decisions.police_presence(events, counted=events)
 
 
 def _documents(spark: SparkSession, sf: str, *columns: str) -> DataFrame:
@@ -43,7 +44,8 @@ def _classified(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def _classified_present(spark: SparkSession, sf: str) -> DataFrame:
-    return decisions.police_presence(actors.classify_events(reported(spark, sf), RULES))
+    events = reported(spark, sf)
+    return decisions.police_presence(actors.classify_events(events, RULES), counted=events)
 
 
 # --- sources and sinks -----------------------------------------------------

@@ -1,6 +1,7 @@
 """What the optimised plans must and must not hold."""
 
 import pytest
+from pyspark.sql import functions as F
 
 from rallylens.operators import actors
 from rallylens.plans import queries as q
@@ -59,3 +60,15 @@ def test_label_table_of_any_size_is_a_join(spark):
     exact = spark.createDataFrame([("A", "left"), ("A", "centre"), ("B", "right"), ("Z", "left")], "pattern string, label string")
     got = {r.actor_clean: (r.left, r.right, r.centre, r.unknown) for r in actors.label_by_table(names, exact).collect()}
     assert got == {"A": (1, 0, 1, 0), "B": (0, 1, 0, 0), "C": (0, 0, 0, 1)}
+
+
+def test_steps_are_searched_once_in_equal_notes(spark, sf):
+    """Frequent notes bring what the steps found in them; rare, long and missing notes are searched in their own rows."""
+    events = reported(spark, sf)
+    twice = events.unionByName(events.where("year % 2 = 0")).withColumn("notes", F.when(F.col("fatalities").isNull(), F.repeat("notes", 30)).otherwise(F.col("notes")))
+    columns = ["event_id_cnty", "notes", "presence_step", "police_presence"]
+    plain = decisions.police_presence(twice).select(columns)
+    looked_up = decisions.police_presence(twice, counted=twice).select(columns)
+    assert plain.exceptAll(looked_up).count() == 0 and looked_up.exceptAll(plain).count() == 0
+    plan = plan_of(q.presence_rule(spark, sf))
+    assert "__known" in plan and "strategy=broadcast" in plan
