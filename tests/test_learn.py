@@ -1,4 +1,5 @@
 import math
+import os
 from collections import Counter
 
 import numpy as np
@@ -8,6 +9,8 @@ from pyspark.sql import functions as F
 
 from rallylens.learn import bayes, metrics, response, scorer, topics, variational
 from rallylens.operators import tokens as tok
+from rallylens.plans import queries
+from rallylens.storage import FREE_SHUFFLES, passing_tables, settle, shared_root
 
 TRAIN = [
     (1, "tension with the police", 1),
@@ -244,6 +247,67 @@ def test_equal_texts_are_fitted_once_and_weigh_as_often_as_they_occur(spark):
     assert len(best[0]) == 42 * 3 and best[0] == pytest.approx(best[1], abs=2e-2)
 
 
+def test_words_of_a_text_are_never_dealt_out(spark):
+    """Texts are dealt out once; counts and lists per text come from where they lie, also of words without broadcast stems."""
+    rows = [(f"d{i}", f"police march{i % 7}ing arrests arrested farms {'crop ' * (i % 3)}") for i in range(30)] + [("d3", "police crops")]
+    df = spark.createDataFrame(rows, "id string, notes string").repartition(3)
+    with passing_tables(spark):
+        _, texts = topics.by_text(df, "id", "notes")
+        by = [topics.STANDS, topics.PIECE]
+        words = tok.tokens(texts, "notes", by)
+        counts = tok.stemmed_counts(words, by, together=True)
+        lists = counts.groupBy(*by).agg(F.collect_list("stem"))
+        plan = lists._jdf.queryExecution().executedPlan().toString()
+        dealt = plan[: plan.index("Union")]
+        assert dealt.count("Exchange hashpartitioning") == 1 == dealt.count("REPARTITION_BY_NUM") and "SortMergeJoin" not in dealt
+        plain = tok.stemmed_counts(words, by)
+        assert sorted(map(str, counts.collect())) == sorted(map(str, plain.collect()))
+
+
+def test_rare_words_get_their_stems_where_they_are(spark, monkeypatch):
+    words = spark.createDataFrame([(k % 3, w) for k in range(30) for w in ("running", "runs", f"marching{'s' * (k % 9)}")], "doc int, word string")
+    want = sorted(map(tuple, tok.stemmed_counts(words, ["doc"]).collect()))
+    frequent = tok._frequent_stems
+    monkeypatch.setattr(tok, "_frequent_stems", lambda *a: frequent(*a, limit=200))
+    assert [r.word for r in tok._frequent_stems(words, "word", "stem").collect()] in (["running", "runs"], ["runs", "running"])
+    assert sorted(map(tuple, tok.stemmed_counts(words, ["doc"], together=True).collect())) == want
+
+
+def vectors(model):
+    """The documents with the terms' names."""
+    names = {r.term_id: r.term for r in model.vocabulary.collect()}
+    return sorted((r[0], sorted((names[t], n) for t, n in zip(r.terms, r.counts, strict=True)), r.copies) for r in model.documents.collect())
+
+
+def test_documents_of_many_rows_are_counted_in_pieces(spark, monkeypatch):
+    pieces = ["police arrest riot gas police", "march town hall square", "farm price milk crop", "march price"]
+    rows = [(f"d{i}", pieces[i % 7 % 4]) for i in range(40)] + [("d3", p) for p in pieces] + [(None, p) for p in pieces[1:]] * 2
+    df = spark.createDataFrame(rows, "id string, notes string")
+    by = [topics.STANDS, topics.PIECE]
+    found = []
+    for many in (1000, 2):
+        monkeypatch.setattr(topics, "MANY_ROWS", many)
+        members, texts = topics.by_text(df, "id", "notes")
+        counts = tok.stemmed_counts(tok.tokens(texts, "notes", by), by, together=True)
+        assert counts.select(*by).distinct().count() == 4 + (4 if many > 2 else 7)
+        for least in (1, 2):
+            found.append(vectors(topics.fit_topics(counts, "id", members=members, passes=1, min_documents=least)))
+    members, texts = topics.by_text(df, "id", "notes")
+    plain = tok.stemmed_counts(tok.tokens(texts, "notes", by[:1]), by[:1])
+    want = [vectors(topics.fit_topics(plain, "id", members=members, passes=1, min_documents=least)) for least in (1, 2)]
+    assert found == want * 2 and len(want[0]) == 6 and sum(v[2] for v in want[0]) == 41
+
+
+def test_terms_are_numbered_right_when_hashes_meet(spark, monkeypatch):
+    rows = [(d, w, d + 1) for d in range(12) for w in (None, *"abcdefg"[: 3 + d % 5])] + [(99, None, 1)]
+    counts = spark.createDataFrame(rows, "doc int, stem string, n long")
+    want = [vectors(topics.fit_topics(counts, "doc", passes=1, min_documents=m)) for m in (1, 5)]
+    assert len(want[0]) == 12 and want[0][3][1] == [(w, 4.0) for w in "abcdef"]
+    hashed = topics._hash
+    monkeypatch.setattr(topics, "_hash", lambda term, seed: hashed(term, seed) % 3 if seed < 2 else hashed(term, seed))
+    assert [vectors(topics.fit_topics(counts, "doc", passes=1, min_documents=m)) for m in (1, 5)] == want
+
+
 def test_shares_do_not_need_one_large_batch(monkeypatch):
     rng = np.random.default_rng(1)
     weights = rng.dirichlet([0.2] * 50, 3).T
@@ -254,6 +318,33 @@ def test_shares_do_not_need_one_large_batch(monkeypatch):
         assert a.shape == b.shape and np.allclose(a, b, atol=2e-2)
 
 
+def folders(spark):
+    return {f.path for f in os.scandir(shared_root(spark).removeprefix("file:"))}
+
+
+@pytest.mark.parametrize("name", ["topic_dominant", "topic_terms", "topic_invariants"])
+def test_topic_queries_let_go_of_texts_and_words(spark, sf, name):
+    """Once the documents are numbers, no landed table holds a text or a list of words."""
+    settle(spark.range(1))  # the folder is there
+    before = folders(spark)
+    found = queries.QUERIES[name](spark, sf)
+    left = [spark.read.parquet(f"file:{path}").columns for path in folders(spark) - before]
+    assert left and not any({"notes", "word", "stem", "e"} & set(columns) for columns in left)
+    assert found.collect() and spark.conf.get(FREE_SHUFFLES, None) in (None, "false")
+
+
+def test_tables_in_passing_are_removed_unless_kept(spark):
+    settle(spark.range(1))
+    before = folders(spark)
+    with passing_tables(spark) as passing:
+        kept, gone = settle(spark.range(5)), settle(spark.range(7), "zstd")
+        assert gone.count() == 7 and len(folders(spark) - before) == 2
+        passing.keep_only(kept)
+        assert kept.count() == 5 and len(folders(spark) - before) == 1
+        settle(spark.range(9))
+    assert len(folders(spark) - before) == 2 and settle(spark.range(3)).count() == 3
+
+
 def test_vectors_hold_the_counts(spark):
     words = spark.createDataFrame(
         [(d, w) for d in range(12) for w in ["a"] * (d + 1) + ["b", "c", "d", "e", "f"]], "doc int, word string"
