@@ -318,6 +318,21 @@ def test_shares_do_not_need_one_large_batch(monkeypatch):
         assert a.shape == b.shape and np.allclose(a, b, atol=2e-2)
 
 
+def test_passes_leave_nothing_on_disk_and_take_a_task_per_core(spark, monkeypatch):
+    rows = [([d % 40, 40 + d % 9], [1.0, 2.0], 1) for d in range(400)]
+    documents = spark.createDataFrame(rows, "terms array<int>, counts array<double>, copies long").repartition(40)
+    context = spark.sparkContext
+    weights = variational.starting_weights(49, 3, 1)
+    files, tasks = set(os.listdir(context._temp_dir)), []
+    totals = variational.one_pass(documents, weights, 1.0)
+    assert set(os.listdir(context._temp_dir)) == files
+    assert totals.documents == 400 and totals.taken.sum() == pytest.approx(1200)
+    asked = type(documents).mapInArrow
+    monkeypatch.setattr(type(documents), "mapInArrow", lambda self, *a: tasks.append(self.rdd.getNumPartitions()) or asked(self, *a))
+    variational.fit(documents, 49, 3, 1, passes=2)
+    assert max(tasks) <= context.defaultParallelism
+
+
 def folders(spark):
     return {f.path for f in os.scandir(shared_root(spark).removeprefix("file:"))}
 
